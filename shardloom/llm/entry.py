@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import decontaminate, licenses, tokens
 from .common import table
 
 END_ID = 2
@@ -25,7 +25,18 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", rows["at"].alias("start"), "n_tokens", "ids_crc32")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return decontaminate.report(found)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_shards": op3_token_shards,
+    "op4_decontaminate": op4_decontaminate,
+    "op9_license_scan": op9_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
