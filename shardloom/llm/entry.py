@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, tokens
-from .common import table
+from . import decontaminate, language, licenses, tokens, toxicity
+from .common import in_training, table
 
 END_ID = 2
 
@@ -19,6 +20,19 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs.where(in_training()), table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (~in_training()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(in_training()))
+    return language.predict(docs, model).select("doc_id", (~in_training()).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokens.write_shards(table(spark, sf_dir, "documents"), vocabulary_path(), END_ID)
     rows = tokens.read_shards(manifest)
@@ -35,8 +49,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_shards": op3_token_shards,
     "op4_decontaminate": op4_decontaminate,
+    "op6_language": op6_language,
     "op9_license_scan": op9_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
