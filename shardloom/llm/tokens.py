@@ -30,6 +30,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ BLOOM_BITS_PER_KEY, BLOOM_PROBES = 10, 7
 #: Text bytes aimed at in one shard.
 SHARD_BYTES = 16 << 20
 #: Distinct space-delimited pieces whose ids a worker remembers (forgotten all at once beyond).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 
 MANIFEST = "shard long, path string, n_docs long, n_tokens long, bytes long"
 ROWS = "doc_id long, shard long, at long, n_tokens long, ids_crc32 long"
@@ -98,6 +99,12 @@ class Encoder:
         return [b"".join(map(known.__getitem__, parts)) + end for parts in split]
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One per worker process, kept over its tasks with what it remembers."""
+    return Encoder(path)
+
+
 # ------------------------------------------------------------------ the file format
 
 
@@ -253,7 +260,7 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         context = TaskContext.get()
         shard = context.partitionId() if context else 0
         out = sink = None
-        encoder = None
+        encode = encoder(vocabulary)
         for batch in batches:
             at, lengths = 0, np.diff(common.text_bytes(batch.column(1))[1])
             while at < batch.num_rows:  # small groups bound the memory of ids in flight
@@ -264,11 +271,10 @@ def _writer(folder: str, vocabulary: str, end_id: int):
                     system, root = pafs.FileSystem.from_uri(folder)
                     name = f"{root}/shard-{shard:06d}.sst"
                     attempt = f"{root}/_attempt-{shard:06d}-{uuid.uuid4().hex}"
-                    encoder = Encoder(vocabulary)
                     out = system.open_output_stream(attempt)
-                    sink = ShardWriter(out, encoder.width)
+                    sink = ShardWriter(out, encode.width)
                 texts = [t or "" for t in rows.column(1).to_pylist()]
-                for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.batch(texts, end_id), strict=True):
+                for doc_id, ids in zip(rows.column(0).to_pylist(), encode.batch(texts, end_id), strict=True):
                     sink.add(key_of(doc_id), ids)
         if sink is not None:
             sink.close()
