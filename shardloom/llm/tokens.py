@@ -62,8 +62,10 @@ class Encoder:
     """Ids of whole texts by the ``tokenizers`` library, remembering pieces it has seen.
 
     The byte-level splitter never lets a token span a single space between two non-space
-    characters: that space always opens the next token.  So a text is cut at those spaces and
-    each piece is encoded by the library once; the ids joined are the ids of the whole text."""
+    characters (that space opens the next token), nor a line feed there (it is a token of its
+    own).  So a text is cut at those places and each piece is encoded by the library once; the
+    ids joined are the ids of the whole text.  Texts with runs of white space are cut only at
+    the spaces that stand alone."""
 
     def __init__(self, path: str):
         import re
@@ -75,6 +77,7 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.known: dict[str, bytes] = {}
+        self.stops = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.kind).tobytes() for c in ".,"}
         self.runs = re.compile(r"\s\s|^\s|\s$")
         self.cuts = re.compile(r"(?<=\S) (?=\S)")
 
@@ -86,15 +89,26 @@ class Encoder:
         split = []
         new: dict[str, None] = {}
         for text in texts:
-            parts = self.cuts.split(text) if self.runs.search(text) else text.split(" ")
-            parts[0] = "\0" + parts[0]  # the first piece has no space before it
+            if "\0" in text:
+                parts = [text]
+            elif self.runs.search(text):
+                parts = self.cuts.split(text)
+            else:  # "a b\nc" -> "a", "b", "\nc": a piece that starts with a line feed has no space before it
+                parts = text.replace("\n", " \n").split(" ")
+            parts[0] = "\0" + parts[0]  # nor has the first piece
             split.append(parts)
-            new.update(dict.fromkeys(p for p in parts if p not in known))
+            new.update(dict.fromkeys(set(parts).difference(known)))
         if new:
+            ends = [p for p in new if p[-1:] in self.stops and p[-2:-1].isalnum()]  # letters or digits, then a token of the stop alone
+            for p in ends:
+                del new[p]
+            new.update(dict.fromkeys(c for c in {p[:-1] for p in ends} if c not in known))
             names = list(new)
-            inputs = [p[1:] if p[:1] == "\0" else " " + p for p in names]
+            inputs = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in names]
             for name, got in zip(names, self.tokenizer.encode_batch_fast(inputs, add_special_tokens=False), strict=True):
                 known[name] = np.array(got.ids, self.kind).tobytes()
+            for p in ends:
+                known[p] = known[p[:-1]] + self.stops[p[-1]]
         end = np.array([end_id], self.kind).tobytes()
         return [b"".join(map(known.__getitem__, parts)) + end for parts in split]
 
