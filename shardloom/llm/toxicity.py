@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of hashed n-grams (3 to 5 bytes of the lower-cased text, one space before and
+Features are the presence of hashed n-grams (4, 6 and 8 bytes of the lower-cased text, one space before and
 after it).  Per bucket the log-count ratio r = log(P(bucket | toxic) / P(bucket | clean)) is counted over
 **all** labelled training rows; the ``features`` buckets whose ratio stands out most from chance are kept.
 A logistic regression with an L2 penalty is then fitted on r * presence over a bounded sample of labelled
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GRAMS = (3, 4, 5)
+GRAMS = (4, 6, 8)
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 _SAMPLE_UNITS = 1 << 20
@@ -146,7 +146,7 @@ class Model:
 
 
 def fit(
-    labelled: DataFrame, per_class: int = 3000, features: int = 30_000, penalty: float = 1e-4, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id"
+    labelled: DataFrame, per_class: int = 3000, features: int = 3000, penalty: float = 3e-4, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id"
 ) -> Model:
     """Learn from rows (identifier, text, label).  Ratios count every row; the regression sees a sample of
     ``per_class`` rows of each label in expectation, picked by a hash of the identifier."""
