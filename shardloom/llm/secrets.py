@@ -44,7 +44,9 @@ ALLOWED = (
 MIXED = (r"[A-Za-z][+/_-]?[0-9]", r"[0-9][+/_-]?[A-Za-z]", r"[a-z][A-Z]+[a-z]+[A-Z]")
 
 SPANS = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
-NONE = F.array().cast(SPANS)
+def _none() -> Column:
+    return F.array().cast(SPANS)
+
 
 
 def _places(text: Column, guard: Column, pattern: str, kind: int, least: int, group: int = 0) -> Column:
@@ -61,9 +63,8 @@ def _places(text: Column, guard: Column, pattern: str, kind: int, least: int, gr
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(x["held"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), NONE.alias("out"))
-    named = F.transform(cut, lambda z: F.struct(z["0"].alias("before"), z["1"].alias("match"), z["2"].alias("held")))
-    return F.when(guard, F.aggregate(named, zero, add, lambda acc: acc["out"])).otherwise(NONE)
+    zero = F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out"))
+    return F.when(guard, F.aggregate(cut, zero, add, lambda acc: acc["out"])).otherwise(_none())
 
 
 def _hot(value: Column, kind: str) -> Column:
@@ -125,7 +126,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     mixed = lambda v: v.rlike(MIXED[0]) | v.rlike(MIXED[1]) | v.rlike(MIXED[2])
     likely = F.filter("candidates", lambda c: mixed(c["value"]) & ~allowed(c["value"]))
     hot = F.filter(F.transform(likely, _entropy_span), lambda s: s["end"] > 0)
-    # where a row has no candidate the interpreted functions see an empty array
     rows = rows.select("doc_id", "base", hot.alias("hot"))
     fresh = F.filter("hot", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return rows.select("doc_id", "base", F.array_sort(F.concat("base", fresh)).alias("found"))
