@@ -192,9 +192,10 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     long_row = counts[row] >= width
     out = np.empty(out_first[-1], U64)
     out[long_row] = full[at[long_row]]
-    for r in np.flatnonzero((counts > 0) & (counts < width)):
-        h = words[first[r]] ^ U64(int(counts[r]))
-        for w in words[first[r] + 1 : first[r + 1]]:
-            h = mix(np.array([h * _BASE + w], U64))[0]
-        out[out_first[r]] = h
+    for n in range(1, width):  # the short rows, by their number of words
+        rows = np.flatnonzero(counts == n)
+        h = words[first[rows]] ^ U64(n)
+        for k in range(1, n):
+            h = mix(h * _BASE + words[first[rows] + k])
+        out[out_first[rows]] = h
     return out, out_first

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, secrets, sql, tokens, toxicity, urls
+from . import decontaminate, jaccard, language, licenses, mixing, secrets, sql, tokens, toxicity, urls
 from .common import in_training, table
 
 END_ID = 2
@@ -48,6 +48,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """The pages with a fetch time: they carry none, so page k is taken as fetched k * 7919 mod 1,051,200 minutes into 2023 (two years)."""
     minutes = F.pmod(F.col("page_id") * 7919, F.lit(1_051_200))
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_shards": op3_token_shards,
     "op4_decontaminate": op4_decontaminate,
     "op6_language": op6_language,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_url_filter": op8_url_filter,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
