@@ -29,6 +29,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,9 +77,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
+        self.code = "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.stops = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.kind).tobytes() for c in ".,"}
-        self.runs = re.compile(r"\s\s|^\s|\s$")
+        self.runs = re.compile(r"\s\s")
         self.cuts = re.compile(r"(?<=\S) (?=\S)")
 
     def batch(self, texts: list[str], end_id: int) -> list[bytes]:
@@ -91,7 +93,7 @@ class Encoder:
         for text in texts:
             if "\0" in text:
                 parts = [text]
-            elif self.runs.search(text):
+            elif text[:1].isspace() or text[-1:].isspace() or self.runs.search(text):
                 parts = self.cuts.split(text)
             else:  # "a b\nc" -> "a", "b", "\nc": a piece that starts with a line feed has no space before it
                 parts = text.replace("\n", " \n").split(" ")
@@ -106,7 +108,7 @@ class Encoder:
             names = list(new)
             inputs = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in names]
             for name, got in zip(names, self.tokenizer.encode_batch_fast(inputs, add_special_tokens=False), strict=True):
-                known[name] = np.array(got.ids, self.kind).tobytes()
+                known[name] = array(self.code, got.ids).tobytes()
             for p in ends:
                 known[p] = known[p[:-1]] + self.stops[p[-1]]
         end = np.array([end_id], self.kind).tobytes()
