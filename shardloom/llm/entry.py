@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, licenses, mixing, secrets, sql, tokens, toxicity, urls
+from . import decontaminate, jaccard, language, licenses, mixing, neighbours, secrets, sql, tokens, toxicity, urls
 from .common import in_training, table
 
 END_ID = 2
@@ -27,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~in_training()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.link(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(in_training()))
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_token_shards": op3_token_shards,
     "op4_decontaminate": op4_decontaminate,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_language": op6_language,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_url_filter": op8_url_filter,

@@ -43,6 +43,32 @@ select c.page_id, host, strftime(fetched, '%Y-%m-%d %H:%M') fetched, coalesce(ca
 from capture c left join page_hit h on c.page_id = h.page_id
 """
 
+#: All pairs of a label, by cosine; components by spreading the least identifier.
+EMBEDDINGS = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) e from embeddings),
+fine as (select * from v where label is not null and vec_id is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),
+pair as (select a.vec_id a, b.vec_id b from fine a join fine b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select vec_id a, vec_id b from v union select reach.a, pair.b from reach join pair on reach.b = pair.a),
+root as (select a, min(b) component_id from reach group by a),
+deg as (select a, count(*) n from pair group by a)
+select v.vec_id, coalesce(n, 0) n_links, component_id, v.vec_id = component_id kept from v join root on v.vec_id = root.a left join deg on v.vec_id = deg.a
+"""
+
+#: Shingle sets joined on their shingles; components by spreading the least identifier.
+JACCARD = """
+with recursive doc as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+shingle as (
+  select distinct doc_id, array_to_string(w[i : i + 3], ' ') s from (select doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 3))) i from doc where len(w) > 0)),
+size as (select doc_id, count(*) n from shingle group by 1),
+shared as (select a.doc_id a, b.doc_id b, count(*) c from shingle a join shingle b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+pair as (select a, b from shared join size x on x.doc_id = a join size y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select doc_id a, doc_id b from doc union select reach.a, pair.b from reach join pair on reach.b = pair.a),
+root as (select a, min(b) component_id from reach group by a)
+select doc.doc_id, coalesce(n, 0) n_shingles, component_id from doc join root on doc.doc_id = root.a left join size on doc.doc_id = size.doc_id
+"""
+
 
 def mixing(rounds: int = 8, keep_share: float = 0.7, power: float = 0.7) -> str:
     """Raking and calibration over the cells, step by step."""
@@ -79,6 +105,8 @@ from doc left join chance using (source, lang, topic)"""
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": DECONTAMINATE,
+    "op5_embedding_dedup": EMBEDDINGS,
+    "op7_jaccard_join": JACCARD,
     "op8_url_filter": URL_FILTER,
     "op10_mixing": mixing(),
 }
