@@ -64,6 +64,20 @@ def in_training(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
+def carried(df: DataFrame, carry: tuple[str, ...]) -> list:
+    """The ``carry`` columns as one struct column ``carried`` (in a list, empty if there are none): no name can clash."""
+    return [F.struct(*[df[c] for c in carry]).alias("carried")] if carry else []
+
+
+def with_carried(ddl: str, rows: DataFrame):
+    """``ddl`` as a schema, with the struct ``carried`` of ``rows`` last if it has one."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    schema = _parse_datatype_string(ddl)
+    assert isinstance(schema, StructType)
+    return StructType([*schema.fields, *(f for f in rows.schema.fields if f.name == "carried")])
+
+
 # ------------------------------------------------------------------ text as bytes
 
 

@@ -32,7 +32,7 @@ BLOCK_WORDS = 200_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # bytes of the word pattern after lower-casing A-Z
 _TO_LOWER = bytes(common._LOWER)
 
-STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+HITS, ITEMS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
 STATE_DDL = "doc_id long, text string, n_words long, hits array<struct<start:long,end:long>>, items array<string>"
 
 
@@ -124,7 +124,11 @@ def _searcher(shared, first: bool):
                     names.update(old_items[r] or ())
                 hits.append(merged(found))
                 items.append(sorted(names))
-            yield pa.record_batch([rows.column(0), rows.column(1), pa.array(np.diff(word_at), pa.int64()), pa.array(hits, STATE.field(3).type), pa.array(items, STATE.field(4).type)], schema=STATE)
+            rest = rows.columns[2:] if first else rows.columns[5:]
+            yield pa.record_batch(
+                [rows.column(0), rows.column(1), pa.array(np.diff(word_at), pa.int64()), pa.array(hits, HITS), pa.array(items, ITEMS), *rest],
+                names=["doc_id", "text", "n_words", "hits", "items", *["carried"] * len(rest)],
+            )
 
     return search
 
@@ -150,14 +154,15 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
     yield block
 
 
-def search(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_words, hits (merged word intervals inside occurrences), items (sorted as strings)."""
-    state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def search(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document row: doc_id, n_words, hits (merged word intervals inside occurrences), items (sorted as strings);
+    then the ``carry`` columns as a struct ``carried``."""
+    state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *common.carried(docs, carry))
     first = True
     for block in item_blocks(benchmark, item_col, item_text_col):
         if block or first:
             shared = docs.sparkSession.sparkContext.broadcast(build(block, width))
-            state = state.mapInArrow(_searcher(shared, first), STATE_DDL)
+            state = state.mapInArrow(_searcher(shared, first), common.with_carried(STATE_DDL, state))
             first = False
     return state.drop("text")
 

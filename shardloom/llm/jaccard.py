@@ -151,6 +151,9 @@ def _sets(width: int, classes: Classes | None):
             if classes is not None:
                 columns.append(_lists(*group_keys(found, first, classes)))
                 names.append("keys")
+            else:
+                columns.append(rows.column(2))
+                names.append("text_hash")
             yield pa.record_batch(columns, names=names)
 
     return run
@@ -342,11 +345,13 @@ def _search(percent: int):
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id."""
+    """Per document row: doc_id, n_shingles, component_id; then text_hash (xxhash64 of the text) and group (a key of the
+    component: null where n_shingles is 0 or the identifier is null)."""
     spark = docs.sparkSession
     classes = Classes(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sized = rows.mapInArrow(_sets(width, None), "doc_id long, n_shingles long, node long")
+    hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    sized = hashed.mapInArrow(_sets(width, None), "doc_id long, n_shingles long, node long, text_hash long")
     keyed = rows.where("doc_id is not null").mapInArrow(_sets(width, classes), "doc_id long, n_shingles long, node long, keys array<long>").where("n_shingles > 0")
     # 1. equal sets are one node
     nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
@@ -366,9 +371,33 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     # components are named by the least identifier of their nodes
     named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.select("node", "root").join(least, "root").select("node", "component_id")
-    out = sized.join(of_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    of_node = named.select("node", "root").join(least, "root").select("node", "component_id", F.col("root").alias("group"))
+    out = sized.withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node"))).join(of_node, "node", "left")
+    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", alone).alias("component_id"), "text_hash", "group")
+
+
+def _without(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_anti") -> DataFrame:
+    """Semi or anti join whose key side is broadcast while it is at most BROADCAST_ROWS rows."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which one stays of each component: that with the least identifier (of
+    repeated ones, any).  Rows without words or without an identifier stay."""
+    linked = common.written(link(docs, width, percent, id_col, text_col), "jaccard-groups")
+    inner = linked.where("group is not null")
+    mark, own = "_text_hash_of_keep_one", "_identifier_of_keep_one"
+    marked = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string"))).withColumn(own, F.col(id_col).cast("long"))
+    key = lambda df: df.select(F.col("doc_id").alias(own), F.col("text_hash").alias(mark))
+    out = _without(marked, key(inner.where("doc_id <> component_id")).distinct(), [own, mark])
+    first = inner.where("doc_id = component_id")
+    repeated = common.written(first.join(first.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "group", "left_semi"), "jaccard-repeated")
+    if not repeated.isEmpty():
+        again = key(repeated).withColumn("_group_of_keep_one", repeated["group"]).distinct()
+        once = out.join(again, [own, mark]).dropDuplicates(["_group_of_keep_one"]).drop("_group_of_keep_one")
+        out = _without(out, key(repeated).distinct(), [own, mark]).unionByName(once)
+    return out.drop(mark, own)
 
 
 def _rest(rows: DataFrame, nodes: DataFrame, runs: DataFrame, roots: DataFrame, width: int, percent: int) -> DataFrame | None:

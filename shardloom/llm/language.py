@@ -195,20 +195,22 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, lang_pred, score, bits_per_byte (of the shortest code; null for ``und``)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document row: doc_id, lang_pred, score, bits_per_byte (of the shortest code; null for ``und``); then the
+    ``carry`` columns as a struct ``carried``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *common.carried(docs, carry))
     if model is None:
-        return rows.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
+        nothing = (F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
+        return rows.select("doc_id", *nothing, *(["carried"] if carry else []))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = shared.value
         names = np.array([*frozen.languages, UNDETERMINED], object)
         for piece, data, offsets in common.pieces(batches):
-            yield pa.record_batch([piece.column(0), *_decide(frozen, names, data, offsets)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+            yield pa.record_batch([piece.column(0), *_decide(frozen, names, data, offsets), *piece.columns[2:]], names=["doc_id", "lang_pred", "score", "bits_per_byte", *piece.schema.names[2:]])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, common.with_carried(SCHEMA, rows))
 
 
 def _decide(model: Model, names: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:

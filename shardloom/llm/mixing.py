@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import carried, written
+
 #: Topic rules in order: the first condition that holds names the topic of a text.
 TOPICS = (("table", "text like '% | %'"), ("legal", "lower(text) like '%license%'"), ("loud", "text like '%!!%'"), ("note", "octet_length(text) < 600"))
 REST = "prose"
@@ -110,13 +112,11 @@ def mix(
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        *([F.struct(*carry).alias("carried")] if carry else []),
+        *carried(docs, carry),
     )
     rows = rows.withColumn("topic", topic_of()).withColumn("n_tokens", F.expr(TOKENS)).drop("text")
     cells, named = cells_of(rows.select("source", "lang", "topic", "n_tokens"), max_sources)
     chances = calibrate(rake(cells, targets, rounds), keep_share)
-    from .common import written
-
     chances = written(chances.select(*DIMENSIONS, "probability"), "mix-cells")
     named = written(named, "mix-sources")
     if chances.count() <= BROADCAST_CELLS:
