@@ -82,18 +82,18 @@ class Hasher:
         return out
 
 
-def first_meeting(a: np.ndarray, b: np.ndarray, table: int, bucket: int) -> np.ndarray:
-    """Whether pairs with codes a, b (each [pairs, tables, 1 + probes]) meet in this bucket and in none before it.
+def first_meeting(a: np.ndarray, b: np.ndarray, table: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Whether pairs with codes a, b (each [pairs, tables, 1 + probes]) meet in their ``bucket`` of ``table`` and in none before it.
 
     A pair meets where one is at home and the other at home or probing; buckets are ordered by table, then code."""
-    fresh = np.ones(len(a), bool)
-    for t in range(table):
-        fresh &= ~((b[:, t, :1] == a[:, t]).any(1) | (a[:, t, :1] == b[:, t]).any(1))
-    home_a, home_b = a[:, table, 0], b[:, table, 0]
-    at_b = (home_b[:, None] == a[:, table]).any(1)  # they meet at b's home
-    at_a = (home_a[:, None] == b[:, table]).any(1)
-    first = np.where(at_a & at_b, np.minimum(home_a, home_b), np.where(at_a, home_a, home_b))
-    return fresh & (at_a | at_b) & (first == bucket)
+    at_b = (b[:, :, :1] == a).any(2)  # in a table, they meet at b's home
+    at_a = (a[:, :, :1] == b).any(2)
+    pair = np.arange(len(a))
+    fresh = (at_a | at_b).argmax(1) == table
+    home_a, home_b = a[pair, table, 0], b[pair, table, 0]
+    in_a, in_b = at_a[pair, table], at_b[pair, table]
+    first = np.where(in_a & in_b, np.minimum(home_a, home_b), np.where(in_a, home_a, home_b))
+    return fresh & (in_a | in_b) & (first == bucket)
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -135,37 +135,48 @@ def _filed(settings: dict):
 
 def _compare(settings: dict, least: float):
     """Rows (tab, code, label, i, j, salt, node, copies, vector) sorted by bucket and sub-block -> (node, links, root)."""
+    at_once = PAIRS // 64  # pairs whose codes are laid side by side
+
+    def resolved(hasher, c, v, p, q):
+        """Links and spanning roots of the rows, from all close pairs p-q of some blocks."""
+        used = np.unique(np.concatenate([p, q]))
+        codes = np.concatenate([hasher.codes(v[used[a : a + 4096]]) for a in range(0, len(used), 4096)])
+        of_p, of_q = np.searchsorted(used, p), np.searchsorted(used, q)
+        ok = np.concatenate([first_meeting(codes[of_p[a : a + at_once]], codes[of_q[a : a + at_once]], c[0][p[a : a + at_once]], c[1][p[a : a + at_once]]) for a in range(0, len(p), at_once)])
+        p, q, n, node, copies = p[ok], q[ok], len(v), c[6], c[7]
+        links = np.bincount(p, copies[q], n).astype(np.int64) + np.bincount(q, copies[p], n).astype(np.int64)
+        some = np.flatnonzero(links)
+        root = spanning(n, p, q)
+        return pa.record_batch([pa.array(node[some]), pa.array(links[some]), pa.array(node[root[some]])], names=["node", "links", "root"])
+
+    def close_pairs(c, v, a, b):
+        i, j, salt = c[3][a], c[4][a], c[5][a:b]
+        left, right = a + np.flatnonzero(salt == i), a + np.flatnonzero(salt == j)
+        if not len(left) or not len(right):
+            return
+        step = max(1, PAIRS // len(right))
+        for k in range(0, len(left), step):
+            x, y = np.nonzero(v[left[k : k + step]] @ v[right].T >= least)
+            x, y = left[k + x], right[y]
+            if i == j:
+                x, y = x[x < y], y[x < y]
+            if len(x):
+                yield x, y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(**settings)
-        held = None
-
-        def block(c):
-            tab, bucket, i, j, salt, node, copies = int(c[0][0]), int(c[1][0]), int(c[3][0]), int(c[4][0]), c[5], c[6], c[7]
-            v = unit(c[8])
-            left, right = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
-            if not len(left) or not len(right):
-                return None
-            codes = hasher.codes(v)
-            links, ends_i, ends_j = np.zeros(len(node), np.int64), [], []
-            step = max(1, PAIRS // len(right))
-            for a in range(0, len(left), step):
-                x, y = np.nonzero(v[left[a : a + step]] @ v[right].T >= least)
-                x, y = left[a + x], right[y]
-                if i == j:
-                    x, y = x[x < y], y[x < y]
-                for b in range(0, len(x), PAIRS // 64):  # the codes of both sides are copied
-                    p, q = x[b : b + PAIRS // 64], y[b : b + PAIRS // 64]
-                    ok = first_meeting(codes[p], codes[q], tab, bucket)
-                    p, q = p[ok], q[ok]
-                    links += np.bincount(p, copies[q], len(node)).astype(np.int64) + np.bincount(q, copies[p], len(node)).astype(np.int64)
-                    ends_i.append(p)
-                    ends_j.append(q)
-            if not links.any():
-                return None
-            root = spanning(len(node), np.concatenate(ends_i), np.concatenate(ends_j))
-            some = np.flatnonzero(links)
-            return pa.record_batch([pa.array(node[some]), pa.array(links[some]), pa.array(node[root[some]])], names=["node", "links", "root"])
+        hasher, held = Hasher(**settings), None
+
+        def blocks(c, bounds):
+            v, found, n = unit(c[8]), [], 0
+            for a, b in bounds:
+                for x, y in close_pairs(c, v, a, b):
+                    found.append((x, y))
+                    n += len(x)
+                if n > PAIRS:
+                    yield resolved(hasher, c, v, *map(np.concatenate, zip(*found, strict=True)))
+                    found, n = [], 0
+            if n:
+                yield resolved(hasher, c, v, *map(np.concatenate, zip(*found, strict=True)))
 
         for batch in batches:
             c = [batch.column(k).to_numpy() for k in range(8)] + [batch.column(8).flatten().to_numpy().reshape(-1, hasher.dim)]
@@ -176,15 +187,11 @@ def _compare(settings: dict, least: float):
             new = np.ones(len(c[0]), bool)
             new[1:] = np.any([c[k][1:] != c[k][:-1] for k in range(5)], axis=0)
             starts = np.flatnonzero(new)
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                out = block([x[a:b] for x in c])
-                if out is not None:
-                    yield out
+            if len(starts) > 1:
+                yield from blocks([x[: starts[-1]] for x in c], list(zip(starts[:-1], starts[1:], strict=True)))
             held = [x[starts[-1] :] for x in c]
         if held is not None:
-            out = block(held)
-            if out is not None:
-                yield out
+            yield from blocks(held, [(0, len(held[0]))])
 
     return run
 
