@@ -32,6 +32,8 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,8 @@ BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY, BLOOM_PROBES = 10, 7
 #: Text bytes aimed at in one shard.
 SHARD_BYTES = 16 << 20
-#: Distinct space-delimited pieces whose ids a worker remembers (forgotten all at once beyond).
-CACHE_PIECES = 1_000_000
+#: Distinct pieces in a generation of a worker's memory; it keeps the current generation and the one before.
+GENERATION = 400_000
 
 MANIFEST = "shard long, path string, n_docs long, n_tokens long, bytes long"
 ROWS = "doc_id long, shard long, at long, n_tokens long, ids_crc32 long"
@@ -79,16 +81,19 @@ class Encoder:
         self.kind = f"<u{self.width}"
         self.code = "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.stops = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.kind).tobytes() for c in ".,"}
         self.runs = re.compile(r"\s\s")
         self.cuts = re.compile(r"(?<=\S) (?=\S)")
 
     def batch(self, texts: list[str], end_id: int) -> list[bytes]:
         """Per text its ids as packed integers of ``width`` bytes, the end id last."""
+        if len(self.known) > GENERATION:
+            self.known, self.older = {}, self.known
         known = self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        split = []
+        end = array(self.code, [end_id]).tobytes()
+        out: list[bytes] = []
+        late: list[tuple[int, list[str]]] = []  # texts with pieces not seen before
         new: dict[str, None] = {}
         for text in texts:
             if "\0" in text:
@@ -98,21 +103,35 @@ class Encoder:
             else:  # "a b\nc" -> "a", "b", "\nc": a piece that starts with a line feed has no space before it
                 parts = text.replace("\n", " \n").split(" ")
             parts[0] = "\0" + parts[0]  # nor has the first piece
-            split.append(parts)
-            new.update(dict.fromkeys(set(parts).difference(known)))
+            ids = list(map(known.get, parts))
+            if None in ids:
+                new.update(dict.fromkeys(compress(parts, map(is_, ids, repeat(None)))))
+                late.append((len(out), parts))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids) + end)
         if new:
-            ends = [p for p in new if p[-1:] in self.stops and p[-2:-1].isalnum()]  # letters or digits, then a token of the stop alone
-            for p in ends:
-                del new[p]
-            new.update(dict.fromkeys(c for c in {p[:-1] for p in ends} if c not in known))
-            names = list(new)
-            inputs = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in names]
-            for name, got in zip(names, self.tokenizer.encode_batch_fast(inputs, add_special_tokens=False), strict=True):
-                known[name] = array(self.code, got.ids).tobytes()
-            for p in ends:
-                known[p] = known[p[:-1]] + self.stops[p[-1]]
-        end = np.array([end_id], self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, parts)) + end for parts in split]
+            self._learn(new)
+            for k, parts in late:
+                out[k] = b"".join(map(known.__getitem__, parts)) + end
+        return out
+
+    def _learn(self, new: dict[str, None]) -> None:
+        known, older = self.known, self.older
+        again = [p for p in new if p in older]
+        for p in again:
+            known[p] = older[p]
+            del new[p]
+        ends = [p for p in new if p[-1:] in self.stops and p[-2:-1].isalnum()]  # letters or digits, then a token of the stop alone
+        for p in ends:
+            del new[p]
+        new.update(dict.fromkeys(c for c in {p[:-1] for p in ends} if c not in known))
+        names = list(new)
+        inputs = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in names]
+        for name, got in zip(names, self.tokenizer.encode_batch_fast(inputs, add_special_tokens=False), strict=True):
+            known[name] = array(self.code, got.ids).tobytes()
+        for p in ends:
+            known[p] = known[p[:-1]] + self.stops[p[-1]]
 
 
 @lru_cache(1)
