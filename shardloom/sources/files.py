@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset
+from ..types import as_schema
 from .generated import reader_func
 
 ENTRY = "header struct<name:string,size:bigint,mode:bigint,mtime:bigint,uid:bigint,gid:bigint,type:string,linkname:string>, body binary"
@@ -70,9 +71,10 @@ def tar_reader(spark: SparkSession, source: str | Callable[[], io.IOBase], num_s
     if num_shards:
         files = files.repartition(num_shards)
 
+    shape = as_schema(ENTRY)
+
     def entries(batches):
         from ..operators.arrow import batches_of
-        from ..types import as_schema
 
         def rows():
             for batch in batches:
@@ -81,7 +83,7 @@ def tar_reader(spark: SparkSession, source: str | Callable[[], io.IOBase], num_s
                         for member in archive:
                             yield _entry(member, archive)
 
-        return batches_of(rows(), as_schema(ENTRY))
+        return batches_of(rows(), shape)
 
     return Dataset(files.mapInArrow(entries, ENTRY), 1, num_shards, None, "tar_reader")
 
