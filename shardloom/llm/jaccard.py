@@ -14,11 +14,12 @@ than K_c - d_c of them leaves their keys out: an equal group of two or more must
 
 Steps, none of which gathers a group or builds all pairs of one:
 
-1. texts with equal sets become one node (partial aggregation first, so thousands of copies are a few rows);
+1. texts with equal sets are one node; a task files a node's keys once, so thousands of copies are a few rows;
 2. nodes that share a key meet in one sorted run; each is paired with the first node of the run only;
 3. those pairs are verified and joined to components;
-4. runs that still hold nodes of different components are searched for all their pairs by the R-tree, large
-   runs as pairs of bounded sub-blocks; candidates are verified, and the components extended.
+4. runs that still hold nodes of different components are searched for all their pairs by the R-tree (once for
+   runs of the same nodes), large runs as pairs of bounded sub-blocks; candidates are verified, and the components
+   extended.
 
 A pair that shares no key differs in more than d_c shingles, so no link is lost.  A node is known by a 64-bit
 hash of its set.
@@ -45,7 +46,7 @@ from .components import components
 CLASS_RATIO = 1.5
 #: Groups beyond those that a linked pair can spoil, as a share of these.
 SPARE = 0.3
-#: Coordinates of the vectors in the R-tree.
+#: Least coordinates of a count vector; larger texts have more, so that the bound still tells them apart.
 COORDINATES = 64
 #: Nodes in one side of a sub-block of a large run.
 CELL = 512
@@ -142,43 +143,65 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), _signed(values))
 
 
-def _sets(width: int, classes: Classes | None):
+def _sized(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.pieces(batches):
             found, first = distinct_shingles(data, offsets, width)
-            columns = [rows.column(0), pa.array(np.diff(first)), _signed(set_ids(found, first))]
-            names = ["doc_id", "n_shingles", "node"]
-            if classes is not None:
-                columns.append(_lists(*group_keys(found, first, classes)))
-                names.append("keys")
-            else:
-                columns.append(rows.column(2))
-                names.append("text_hash")
-            yield pa.record_batch(columns, names=names)
+            yield pa.record_batch([rows.column(0), pa.array(np.diff(first)), _signed(set_ids(found, first)), rows.column(2)], names=["doc_id", "n_shingles", "node", "text_hash"])
+
+    return run
+
+
+def _keyed(width: int, classes: Classes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filed: set[int] = set()  # nodes of this task, which are as many as its texts at most
+        for _, data, offsets in common.pieces(batches, 0):
+            found, first = distinct_shingles(data, offsets, width)
+            ids = set_ids(found, first).view(np.int64)
+            fresh = np.zeros(len(ids), bool)
+            for r, node in enumerate(ids.tolist()):
+                if node not in filed:
+                    filed.add(node)
+                    fresh[r] = True
+            # the sets of the fresh rows alone
+            sizes = np.where(fresh, np.diff(first), 0)
+            found = found[np.repeat(fresh, np.diff(first))]
+            keys, at = group_keys(found, np.concatenate([[0], np.cumsum(sizes)]), classes)
+            yield pa.record_batch([_signed(keys), pa.array(np.repeat(ids, np.diff(at)))], names=["key", "node"])
 
     return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) sorted by both -> (leader, node, key) for every node of a run but its first; key is null in runs of two."""
+    """Rows (key, node) sorted by both -> (leader, node, key) for every node of a run but its first; key is null in runs of two.
+
+    A node that several tasks filed stands in a run more than once; it is taken once."""
     open_key = open_leader = None  # a run of three or more that goes on
     held_k, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # a run of one or two that may go on
+    last = None
 
     def out(leader, node, key, small):
         return pa.record_batch([pa.array(leader), pa.array(node), pa.array(key, mask=small)], names=["leader", "node", "key"])
 
-    def closed(k, n, last):
-        """Runs of k but the last (all if ``last``)."""
+    def closed(k, n, final):
+        """Runs of k but the last (all if ``final``)."""
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         starts = np.flatnonzero(new)
         size = np.diff(np.append(starts, len(k)))
         run = np.cumsum(new) - 1
-        take = ~new & (last | (run < len(starts) - 1))
-        return out(n[starts][run[take]], n[take], k[take], size[run[take]] < 3), (0 if last or not len(starts) else starts[-1])
+        take = ~new & (final | (run < len(starts) - 1))
+        return out(n[starts][run[take]], n[take], k[take], size[run[take]] < 3), (0 if final or not len(starts) else starts[-1])
 
     for batch in batches:
         k, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        again = np.zeros(len(k), bool)
+        again[1:] = (k[1:] == k[:-1]) & (n[1:] == n[:-1])
+        if len(k) and last == (k[0], n[0]):
+            again[0] = True
+        if len(k):
+            last = (k[-1], n[-1])
+        k, n = k[~again], n[~again]
         if open_key is not None:
             more = int(np.searchsorted(k != open_key, True)) if len(k) else 0
             if more:
@@ -205,26 +228,35 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ------------------------------------------------------------------ verification
 
 
+def coordinates_for(sizes: np.ndarray) -> np.ndarray:
+    """Coordinates of a vector by the size of its set: a power of two, a twelfth of the size or more."""
+    return 1 << np.maximum(int(np.log2(COORDINATES)), np.ceil(np.log2(np.maximum(sizes, 1) / 12)).astype(np.int64))
+
+
 def count_vector(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES)
+    n = int(coordinates_for(np.array([len(hashes)]))[0])
+    return np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (n - 1), minlength=n)
 
 
-def _full_sets(width: int):
+def _wanted_sets(width: int, vectors: bool):
+    """Rows (identifier, text, wanted nodes) -> their sets, or their count vectors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.pieces(batches):
             found, first = distinct_shingles(data, offsets, width)
-            row = np.repeat(np.arange(rows.num_rows), np.diff(first))
-            vectors = np.bincount(row * COORDINATES + (found >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=rows.num_rows * COORDINATES)
-            yield pa.record_batch(
-                [rows.column(0), _signed(set_ids(found, first)), _lists(found, first), pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1) * COORDINATES, pa.int32()), pa.array(vectors, pa.int32())), rows.column(2)],
-                names=["doc_id", "node", "found", "counts", "wanted"],
-            )
+            if vectors:
+                each = [count_vector(found[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                values = pa.array(np.concatenate(each), pa.int32())
+                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in each])]), pa.int32()), values)
+            else:
+                column = _lists(found, first)
+            yield pa.record_batch([_signed(set_ids(found, first)), column, rows.column(2)], names=["node", "found", "wanted"])
 
     return run
 
 
-def _needed(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Sets of the wanted nodes: ``wanted`` has (doc_id, node, extra); gives (node, found, counts, extra).
+def _needed(docs: DataFrame, wanted: DataFrame, width: int, vectors: bool = False) -> DataFrame:
+    """Sets (or count vectors) of the wanted nodes: ``wanted`` has (doc_id, node, extra); gives (node, found, extra).
 
     The wanted side is broadcast while it is at most BROADCAST_ROWS rows; beyond that it is an ordinary join."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "extra")).alias("wanted"))
@@ -232,22 +264,21 @@ def _needed(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         lists = F.broadcast(lists)
     kind = dict(wanted.dtypes)["extra"]
     met = docs.join(lists, "doc_id").select("doc_id", "text", "wanted")
-    full = met.mapInArrow(_full_sets(width), f"doc_id long, node long, found array<long>, counts array<int>, wanted array<struct<node:bigint,extra:{kind}>>")
-    each = full.select("node", "found", "counts", F.explode("wanted").alias("w"))
-    return each.where("node = w.node").select("node", "found", "counts", F.col("w.extra").alias("extra"))
+    full = met.mapInArrow(_wanted_sets(width, vectors), f"node long, found array<{'int' if vectors else 'long'}>, wanted array<struct<node:bigint,extra:{kind}>>")
+    each = full.select("node", "found", F.explode("wanted").alias("w"))
+    return each.where("node = w.node").select("node", "found", F.col("w.extra").alias("extra"))
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are similar enough: first by the count-vector bound, then by the sets."""
-    of_b = pairs.select(F.col("b").alias("node"), F.col("a").alias("extra")).join(nodes.select("node", "doc_id"), "node")
-    of_a = pairs.select(F.col("a").alias("node"), F.lit(0).alias("extra")).distinct().join(nodes.select("node", "doc_id"), "node")
-    b = _needed(docs, of_b, width).select(F.col("extra").alias("a"), F.col("node").alias("b"), F.col("found").alias("fb"), F.col("counts").alias("cb"))
-    a = _needed(docs, of_a, width).select(F.col("node").alias("a"), F.col("found").alias("fa"), F.col("counts").alias("ca"))
+    """The (a, b) of ``pairs`` whose sets are similar enough."""
+    pairs = common.written(pairs, "jaccard-pairs")
+    of_b = pairs.select(F.col("b").alias("node"), F.col("a").alias("extra")).join(nodes, "node")
+    of_a = pairs.select(F.col("a").alias("node"), F.lit(0).alias("extra")).distinct().join(nodes, "node")
+    b = _needed(docs, of_b, width).select(F.col("extra").alias("a"), F.col("node").alias("b"), F.col("found").alias("fb"))
+    a = _needed(docs, of_a, width).select(F.col("node").alias("a"), F.col("found").alias("fa"))
     total = F.size("fa") + F.size("fb")
-    most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     share = F.size(F.array_intersect("fa", "fb"))
-    enough = lambda x: (F.lit(100 + percent) * x.cast("long") >= F.lit(percent) * total.cast("long"))
-    return a.join(b, "a").where(enough(most)).where(enough(share)).select("a", "b")
+    return a.join(b, "a").where(F.lit(100 + percent) * share.cast("long") >= F.lit(percent) * total.cast("long")).select("a", "b").distinct()
 
 
 # ------------------------------------------------------------------ the R-tree
@@ -283,13 +314,19 @@ class CountTree:
 def _search(percent: int):
     """Sorted rows (key, i, j, salt, node, root, counts) -> candidate pairs (a, b) of different roots within each (key, i, j)."""
 
-    def pairs_of(salt, node, root, vectors, i, j):
+    def folded(counts: list[np.ndarray]) -> np.ndarray:
+        """Vectors of one block with the coordinates of the shortest: the counts of coordinates that fall together add up."""
+        n = min(len(c) for c in counts)
+        return np.stack([c.reshape(-1, n).sum(0) for c in counts])
+
+    def pairs_of(salt, node, root, counts, i, j):
         if i == j:
             left = right = np.arange(len(node))
         else:
             left, right = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
         if not len(left) or not len(right) or root.min() == root.max():
             return None
+        vectors = folded(counts)
         tree, a, b = CountTree(vectors[right]), [], []
         for x in left:
             y = right[tree.query(vectors[x], percent)]
@@ -321,7 +358,11 @@ def _search(percent: int):
 
         for batch in batches:
             columns = [batch.column(c).to_numpy() for c in range(6)]
-            columns.append(batch.column(6).flatten().to_numpy().reshape(-1, COORDINATES))
+            lists = batch.column(6)
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            counts = np.empty(len(lists), object)
+            counts[:] = [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+            columns.append(counts)
             if held is not None:
                 columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
             k, i, j = columns[:3]
@@ -351,14 +392,14 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     classes = Classes(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    sized = hashed.mapInArrow(_sets(width, None), "doc_id long, n_shingles long, node long, text_hash long")
-    keyed = rows.where("doc_id is not null").mapInArrow(_sets(width, classes), "doc_id long, n_shingles long, node long, keys array<long>").where("n_shingles > 0")
+    sized = common.written(hashed.mapInArrow(_sized(width), "doc_id long, n_shingles long, node long, text_hash long"), "jaccard-sizes")
     # 1. equal sets are one node
-    nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    nodes = sized.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = common.written(nodes, "jaccard-nodes")
     # 2. runs of nodes that share a key; each node with the first of its run
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = nodes.select(F.explode("keys").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+    keyed = rows.where("doc_id is not null").select("text").mapInArrow(_keyed(width, classes), "key long, node long")
+    met = keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
     runs = common.written(met.mapInArrow(_runs, "leader long, node long, key long"), "jaccard-runs")
     # 3. verified pairs with the first nodes, and their components
     pairs = runs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -372,12 +413,13 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = named.select("node", "root").join(least, "root").select("node", "component_id", F.col("root").alias("group"))
-    out = sized.withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node"))).join(of_node, "node", "left")
-    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", alone).alias("component_id"), "text_hash", "group")
+    linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    linked = sized.where(linkable).join(of_node, "node").select("doc_id", "n_shingles", "component_id", "text_hash", "group")
+    alone = sized.where(~linkable).select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"), "text_hash", F.lit(None).cast("long").alias("group"))
+    return linked.unionByName(alone)
 
 
-def _without(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_anti") -> DataFrame:
+def _match(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_anti") -> DataFrame:
     """Semi or anti join whose key side is broadcast while it is at most BROADCAST_ROWS rows."""
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
 
@@ -390,13 +432,13 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     mark, own = "_text_hash_of_keep_one", "_identifier_of_keep_one"
     marked = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string"))).withColumn(own, F.col(id_col).cast("long"))
     key = lambda df: df.select(F.col("doc_id").alias(own), F.col("text_hash").alias(mark))
-    out = _without(marked, key(inner.where("doc_id <> component_id")).distinct(), [own, mark])
+    out = _match(marked, key(inner.where("doc_id <> component_id")).distinct(), [own, mark])
     first = inner.where("doc_id = component_id")
     repeated = common.written(first.join(first.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "group", "left_semi"), "jaccard-repeated")
     if not repeated.isEmpty():
         again = key(repeated).withColumn("_group_of_keep_one", repeated["group"]).distinct()
         once = out.join(again, [own, mark]).dropDuplicates(["_group_of_keep_one"]).drop("_group_of_keep_one")
-        out = _without(out, key(repeated).distinct(), [own, mark]).unionByName(once)
+        out = _match(out, key(repeated).distinct(), [own, mark]).unionByName(once)
     return out.drop(mark, own)
 
 
@@ -413,8 +455,11 @@ def _rest(rows: DataFrame, nodes: DataFrame, runs: DataFrame, roots: DataFrame,
     members = members.select("key", "node").unionByName(members.select("key", F.col("leader").alias("node")).distinct())
     members = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     members = common.written(members, "jaccard-members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node").withColumn("extra", F.lit(0))
-    vectors = _needed(rows, wanted, width).select("node", "counts").dropDuplicates(["node"])
+    # runs of the same nodes would give the same pairs: one of them is searched
+    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+    members = members.join(same.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    wanted = members.select("node").distinct().join(nodes, "node").withColumn("extra", F.lit(0))
+    vectors = _needed(rows, wanted, width, vectors=True).select("node", F.col("found").alias("counts")).dropDuplicates(["node"])
     cells = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
     cut = members.join(cells, "key").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
