@@ -29,11 +29,9 @@ import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress, repeat
-from operator import is_
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +49,8 @@ BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY, BLOOM_PROBES = 10, 7
 #: Text bytes aimed at in one shard.
 SHARD_BYTES = 16 << 20
-#: Distinct pieces in a generation of a worker's memory; it keeps the current generation and the one before.
-GENERATION = 400_000
+#: Distinct pieces that a worker remembers.
+MOST_PIECES = 6_000_000
 
 MANIFEST = "shard long, path string, n_docs long, n_tokens long, bytes long"
 ROWS = "doc_id long, shard long, at long, n_tokens long, ids_crc32 long"
@@ -61,77 +59,130 @@ ROWS = "doc_id long, shard long, at long, n_tokens long, ids_crc32 long"
 # ------------------------------------------------------------------ encoding
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[[44, 46]] = True
+_CHECK_BASE = np.uint64(0xD1B54A32D192ED03)
+_CHECK_INVERSE = np.uint64(pow(0xD1B54A32D192ED03, -1, 1 << 64))
+
+
+def _like_space(data: np.ndarray) -> np.ndarray:
+    """Bytes of white space, and of characters that may be white space outside ASCII (some are only near it in the code)."""
+    space = _SPACE[data]
+    lead = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+    lead = lead[lead + 1 < len(data)]
+    if len(lead):
+        a, b = data[lead], data[lead + 1]
+        two = lead[(a == 0xC2) & ((b == 0x85) | (b == 0xA0))]
+        three = lead[((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))]
+        for at in (two, two + 1, three, three + 1, three + 2):
+            space[at[at < len(data)]] = True
+    return space
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the texts can be cut without a token lying across.
+
+    The byte-level splitter opens a token at every space, and makes one of every line feed, that stands alone between
+    characters that are not white space; and a comma or full stop between a letter or digit and white space is a token."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    space = _like_space(data)
+    before, after = np.ones(n, bool), np.ones(n, bool)  # the neighbours are white space, or there is none
+    before[1:], after[:-1] = space[:-1], space[1:]
+    edge = offsets[(offsets > 0) & (offsets < n)]
+    before[edge] = True
+    after[edge - 1] = True
+    cut = ((data == 32) | (data == 10)) & ~before & ~after
+    stop = np.flatnonzero(_STOP[data] & after)
+    stop = stop[stop > 0]
+    stop = stop[_ALNUM[data[stop - 1]] & ~before[stop]]
+    cut[stop] = True
+    cut[0] = True
+    cut[edge] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
-    """Ids of whole texts by the ``tokenizers`` library, remembering pieces it has seen.
+    """Ids of whole texts by the ``tokenizers`` library, which encodes each distinct piece once.
 
-    The byte-level splitter never lets a token span a single space between two non-space
-    characters (that space opens the next token), nor a line feed there (it is a token of its
-    own).  So a text is cut at those places and each piece is encoded by the library once; the
-    ids joined are the ids of the whole text.  Texts with runs of white space are cut only at
-    the spaces that stand alone."""
+    Texts are cut where no token can lie across (``piece_starts``); a piece is known by a 64-bit hash and a second
+    one that is compared.  Known pieces are kept in sorted arrays (some 30 bytes each), forgotten all at once when they
+    are more than MOST_PIECES."""
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.code = "H" if self.width == 2 else "I"
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.stops = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.kind).tobytes() for c in ".,"}
-        self.runs = re.compile(r"\s\s")
-        self.cuts = re.compile(r"(?<=\S) (?=\S)")
-
-    def batch(self, texts: list[str], end_id: int) -> list[bytes]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash, self.check, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.tokens, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = common.span_hashes(data, starts, ends)
+        up, down = _check_powers(1 << max(12, (len(data) + 1).bit_length()))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        return first, (sums[ends] - sums[starts]) * down[starts]
+
+    def _learn(self, hashes: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int32, len(got))
+        total = int(lengths.sum())
+        while self.used + total > len(self.tokens):
+            self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
+        self.tokens[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), self.kind, total)
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.used += total
+        at = np.searchsorted(self.hash, hashes)
+        self.hash, self.check = np.insert(self.hash, at, hashes), np.insert(self.check, at, checks)
+        self.start, self.length = np.insert(self.start, at, starts), np.insert(self.length, at, lengths)
+
+    def bytes_of(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> list[bytes]:
         """Per text its ids as packed integers of ``width`` bytes, the end id last."""
-        if len(self.known) > GENERATION:
-            self.known, self.older = {}, self.known
-        known = self.known
-        end = array(self.code, [end_id]).tobytes()
-        out: list[bytes] = []
-        late: list[tuple[int, list[str]]] = []  # texts with pieces not seen before
-        new: dict[str, None] = {}
-        for text in texts:
-            if "\0" in text:
-                parts = [text]
-            elif text[:1].isspace() or text[-1:].isspace() or self.runs.search(text):
-                parts = self.cuts.split(text)
-            else:  # "a b\nc" -> "a", "b", "\nc": a piece that starts with a line feed has no space before it
-                parts = text.replace("\n", " \n").split(" ")
-            parts[0] = "\0" + parts[0]  # nor has the first piece
-            ids = list(map(known.get, parts))
-            if None in ids:
-                new.update(dict.fromkeys(compress(parts, map(is_, ids, repeat(None)))))
-                late.append((len(out), parts))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids) + end)
-        if new:
-            self._learn(new)
-            for k, parts in late:
-                out[k] = b"".join(map(known.__getitem__, parts)) + end
-        return out
-
-    def _learn(self, new: dict[str, None]) -> None:
-        known, older = self.known, self.older
-        again = [p for p in new if p in older]
-        for p in again:
-            known[p] = older[p]
-            del new[p]
-        ends = [p for p in new if p[-1:] in self.stops and p[-2:-1].isalnum()]  # letters or digits, then a token of the stop alone
-        for p in ends:
-            del new[p]
-        new.update(dict.fromkeys(c for c in {p[:-1] for p in ends} if c not in known))
-        names = list(new)
-        inputs = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in names]
-        for name, got in zip(names, self.tokenizer.encode_batch_fast(inputs, add_special_tokens=False), strict=True):
-            known[name] = array(self.code, got.ids).tobytes()
-        for p in ends:
-            known[p] = known[p[:-1]] + self.stops[p[-1]]
+        if len(self.hash) > MOST_PIECES:
+            self._forget()
+        end = np.array([end_id], self.kind).tobytes()
+        starts = piece_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        hashes, checks = self._hashes(data, starts, ends)
+        distinct, where, of = np.unique(hashes, return_index=True, return_inverse=True)
+        if (checks[where][of] != checks).any():
+            raise ArithmeticError("two pieces share a 64-bit hash")
+        at = np.searchsorted(self.hash, distinct)
+        inside = np.minimum(at, max(0, len(self.hash) - 1))
+        known = self.hash[inside] == distinct if len(self.hash) else np.zeros(len(distinct), bool)
+        if known.any() and (self.check[inside[known]] != checks[where[known]]).any():
+            raise ArithmeticError("two pieces share a 64-bit hash")
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            self._learn(distinct[new], checks[where[new]], [raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.hash, distinct)
+        lengths = self.length[at][of] if len(of) else np.zeros(0, np.int64)
+        out = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        ids = self.tokens[np.repeat(self.start[at][of] - out[:-1], lengths) + np.arange(out[-1])] if len(of) else self.tokens[:0]
+        bounds = out[np.searchsorted(starts, offsets)].tolist()
+        return [ids[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def batch(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        return self.bytes_of(*common.text_bytes(pa.array(texts, pa.string())), end_id)
+
+
+@lru_cache(2)
+def _check_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _CHECK_BASE, np.uint64), np.full(n + 1, _CHECK_INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
 @lru_cache(1)
@@ -296,21 +347,15 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         shard = context.partitionId() if context else 0
         out = sink = None
         encode = encoder(vocabulary)
-        for batch in batches:
-            at, lengths = 0, np.diff(common.text_bytes(batch.column(1))[1])
-            while at < batch.num_rows:  # small groups bound the memory of ids in flight
-                to = max(at + 1, at + int(np.searchsorted(np.cumsum(lengths[at:]), common.PIECE_BYTES)))
-                rows = batch.slice(at, to - at)
-                at = to
-                if sink is None:
-                    system, root = pafs.FileSystem.from_uri(folder)
-                    name = f"{root}/shard-{shard:06d}.sst"
-                    attempt = f"{root}/_attempt-{shard:06d}-{uuid.uuid4().hex}"
-                    out = system.open_output_stream(attempt)
-                    sink = ShardWriter(out, encode.width)
-                texts = [t or "" for t in rows.column(1).to_pylist()]
-                for doc_id, ids in zip(rows.column(0).to_pylist(), encode.batch(texts, end_id), strict=True):
-                    sink.add(key_of(doc_id), ids)
+        for rows, data, offsets in common.pieces(batches):
+            if sink is None:
+                system, root = pafs.FileSystem.from_uri(folder)
+                name = f"{root}/shard-{shard:06d}.sst"
+                attempt = f"{root}/_attempt-{shard:06d}-{uuid.uuid4().hex}"
+                out = system.open_output_stream(attempt)
+                sink = ShardWriter(out, encode.width)
+            for doc_id, ids in zip(rows.column(0).to_pylist(), encode.bytes_of(data, offsets, end_id), strict=True):
+                sink.add(key_of(doc_id), ids)
         if sink is not None:
             sink.close()
             out.close()
