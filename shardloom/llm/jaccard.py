@@ -18,8 +18,9 @@ Steps, none of which gathers a group or builds all pairs of one:
 2. nodes that share a key meet in one sorted run; each is paired with the first node of the run only;
 3. those pairs are verified and joined to components;
 4. runs that still hold nodes of different components are searched for all their pairs by the R-tree (once for
-   runs of the same nodes), large runs as pairs of bounded sub-blocks; candidates are verified, and the components
-   extended.
+   runs of the same nodes), large runs as pairs of bounded sub-blocks.  A first search gives only the candidates that
+   would join a block's components, best bounds first; a second one, after these are verified, all that are left
+   between different components.
 
 A pair that shares no key differs in more than d_c shingles, so no link is lost.  A node is known by a 64-bit
 hash of its set.
@@ -229,8 +230,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def coordinates_for(sizes: np.ndarray) -> np.ndarray:
-    """Coordinates of a vector by the size of its set: a power of two, a twelfth of the size or more."""
-    return 1 << np.maximum(int(np.log2(COORDINATES)), np.ceil(np.log2(np.maximum(sizes, 1) / 12)).astype(np.int64))
+    """Coordinates of a vector by the size of its set: a power of two, half the size or more.  Shingles that differ then
+    seldom fall together, so the bound tells apart texts that are only nearly similar enough."""
+    return 1 << np.maximum(int(np.log2(COORDINATES)), np.ceil(np.log2(np.maximum(sizes, 1) / 2)).astype(np.int64))
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
@@ -246,7 +248,7 @@ def _wanted_sets(width: int, vectors: bool):
             found, first = distinct_shingles(data, offsets, width)
             if vectors:
                 each = [count_vector(found[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                values = pa.array(np.concatenate(each), pa.int32())
+                values = pa.array(np.concatenate(each).astype(np.int16))
                 column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in each])]), pa.int32()), values)
             else:
                 column = _lists(found, first)
@@ -264,7 +266,7 @@ def _needed(docs: DataFrame, wanted: DataFrame, width: int, vectors: bool = Fals
         lists = F.broadcast(lists)
     kind = dict(wanted.dtypes)["extra"]
     met = docs.join(lists, "doc_id").select("doc_id", "text", "wanted")
-    full = met.mapInArrow(_wanted_sets(width, vectors), f"node long, found array<{'int' if vectors else 'long'}>, wanted array<struct<node:bigint,extra:{kind}>>")
+    full = met.mapInArrow(_wanted_sets(width, vectors), f"node long, found array<{'short' if vectors else 'long'}>, wanted array<struct<node:bigint,extra:{kind}>>")
     each = full.select("node", "found", F.explode("wanted").alias("w"))
     return each.where("node = w.node").select("node", "found", F.col("w.extra").alias("extra"))
 
@@ -288,7 +290,7 @@ class CountTree:
     """R-tree over count vectors, bulk-loaded in order of size: a node keeps the coordinate maxima and the least size below it."""
 
     def __init__(self, vectors: np.ndarray):
-        sizes = vectors.sum(1)
+        sizes = vectors.sum(1, dtype=np.int64)
         self.order = np.lexsort((vectors[:, 0], sizes))
         level, least = vectors[self.order], sizes[self.order]
         self.levels = [(level, least)]
@@ -299,11 +301,11 @@ class CountTree:
 
     def query(self, vector: np.ndarray, percent: int) -> np.ndarray:
         """Indices of the points whose summed minima with ``vector`` allow the threshold."""
-        size = vector.sum()
+        size = int(vector.sum(dtype=np.int64))
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             level, least = self.levels[depth]
-            bound = np.minimum(level[at], vector).sum(1)
+            bound = np.minimum(level[at], vector).sum(1, dtype=np.int64)
             at = at[(100 + percent) * bound >= percent * (size + least[at])]
             if depth:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
@@ -311,13 +313,37 @@ class CountTree:
         return self.order[at]
 
 
-def _search(percent: int):
-    """Sorted rows (key, i, j, salt, node, root, counts) -> candidate pairs (a, b) of different roots within each (key, i, j)."""
+def forest(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs x-y, taken in their order, join components that were apart (given by ``root``) until then."""
+    _, start = np.unique(root, return_inverse=True)
+    parent = list(range(start.max() + 1))
+    left, kept = len(parent) - 1, []
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for k, (a, b) in enumerate(zip(start[x].tolist(), start[y].tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+            left -= 1
+            if not left:
+                break
+    return np.array(kept, np.int64)
+
+
+def _search(percent: int, joining: bool):
+    """Sorted rows (key, i, j, salt, node, root, counts) -> candidate pairs (a, b) of different roots within each (key, i, j):
+    all of them, or only those that join the block's components (``joining``)."""
 
     def folded(counts: list[np.ndarray]) -> np.ndarray:
         """Vectors of one block with the coordinates of the shortest: the counts of coordinates that fall together add up."""
         n = min(len(c) for c in counts)
-        return np.stack([c.reshape(-1, n).sum(0) for c in counts])
+        return np.stack([c.reshape(-1, n).sum(0, dtype=np.int16) for c in counts])
 
     def pairs_of(salt, node, root, counts, i, j):
         if i == j:
@@ -327,14 +353,24 @@ def _search(percent: int):
         if not len(left) or not len(right) or root.min() == root.max():
             return None
         vectors = folded(counts)
-        tree, a, b = CountTree(vectors[right]), [], []
+        tree, a, b, slack = CountTree(vectors[right]), [], [], []
+        sizes = vectors.sum(1, dtype=np.int64)
         for x in left:
             y = right[tree.query(vectors[x], percent)]
             y = y[(root[y] != root[x]) & ((node[y] > node[x]) if i == j else True)]
-            a.append(np.full(len(y), node[x]))
-            b.append(node[y])
+            if len(y):
+                a.append(np.full(len(y), x))
+                b.append(y)
+                if joining:
+                    slack.append(np.minimum(vectors[y], vectors[x]).sum(1, dtype=np.int64) / (sizes[y] + sizes[x]))
+        if not a:
+            return None
         a, b = np.concatenate(a), np.concatenate(b)
-        return np.minimum(a, b), np.maximum(a, b)
+        if joining:
+            order = np.argsort(-np.concatenate(slack), kind="stable")
+            order = order[forest(root, a[order], b[order])]
+            a, b = a[order], b[order]
+        return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -404,11 +440,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     # 3. verified pairs with the first nodes, and their components
     pairs = runs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = common.written(verified(rows, nodes, pairs, width, percent), "jaccard-links")
-    roots = components(stars)
     # 4. what is left between components of one run
-    rest = _rest(rows, nodes, runs, roots, width, percent)
-    if rest is not None:
-        roots = components(stars.unionByName(rest))
+    roots = _rest(rows, nodes, runs, stars, width, percent)
     # components are named by the least identifier of their nodes
     named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -436,36 +469,39 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     first = inner.where("doc_id = component_id")
     repeated = common.written(first.join(first.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "group", "left_semi"), "jaccard-repeated")
     if not repeated.isEmpty():
-        again = key(repeated).withColumn("_group_of_keep_one", repeated["group"]).distinct()
+        again = repeated.select(F.col("doc_id").alias(own), F.col("text_hash").alias(mark), F.col("group").alias("_group_of_keep_one")).distinct()
         once = out.join(again, [own, mark]).dropDuplicates(["_group_of_keep_one"]).drop("_group_of_keep_one")
         out = _match(out, key(repeated).distinct(), [own, mark]).unionByName(once)
     return out.drop(mark, own)
 
 
-def _rest(rows: DataFrame, nodes: DataFrame, runs: DataFrame, roots: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links between different components inside runs of three or more nodes."""
+def _rest(rows: DataFrame, nodes: DataFrame, runs: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+    """Components of ``links`` and of the links between different components inside runs of three or more nodes."""
+    roots = components(links)
     large = runs.where("key is not null")
     rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lead = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead_root"))
     mixed = rooted.join(lead, "leader", "left").where(F.col("root") != F.coalesce("lead_root", "leader")).select("key").distinct()
     mixed = common.written(mixed, "jaccard-mixed")
     if mixed.isEmpty():
-        return None
+        return roots
     members = large.join(mixed, "key", "left_semi")
-    members = members.select("key", "node").unionByName(members.select("key", F.col("leader").alias("node")).distinct())
-    members = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    members = common.written(members, "jaccard-members")
+    members = common.written(members.select("key", "node").unionByName(members.select("key", F.col("leader").alias("node")).distinct()), "jaccard-members")
     # runs of the same nodes would give the same pairs: one of them is searched
     same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
-    members = members.join(same.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
-    wanted = members.select("node").distinct().join(nodes, "node").withColumn("extra", F.lit(0))
-    vectors = _needed(rows, wanted, width, vectors=True).select("node", F.col("found").alias("counts")).dropDuplicates(["node"])
-    cells = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
-    cut = members.join(cells, "key").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    cut = cut.select("key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node", "root").join(vectors, "node")
+    members = common.written(members.join(same.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "jaccard-runs-apart")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut.select("key", "i", "j", "salt", "node", "root", "counts").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = ordered.mapInArrow(_search(percent), "a long, b long").distinct()
-    found = common.written(found, "jaccard-candidates")
-    return verified(rows, nodes, found, width, percent)
+    for joining in (True, False):
+        now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        cells = now.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+        live = common.written(now.join(cells.select("key", "cells"), "key"), "jaccard-blocks")
+        wanted = live.select("node").distinct().join(nodes, "node").withColumn("extra", F.lit(0))
+        vectors = _needed(rows, wanted, width, vectors=True).select("node", F.col("found").alias("counts")).dropDuplicates(["node"])
+        cut = live.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        cut = cut.select("key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node", "root").join(vectors, "node")
+        ordered = cut.select("key", "i", "j", "salt", "node", "root", "counts").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        found = common.written(ordered.mapInArrow(_search(percent, joining), "a long, b long").distinct(), "jaccard-candidates")
+        if not found.isEmpty():
+            links = links.unionByName(common.written(verified(rows, nodes, found, width, percent), "jaccard-links"))
+            roots = components(links)
+    return roots
