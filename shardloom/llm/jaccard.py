@@ -16,11 +16,12 @@ Steps, none of which gathers a group or builds all pairs of one:
 
 1. texts with equal sets are one node; a task files a node's keys once, so thousands of copies are a few rows;
 2. nodes that share a key meet in one sorted run; each is paired with the first node of the run only;
-3. those pairs are verified and joined to components;
+3. those pairs are screened by coarse vectors, verified and joined to components;
 4. runs that still hold nodes of different components are searched for all their pairs by the R-tree (once for
-   runs of the same nodes), large runs as pairs of bounded sub-blocks.  A first search gives only the candidates that
-   would join a block's components, best bounds first; a second one, after these are verified, all that are left
-   between different components.
+   runs of the same nodes), large runs as pairs of bounded sub-blocks.  A search of coarse vectors leaves the nodes
+   that may have a partner in their run at all; one of fine vectors gives the candidates that would join a block's
+   components, best bounds first; and a last one, after these are verified, all candidates that are left between
+   different components.
 
 A pair that shares no key differs in more than d_c shingles, so no link is lost.  A node is known by a 64-bit
 hash of its set.
@@ -50,7 +51,7 @@ SPARE = 0.3
 #: Least coordinates of a count vector; larger texts have more, so that the bound still tells them apart.
 COORDINATES = 64
 #: Nodes in one side of a sub-block of a large run.
-CELL = 512
+CELL = 2048
 #: Rows up to which a list of needed documents is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 500_000
 LEAF = 16
@@ -229,25 +230,29 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ------------------------------------------------------------------ verification
 
 
-def coordinates_for(sizes: np.ndarray) -> np.ndarray:
-    """Coordinates of a vector by the size of its set: a power of two, half the size or more.  Shingles that differ then
-    seldom fall together, so the bound tells apart texts that are only nearly similar enough."""
-    return 1 << np.maximum(int(np.log2(COORDINATES)), np.ceil(np.log2(np.maximum(sizes, 1) / 2)).astype(np.int64))
+#: Set members per coordinate, at most, of the vectors that screen pairs and of those in the R-tree.  Shingles that
+#: differ seldom fall together in the latter, so the bound tells apart texts that are only nearly similar enough.
+COARSE, FINE = 6, 2
 
 
-def count_vector(hashes: np.ndarray) -> np.ndarray:
-    n = int(coordinates_for(np.array([len(hashes)]))[0])
+def coordinates_for(size: int, members: int) -> int:
+    """Coordinates of the vector of a set of this size: a power of two."""
+    return max(COORDINATES, 1 << max(0, -(-size // members) - 1).bit_length())
+
+
+def count_vector(hashes: np.ndarray, members: int) -> np.ndarray:
+    n = coordinates_for(len(hashes), members)
     return np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (n - 1), minlength=n)
 
 
-def _wanted_sets(width: int, vectors: bool):
-    """Rows (identifier, text, wanted nodes) -> their sets, or their count vectors."""
+def _wanted_sets(width: int, members: int):
+    """Rows (identifier, text, wanted nodes) -> their sets, or (``members`` > 0) their count vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.pieces(batches):
             found, first = distinct_shingles(data, offsets, width)
-            if vectors:
-                each = [count_vector(found[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            if members:
+                each = [count_vector(found[a:b], members) for a, b in zip(first[:-1], first[1:], strict=True)]
                 values = pa.array(np.concatenate(each).astype(np.int16))
                 column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in each])]), pa.int32()), values)
             else:
@@ -257,8 +262,29 @@ def _wanted_sets(width: int, vectors: bool):
     return run
 
 
-def _needed(docs: DataFrame, wanted: DataFrame, width: int, vectors: bool = False) -> DataFrame:
-    """Sets (or count vectors) of the wanted nodes: ``wanted`` has (doc_id, node, extra); gives (node, found, extra).
+def _list_rows(column: pa.Array) -> list[np.ndarray]:
+    at, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def _screen(percent: int):
+    """Rows (a, b, vector of a, vector of b) -> the pairs whose summed minima allow the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(_list_rows(batch.column(2)), _list_rows(batch.column(3)), strict=True)):
+                n = min(len(x), len(y))
+                x, y = x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)
+                keep[k] = (100 + percent) * int(np.minimum(x, y).sum()) >= percent * int(x.sum() + y.sum())
+            kept = batch.filter(pa.array(keep))
+            yield pa.record_batch(kept.columns[:2], names=["a", "b"])
+
+    return run
+
+
+def _needed(docs: DataFrame, wanted: DataFrame, width: int, members: int = 0) -> DataFrame:
+    """Sets (or count vectors, with ``members``) of the wanted nodes: ``wanted`` has (doc_id, node, extra); gives (node, found, extra).
 
     The wanted side is broadcast while it is at most BROADCAST_ROWS rows; beyond that it is an ordinary join."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "extra")).alias("wanted"))
@@ -266,11 +292,26 @@ def _needed(docs: DataFrame, wanted: DataFrame, width: int, vectors: bool = Fals
         lists = F.broadcast(lists)
     kind = dict(wanted.dtypes)["extra"]
     met = docs.join(lists, "doc_id").select("doc_id", "text", "wanted")
-    full = met.mapInArrow(_wanted_sets(width, vectors), f"node long, found array<{'short' if vectors else 'long'}>, wanted array<struct<node:bigint,extra:{kind}>>")
+    full = met.mapInArrow(_wanted_sets(width, members), f"node long, found array<{'short' if members else 'long'}>, wanted array<struct<node:bigint,extra:{kind}>>")
     each = full.select("node", "found", F.explode("wanted").alias("w"))
     return each.where("node = w.node").select("node", "found", F.col("w.extra").alias("extra"))
 
 
+def _vectors(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, members: int) -> DataFrame:
+    """(node, counts) of the nodes in ``wanted``."""
+    rows = wanted.select("node").distinct().join(nodes, "node").withColumn("extra", F.lit(0))
+    return _needed(docs, rows, width, members).select("node", F.col("found").alias("counts")).dropDuplicates(["node"])
+
+
+def screened(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that coarse vectors do not rule out."""
+    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    vectors = common.written(_vectors(docs, nodes, both, width, COARSE), "jaccard-vectors")
+    of_a, of_b = (vectors.select(F.col("node").alias(c), F.col("counts").alias(f"c{c}")) for c in "ab")
+    met = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ca", "cb")
+    return met.mapInArrow(_screen(percent), "a long, b long")
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets are similar enough."""
     pairs = common.written(pairs, "jaccard-pairs")
@@ -336,16 +377,16 @@ def forest(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _search(percent: int, joining: bool):
+def _search(percent: int, what: str):
     """Sorted rows (key, i, j, salt, node, root, counts) -> candidate pairs (a, b) of different roots within each (key, i, j):
-    all of them, or only those that join the block's components (``joining``)."""
+    ``all`` of them, or only those that ``join`` the block's components; or (key, node) of the nodes that are ``near`` any."""
 
     def folded(counts: list[np.ndarray]) -> np.ndarray:
         """Vectors of one block with the coordinates of the shortest: the counts of coordinates that fall together add up."""
         n = min(len(c) for c in counts)
         return np.stack([c.reshape(-1, n).sum(0, dtype=np.int16) for c in counts])
 
-    def pairs_of(salt, node, root, counts, i, j):
+    def pairs_of(key, i, j, salt, node, root, counts):
         if i == j:
             left = right = np.arange(len(node))
         else:
@@ -361,15 +402,18 @@ def _search(percent: int, joining: bool):
             if len(y):
                 a.append(np.full(len(y), x))
                 b.append(y)
-                if joining:
+                if what == "join":
                     slack.append(np.minimum(vectors[y], vectors[x]).sum(1, dtype=np.int64) / (sizes[y] + sizes[x]))
         if not a:
             return None
         a, b = np.concatenate(a), np.concatenate(b)
-        if joining:
+        if what == "join":
             order = np.argsort(-np.concatenate(slack), kind="stable")
             order = order[forest(root, a[order], b[order])]
             a, b = a[order], b[order]
+        if what == "near":
+            found = np.unique(np.concatenate([node[a], node[b]]))
+            return np.full(len(found), key), found
         return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +422,7 @@ def _search(percent: int, joining: bool):
 
         def emit(group):
             nonlocal waiting
-            got = pairs_of(group[3], group[4], group[5], group[6], group[1][0], group[2][0])
+            got = pairs_of(group[0][0], group[1][0], group[2][0], *group[3:])
             if got is not None and len(got[0]):
                 out_a.append(got[0])
                 out_b.append(got[1])
@@ -394,10 +438,8 @@ def _search(percent: int, joining: bool):
 
         for batch in batches:
             columns = [batch.column(c).to_numpy() for c in range(6)]
-            lists = batch.column(6)
-            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            counts = np.empty(len(lists), object)
-            counts[:] = [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+            counts = np.empty(batch.num_rows, object)
+            counts[:] = _list_rows(batch.column(6))
             columns.append(counts)
             if held is not None:
                 columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
@@ -438,8 +480,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     met = keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
     runs = common.written(met.mapInArrow(_runs, "leader long, node long, key long"), "jaccard-runs")
     # 3. verified pairs with the first nodes, and their components
-    pairs = runs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    stars = common.written(verified(rows, nodes, pairs, width, percent), "jaccard-links")
+    pairs = common.written(runs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
+    stars = common.written(verified(rows, nodes, screened(rows, nodes, pairs, width, percent), width, percent), "jaccard-links")
     # 4. what is left between components of one run
     roots = _rest(rows, nodes, runs, stars, width, percent)
     # components are named by the least identifier of their nodes
@@ -490,18 +532,24 @@ def _rest(rows: DataFrame, nodes: DataFrame, runs: DataFrame, links: DataFrame,
     # runs of the same nodes would give the same pairs: one of them is searched
     same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
     members = common.written(members.join(same.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "jaccard-runs-apart")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for joining in (True, False):
-        now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        cells = now.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-        live = common.written(now.join(cells.select("key", "cells"), "key"), "jaccard-blocks")
-        wanted = live.select("node").distinct().join(nodes, "node").withColumn("extra", F.lit(0))
-        vectors = _needed(rows, wanted, width, vectors=True).select("node", F.col("found").alias("counts")).dropDuplicates(["node"])
-        cut = live.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-        cut = cut.select("key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node", "root").join(vectors, "node")
-        ordered = cut.select("key", "i", "j", "salt", "node", "root", "counts").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = common.written(ordered.mapInArrow(_search(percent, joining), "a long, b long").distinct(), "jaccard-candidates")
+    near = _searched(rows, nodes, members, roots, width, percent, "near")
+    members = common.written(near.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "jaccard-near")
+    for what in ("join", "all"):
+        found = common.written(_searched(rows, nodes, members, roots, width, percent, what).distinct(), "jaccard-candidates")
         if not found.isEmpty():
             links = links.unionByName(common.written(verified(rows, nodes, found, width, percent), "jaccard-links"))
             roots = components(links)
     return roots
+
+
+def _searched(rows: DataFrame, nodes: DataFrame, members: DataFrame, roots: DataFrame, width: int, percent: int, what: str) -> DataFrame:
+    """The search (columns a, b) of the runs in ``members`` (key, node) that hold more than one root."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    cells = now.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    live = common.written(now.join(cells.select("key", "cells"), "key"), "jaccard-blocks")
+    vectors = _vectors(rows, nodes, live, width, COARSE if what == "near" else FINE)
+    cut = live.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    cut = cut.select("key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node", "root").join(vectors, "node")
+    ordered = cut.select("key", "i", "j", "salt", "node", "root", "counts").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return ordered.mapInArrow(_search(percent, what), "a long, b long")
