@@ -7,8 +7,9 @@ time < interval end.  A pattern covers its own host and all hosts below it.
 
 Plan: hosts are made distinct first (partial aggregation, so a host with a third of all captures is one
 row), their suffixes meet the patterns in an equi-join, and each host gets the intervals that can apply to
-it; captures then join on their host.  Only that last join sees all captures: it is a plain equi-join
-whose small side Spark broadcasts while it is small, and whose skewed partitions it splits otherwise.
+it; captures then join on their host.  Only that last join sees all captures: the hosts' intervals are written,
+and broadcast while they are at most BROADCAST_INTERVALS (about 100 bytes each), so captures are not shuffled;
+beyond that it is an ordinary equi-join whose skewed partitions Spark splits.
 
 Defined results: a capture without a parsable host, or with a null fetch time, is allowed with no
 categories; entries with a null field are ignored; at one instant a removal wins over an addition;
@@ -20,6 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
+#: Intervals, over all hosts, up to which they are broadcast.
+BROADCAST_INTERVALS = 200_000
 #: Host of a URL: scheme, optional user part, then up to the port, path, query or fragment.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 
@@ -50,7 +55,9 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     hosts = rows.where("host is not null").select("host").distinct()
     reach = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("pattern"))
     applies = reach.join(intervals(entries), "pattern").groupBy("host").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), "pattern", "category", "since", "until")).alias("open"))
-    joined = rows.join(applies, "host", "left")
+    applies = written(applies, "url-intervals")
+    small = (applies.agg(F.sum(F.size("open"))).first()[0] or 0) <= BROADCAST_INTERVALS
+    joined = rows.join(F.broadcast(applies) if small else applies, "host", "left")
     active = F.filter("open", lambda x: (x["since"] <= F.col("fetched")) & (x["until"].isNull() | (F.col("fetched") < x["until"])))
     return joined.withColumn("active", F.coalesce(active, F.array())).select(
         "page_id",

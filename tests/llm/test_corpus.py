@@ -151,7 +151,9 @@ def test_mixing_samples_what_it_promises(spark):
 # ------------------------------------------------------------------ URL filters
 
 
-def test_url_filter_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_url_filter_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(urls, "BROADCAST_INTERVALS", broadcast)
     rng = random.Random(16)
     domains = ["a.com", "b.a.com", "c.b.a.com", "x.org", "y.x.org"]
     entries = [(rng.choice(domains + ["A.com", None]), rng.choice(["spam", "ads", None]), rng.choice(["add", "remove", "odd"]), rng.choice([None, *range(0, 50, 5)])) for _ in range(60)]
