@@ -23,6 +23,10 @@ Steps, none of which gathers a group or builds all pairs of one:
    components, best bounds first; and a last one, after these are verified, all candidates that are left between
    different components.
 
+Step 4 leaves out pairs in long runs (HOT_RUN nodes or more, such as those of a passage that many texts hold) where it
+can: a node whose keys in long runs, with its groups that have no key, are fewer than K_c - d_c has an equal group in
+a shorter run with every partner of which the same holds, so two such nodes need not be compared there.
+
 A pair that shares no key differs in more than d_c shingles, so no link is lost.  A node is known by a 64-bit
 hash of its set.
 
@@ -52,6 +56,10 @@ SPARE = 0.3
 COORDINATES = 64
 #: Nodes in one side of a sub-block of a large run.
 CELL = 2048
+#: Nodes of a run that make it a long one.
+HOT_RUN = 64
+#: The low bits of a key are its size class.
+CLASSES = 128
 #: Rows up to which a list of needed documents is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 500_000
 LEAF = 16
@@ -76,8 +84,10 @@ class Classes:
         return np.searchsorted(self.low, sizes, side="right") - 1
 
 
-def group_keys(hashes: np.ndarray, first: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all rows and per row the index of its first key; ``hashes`` are sorted and distinct within each row."""
+def group_keys(hashes: np.ndarray, first: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of all rows and per row the index of its first key; ``hashes`` are sorted and distinct within each row.
+
+    Then (row, class, spare): a row may leave out fewer than ``spare`` more keys of the class."""
     sizes = np.diff(first)
     own = classes.of(np.maximum(sizes, 1))
     jobs = []
@@ -90,7 +100,8 @@ def group_keys(hashes: np.ndarray, first: np.ndarray, classes: Classes) -> tuple
     order = np.argsort(rows, kind="stable")
     rows, cls = rows[order], cls[order]
     if not len(rows):
-        return np.zeros(0, np.uint64), np.zeros(len(sizes) + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(sizes) + 1, np.int64), (none, none, none)
     n = sizes[rows]
     base = np.concatenate([[0], np.cumsum(n)])
     at = np.arange(base[-1]) + np.repeat(first[rows] - base[:-1], n)
@@ -114,8 +125,12 @@ def group_keys(hashes: np.ndarray, first: np.ndarray, classes: Classes) -> tuple
     bare = np.flatnonzero(all_needed & (filled < total))  # an empty group may be all that two such texts share
     keys = np.concatenate([keys, common.mix(cls[bare].astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(0xE7037ED1A0B428DB))])
     row_of = np.concatenate([rows[of_job], rows[bare]])
+    of_class = np.concatenate([cls[of_job], cls[bare]]).astype(np.uint64)
+    keys = keys & ~np.uint64(CLASSES - 1) | of_class
+    # all empty groups share one key
+    spare = np.where(all_needed, total - spoiled - np.maximum(0, total - filled - 1), heavy - spoiled)
     order = np.argsort(row_of, kind="stable")
-    return keys[order], np.searchsorted(row_of[order], np.arange(len(sizes) + 1))
+    return keys[order], np.searchsorted(row_of[order], np.arange(len(sizes) + 1)), (rows, cls, spare)
 
 
 def distinct_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,11 +160,15 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), _signed(values))
 
 
-def _sized(width: int):
+def _sized(width: int, classes: Classes):
+    """Rows -> sizes and nodes; spares are packed as spare * CLASSES + class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.pieces(batches):
             found, first = distinct_shingles(data, offsets, width)
-            yield pa.record_batch([rows.column(0), pa.array(np.diff(first)), _signed(set_ids(found, first)), rows.column(2)], names=["doc_id", "n_shingles", "node", "text_hash"])
+            of_row, cls, spare = group_keys(found, first, classes)[2]
+            spares = pa.ListArray.from_arrays(pa.array(np.searchsorted(of_row, np.arange(rows.num_rows + 1)), pa.int32()), pa.array(np.maximum(spare, 0) * CLASSES + cls))
+            yield pa.record_batch([rows.column(0), pa.array(np.diff(first)), _signed(set_ids(found, first)), rows.column(2), spares], names=["doc_id", "n_shingles", "node", "text_hash", "spares"])
 
     return run
 
@@ -168,7 +187,7 @@ def _keyed(width: int, classes: Classes):
             # the sets of the fresh rows alone
             sizes = np.where(fresh, np.diff(first), 0)
             found = found[np.repeat(fresh, np.diff(first))]
-            keys, at = group_keys(found, np.concatenate([[0], np.cumsum(sizes)]), classes)
+            keys, at, _ = group_keys(found, np.concatenate([[0], np.cumsum(sizes)]), classes)
             yield pa.record_batch([_signed(keys), pa.array(np.repeat(ids, np.diff(at)))], names=["key", "node"])
 
     return run
@@ -378,32 +397,43 @@ def forest(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _search(percent: int, what: str):
-    """Sorted rows (key, i, j, salt, node, root, counts) -> candidate pairs (a, b) of different roots within each (key, i, j):
-    ``all`` of them, or only those that ``join`` the block's components; or (key, node) of the nodes that are ``near`` any."""
+    """Sorted rows (key, i, j, salt, node, root, skip, counts) -> candidate pairs (a, b) of different roots, not both of which
+    skip, within each (key, i, j): ``all`` of them, or only those that ``join`` the block's components; or (key, node) of the nodes that are ``near`` any."""
 
     def folded(counts: list[np.ndarray]) -> np.ndarray:
         """Vectors of one block with the coordinates of the shortest: the counts of coordinates that fall together add up."""
         n = min(len(c) for c in counts)
         return np.stack([c.reshape(-1, n).sum(0, dtype=np.int16) for c in counts])
 
-    def pairs_of(key, i, j, salt, node, root, counts):
-        if i == j:
-            left = right = np.arange(len(node))
-        else:
-            left, right = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
-        if not len(left) or not len(right) or root.min() == root.max():
+    def pairs_of(key, i, j, salt, node, root, skip, counts):
+        if root.min() == root.max() or skip.all():
             return None
         vectors = folded(counts)
-        tree, a, b, slack = CountTree(vectors[right]), [], [], []
         sizes = vectors.sum(1, dtype=np.int64)
-        for x in left:
-            y = right[tree.query(vectors[x], percent)]
-            y = y[(root[y] != root[x]) & ((node[y] > node[x]) if i == j else True)]
-            if len(y):
-                a.append(np.full(len(y), x))
-                b.append(y)
-                if what == "join":
-                    slack.append(np.minimum(vectors[y], vectors[x]).sum(1, dtype=np.int64) / (sizes[y] + sizes[x]))
+        a, b, slack = [], [], []
+
+        def between(left, right):
+            """Candidates of each of ``left`` among ``right``."""
+            if not len(left) or not len(right):
+                return
+            tree = CountTree(vectors[right])
+            for x in left:
+                y = right[tree.query(vectors[x], percent)]
+                y = y[root[y] != root[x]]
+                if i == j:  # a pair of two that do not skip is found from both sides
+                    y = y[skip[y] | (node[y] > node[x])]
+                if len(y):
+                    a.append(np.full(len(y), x))
+                    b.append(y)
+                    if what == "join":
+                        slack.append(np.minimum(vectors[y], vectors[x]).sum(1, dtype=np.int64) / (sizes[y] + sizes[x]))
+
+        if i == j:
+            between(np.flatnonzero(~skip), np.arange(len(node)))
+        else:
+            left, right = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
+            between(left[~skip[left]], right)
+            between(left[skip[left]], right[~skip[right]])
         if not a:
             return None
         a, b = np.concatenate(a), np.concatenate(b)
@@ -437,9 +467,9 @@ def _search(percent: int, what: str):
             return pa.record_batch([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in range(6)]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
             counts = np.empty(batch.num_rows, object)
-            counts[:] = _list_rows(batch.column(6))
+            counts[:] = _list_rows(batch.column(7))
             columns.append(counts)
             if held is not None:
                 columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
@@ -470,7 +500,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     classes = Classes(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    sized = common.written(hashed.mapInArrow(_sized(width), "doc_id long, n_shingles long, node long, text_hash long"), "jaccard-sizes")
+    sized = common.written(hashed.mapInArrow(_sized(width, classes), "doc_id long, n_shingles long, node long, text_hash long, spares array<long>"), "jaccard-sizes")
     # 1. equal sets are one node
     nodes = sized.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = common.written(nodes, "jaccard-nodes")
@@ -483,7 +513,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     pairs = common.written(runs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
     stars = common.written(verified(rows, nodes, screened(rows, nodes, pairs, width, percent), width, percent), "jaccard-links")
     # 4. what is left between components of one run
-    roots = _rest(rows, nodes, runs, stars, width, percent)
+    roots = _rest(rows, sized, nodes, runs, stars, width, percent)
     # components are named by the least identifier of their nodes
     named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -517,7 +547,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     return out.drop(mark, own)
 
 
-def _rest(rows: DataFrame, nodes: DataFrame, runs: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+def _rest(rows: DataFrame, sized: DataFrame, nodes: DataFrame, runs: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
     """Components of ``links`` and of the links between different components inside runs of three or more nodes."""
     roots = components(links)
     large = runs.where("key is not null")
@@ -529,11 +559,23 @@ def _rest(rows: DataFrame, nodes: DataFrame, runs: DataFrame, links: DataFrame,
         return roots
     members = large.join(mixed, "key", "left_semi")
     members = common.written(members.select("key", "node").unionByName(members.select("key", F.col("leader").alias("node")).distinct()), "jaccard-members")
+    # nodes that may leave out long runs
+    hot = large.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_RUN - 1).select("key", F.lit(True).alias("hot"))
+    hot = common.written(hot, "jaccard-long")
+    in_hot = large.join(hot, "key")
+    in_hot = in_hot.select("key", "node").unionByName(in_hot.select("key", F.col("leader").alias("node")).distinct())
+    of_class = F.pmod(F.col("key"), F.lit(CLASSES)).alias("cls")
+    held = in_hot.groupBy("node", of_class).agg(F.count(F.lit(1)).alias("held"))
+    spares = sized.where("n_shingles > 0").select("node", F.explode("spares").alias("s")).distinct().select("node", F.pmod(F.col("s"), F.lit(CLASSES)).alias("cls"), F.floor(F.col("s") / CLASSES).alias("spare"))
+    skips = held.join(spares, ["node", "cls"]).where("held < spare").select("node", "cls", F.lit(True).alias("may"))
+    members = members.join(hot, "key", "left").withColumn("cls", of_class).join(skips, ["node", "cls"], "left")
+    members = members.select("key", "node", F.coalesce(F.col("hot") & F.col("may"), F.lit(False)).alias("skip"))
+    members = common.written(members, "jaccard-flagged")
     # runs of the same nodes would give the same pairs: one of them is searched
-    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node", "skip").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", "skip", F.lit(1))).alias("x"))
     members = common.written(members.join(same.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "jaccard-runs-apart")
     near = _searched(rows, nodes, members, roots, width, percent, "near")
-    members = common.written(near.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "jaccard-near")
+    members = common.written(members.join(near.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), ["key", "node"]), "jaccard-near")
     for what in ("join", "all"):
         found = common.written(_searched(rows, nodes, members, roots, width, percent, what).distinct(), "jaccard-candidates")
         if not found.isEmpty():
@@ -543,13 +585,13 @@ def _rest(rows: DataFrame, nodes: DataFrame, runs: DataFrame, links: DataFrame,
 
 
 def _searched(rows: DataFrame, nodes: DataFrame, members: DataFrame, roots: DataFrame, width: int, percent: int, what: str) -> DataFrame:
-    """The search (columns a, b) of the runs in ``members`` (key, node) that hold more than one root."""
+    """The search (columns a, b) of the runs in ``members`` (key, node, skip) that hold more than one root."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    cells = now.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "skip")
+    cells = now.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.min("root").alias("least"), F.max("root").alias("most"), F.min("skip").alias("all_skip")).where("least < most and not all_skip")
     live = common.written(now.join(cells.select("key", "cells"), "key"), "jaccard-blocks")
     vectors = _vectors(rows, nodes, live, width, COARSE if what == "near" else FINE)
     cut = live.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    cut = cut.select("key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node", "root").join(vectors, "node")
-    ordered = cut.select("key", "i", "j", "salt", "node", "root", "counts").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    cut = cut.select("key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node", "root", "skip").join(vectors, "node")
+    ordered = cut.select("key", "i", "j", "salt", "node", "root", "skip", "counts").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return ordered.mapInArrow(_search(percent, what), "a long, b long")

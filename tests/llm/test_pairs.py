@@ -111,7 +111,8 @@ def test_jaccard_join(spark, seed, width, percent):
 def test_jaccard_small_cells(spark, monkeypatch):
     """Large runs as pairs of sub-blocks."""
     monkeypatch.setattr(jaccard, "CELL", 3)
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)  # and no broadcast at all
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)  # no broadcast at all
+    monkeypatch.setattr(jaccard, "HOT_RUN", 4)  # and most runs are long ones
     texts = corpus(4)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute_force(texts, 4, 85)[1]
@@ -132,7 +133,7 @@ def test_linked_sets_share_a_key(percent):
         both = len(np.intersect1d(a, b))
         if 100 * both < percent * (len(a) + len(b) - both) or np.array_equal(a, b):
             continue
-        keys, at = jaccard.group_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), classes)
+        keys, at, _ = jaccard.group_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), classes)
         assert set(keys[: at[1]].tolist()) & set(keys[at[1] :].tolist())
 
 
@@ -146,7 +147,7 @@ def test_bare_groups_are_keys_when_needed():
         b = np.unique(np.append(a[:-1], rng.integers(0, 2**63, 1, dtype=np.uint64)))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 50 * (len(a) + len(b) - both):
-            keys, at = jaccard.group_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), classes)
+            keys, at, _ = jaccard.group_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), classes)
             assert set(keys[: at[1]].tolist()) & set(keys[at[1] :].tolist())
 
 
