@@ -27,4 +27,4 @@ def scanned_columns(df: DataFrame) -> list[list[str]]:
 
 
 def pushed_filters(df: DataFrame) -> list[str]:
-    return re.findall(r"PushedFilters: \[(.*?)\]", text(df))
+    return re.findall(r"PushedFilters: \[(.*?)(?:\]|\.\.\.)", text(df))
