@@ -10,6 +10,7 @@ is one ``uint8`` array plus row offsets, and every step is a numpy expression.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,9 +45,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives executor loss, keeps column pruning."""
-    path = new_path(df.sparkSession, name)
+    spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collector, which may not run for a long time; jobs of many small steps
+    would keep all their shuffle files until then."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def in_training(id_col: str = "doc_id"):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_dir
+from .common import tidy, work_dir
 
 
 def _digest(edges: DataFrame):
@@ -39,4 +39,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+        del both, least, large, hooked
+        tidy(links.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -509,6 +509,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     keyed = rows.where("doc_id is not null").select("text").mapInArrow(_keyed(width, classes), "key long, node long")
     met = keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
     runs = common.written(met.mapInArrow(_runs, "leader long, node long, key long"), "jaccard-runs")
+    common.tidy(spark)
     # 3. verified pairs with the first nodes, and their components
     pairs = common.written(runs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
     stars = common.written(verified(rows, nodes, screened(rows, nodes, pairs, width, percent), width, percent), "jaccard-links")
@@ -550,6 +551,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
 def _rest(rows: DataFrame, sized: DataFrame, nodes: DataFrame, runs: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
     """Components of ``links`` and of the links between different components inside runs of three or more nodes."""
     roots = components(links)
+    common.tidy(rows.sparkSession)
     large = runs.where("key is not null")
     rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lead = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead_root"))
@@ -577,6 +579,7 @@ def _rest(rows: DataFrame, sized: DataFrame, nodes: DataFrame, runs: DataFrame,
     near = _searched(rows, nodes, members, roots, width, percent, "near")
     members = common.written(members.join(near.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), ["key", "node"]), "jaccard-near")
     for what in ("join", "all"):
+        common.tidy(rows.sparkSession)
         found = common.written(_searched(rows, nodes, members, roots, width, percent, what).distinct(), "jaccard-candidates")
         if not found.isEmpty():
             links = links.unionByName(common.written(verified(rows, nodes, found, width, percent), "jaccard-links"))
