@@ -5,9 +5,10 @@ target marginal of each dimension until all three hold (``rounds`` passes); a do
 with probability min(1, scale * weight / tokens), the scale chosen so that the expected kept tokens are
 ``keep_share`` of all.  Which documents are kept depends on a hash of the identifier alone.
 
-DataFrame functions only.  The documents are aggregated once to cells (partial sums before the shuffle, so a
-hot source is a few rows); raking and calibration run on the cells, whose number is bounded: sources beyond the
-``max_sources`` largest are one pooled source, and topics are the listed rules.  Cells come back to the documents
+DataFrame functions only on documents; they are aggregated once to cells (partial sums before the shuffle, so a
+hot source is a few rows); raking and calibration run on the cells.  Every source is raked by its own name, however
+many there are: up to DRIVER_CELLS cells in arrays on the driver, beyond that by groupBy and join on written tables.
+(Only a caller that gives ``max_sources`` has the smaller sources pooled into one.)  Cells come back to the documents
 by a broadcast while they are at most BROADCAST_CELLS rows, else by an ordinary join.
 
 Defined results: null source or language is a category of its own (''); null and empty texts weigh nothing and
@@ -17,10 +18,12 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, written
+from .common import carried, new_path, written
 
 #: Topic rules in order: the first condition that holds names the topic of a text.
 TOPICS = (("table", "text like '% | %'"), ("legal", "lower(text) like '%license%'"), ("loud", "text like '%!!%'"), ("note", "octet_length(text) < 600"))
@@ -29,6 +32,7 @@ POOLED = "(pooled)"
 #: Tokens of a text: a quarter of its bytes, rounded up.
 TOKENS = "cast(ceil(octet_length(text) / 4.0) as bigint)"
 BROADCAST_CELLS = 200_000
+DRIVER_CELLS = 200_000
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -43,53 +47,119 @@ def uniform(id_col: str, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def cells_of(rows: DataFrame, max_sources: int) -> tuple[DataFrame, DataFrame]:
-    """Token sums by (source, lang, topic), small sources pooled; and the sources that keep their name."""
-    fine = rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
+def cells_of(rows: DataFrame, max_sources: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Token sums by (source, lang, topic).  Only if ``max_sources`` is given: smaller sources pooled, and the sources that keep their name."""
+    fine = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
+    if max_sources is None:
+        return fine, None
     named = fine.groupBy("source").agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), "source").limit(max_sources).select(F.col("source"), F.col("source").alias("named"))
     pooled = fine.join(named, "source", "left").withColumn("source", F.coalesce("named", F.lit(POOLED)))
     return pooled.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), named
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int) -> DataFrame:
-    """Add ``weight``: the share of the mix that each cell gets.
-
-    A target is a mapping category -> share (categories it does not list get nothing), or an exponent that
-    tempers the natural shares (1 keeps them, 0 makes all categories equal)."""
-    total = Window.partitionBy()
-    out = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(total))
+def _rake_here(spark: SparkSession, cells: pa.Table, targets: dict[str, dict[str, float] | float], rounds: int) -> DataFrame:
+    """``rake`` of a table of few cells."""
+    tokens = cells["tokens"].to_numpy()
+    weight = tokens / tokens.sum()
+    codes, goals = [], []
     for d in DIMENSIONS:
+        column = cells[d].combine_chunks().dictionary_encode()
+        code, names = column.indices.to_numpy(), column.dictionary.to_pylist()
         target = targets.get(d, 1.0)
-        share = F.sum("weight").over(Window.partitionBy(d))
-        if isinstance(target, dict):
-            pairs = [F.lit(x) for k, v in target.items() for x in (k, float(v))]
-            goal = F.coalesce(F.element_at(F.create_map(*pairs), F.col(d)), F.lit(0.0)) if pairs else F.lit(0.0)
-            present = F.lit(1.0)
-        else:
-            goal = F.pow(share, F.lit(float(target)))
-            present = F.size(F.collect_set(d).over(total))
-        out = out.withColumn(f"_goal_{d}", goal).withColumn(f"_n_{d}", F.count(F.lit(1)).over(Window.partitionBy(d)) * present / present)
-        # every category counts once in the sum that makes the goals shares
-        out = out.withColumn(f"_goal_{d}", F.col(f"_goal_{d}") / F.sum(F.col(f"_goal_{d}") / F.col(f"_n_{d}")).over(total))
+        goal = np.array([float(target.get(n, 0.0)) for n in names]) if isinstance(target, dict) else np.bincount(code, weight) ** float(target)
+        codes.append(code)
+        goals.append(goal / goal.sum() if goal.sum() > 0 else goal)
+    for _ in range(rounds):
+        for code, goal in zip(codes, goals, strict=True):
+            share = np.bincount(code, weight, len(goal))
+            weight = weight * np.divide(goal, share, out=np.zeros(len(goal)), where=share > 0)[code]
+    weight = weight / weight.sum() if weight.sum() > 0 else weight
+    return written(spark.createDataFrame(cells.append_column("weight", pa.array(weight))), "mix-weights")
+
+
+def _sum(rows: DataFrame, column: str) -> float:
+    return rows.agg(F.sum(column)).first()[0] or 0.0
+
+
+def _goals(cells: DataFrame, d: str, target: dict[str, float] | float) -> DataFrame:
+    """(category, goal) of a dimension, as shares."""
+    shares = cells.groupBy(d).agg(F.sum("weight").alias("share"))
+    if isinstance(target, dict):
+        listed = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in target.items()], f"{d} string, goal double")
+        goals = shares.join(listed, d, "left").select(d, F.coalesce("goal", F.lit(0.0)).alias("goal"))
+    else:
+        goals = shares.select(d, F.pow("share", F.lit(float(target))).alias("goal"))
+    goals = written(goals, "mix-goals")
+    return goals.withColumn("goal", F.col("goal") / F.lit(_sum(goals, "goal") or 1.0))
+
+
+def _rake_spread(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int) -> DataFrame:
+    """``rake`` by groupBy and join on written tables; only sums come to the driver."""
+    out = cells.withColumn("weight", F.col("tokens") / F.lit(float(_sum(cells, "tokens"))))
+    goals, held = {d: _goals(out, d, targets.get(d, 1.0)) for d in DIMENSIONS}, None
     for _ in range(rounds):
+        path, factors = new_path(cells.sparkSession, "mix-weights"), []
+        moved = out
         for d in DIMENSIONS:
-            share = F.sum("weight").over(Window.partitionBy(d))
-            out = out.withColumn("weight", F.when(share > 0, F.col("weight") * F.col(f"_goal_{d}") / share).otherwise(0.0))
-    return out.withColumn("weight", F.col("weight") / F.sum("weight").over(total)).select(*DIMENSIONS, "tokens", "weight")
+            share = moved.groupBy(d).agg(F.sum("weight").alias("share"))
+            factor = F.when(F.col("share") > 0, F.col("goal") / F.col("share")).otherwise(0.0)
+            factors.append(_stored(share.join(goals[d], d).select(d, factor.alias("factor")), f"{path}-{d}"))
+            moved = moved.join(factors[-1], d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+        out = _stored(moved, path)
+        for old in [held, *(f"{path}-{d}" for d in DIMENSIONS)]:
+            _forget(cells.sparkSession, old)
+        held = path
+    return out.withColumn("weight", F.col("weight") / F.lit(_sum(out, "weight") or 1.0)).select(*DIMENSIONS, "tokens", "weight")
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str | None) -> None:
+    """Delete a table that this module wrote and no plan reads any more: raking would leave one a pass."""
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int) -> DataFrame:
+    """Add ``weight``: the share of the mix that each cell gets.
+
+    A target is a mapping category -> share (categories it does not list get nothing), or an exponent that
+    tempers the natural shares (1 keeps them, 0 makes all categories equal).  Up to DRIVER_CELLS cells are raked
+    in one place, more of them by groupBy and join."""
+    cells = written(cells.select(*DIMENSIONS, F.col("tokens").cast("long").alias("tokens")), "mix-cells")
+    n = cells.count()
+    if not n:
+        return cells.withColumn("weight", F.lit(0.0))
+    if n <= DRIVER_CELLS:
+        return _rake_here(cells.sparkSession, cells.toArrow(), targets, rounds)
+    return _rake_spread(cells, targets, rounds)
 
 
 def calibrate(raked: DataFrame, keep_share: float) -> DataFrame:
     """Add ``probability``: min(1, scale * weight / tokens), the expected kept tokens being keep_share of all.
 
-    Cells in falling order of weight / tokens; those before the first that needs no cap are kept whole."""
-    order = Window.orderBy(F.desc("rate"), *DIMENSIONS)
-    every = Window.partitionBy()
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = raked.withColumn("rate", F.col("weight") / F.col("tokens"))
-    budget = F.lit(keep_share) * F.sum("tokens").over(every)
-    out = out.withColumn("scale", (budget - F.coalesce(F.sum("tokens").over(before), F.lit(0))) / F.sum("weight").over(after))
-    out = out.withColumn("scale", F.max(F.when(F.col("scale") * F.col("rate") <= 1, F.col("scale"))).over(every))
-    return out.withColumn("probability", F.coalesce(F.least(F.lit(1.0), F.col("scale") * F.col("rate")), F.lit(1.0))).select(*DIMENSIONS, "tokens", "weight", "probability")
+    The scale grows from the one that needs no cap, each time by what the cells above the cap leave over, until no
+    further cell passes the cap (Newton steps on a concave function of straight pieces, so it ends).  Cells without
+    weight are never kept; where the others hold fewer tokens than asked for, they are kept whole."""
+    rated = raked.withColumn("rate", F.col("weight") / F.col("tokens"))
+    budget = keep_share * float(_sum(raked, "tokens"))
+    scale, capped = 0.0, -1
+    while True:
+        over = F.lit(scale) * F.col("rate") > 1
+        row = rated.where("weight > 0").agg(F.count(F.when(over, 1)).alias("n"), F.sum(F.when(over, F.col("tokens"))).alias("t"), F.sum(F.when(~over, F.col("weight"))).alias("w")).first()
+        if row.n == capped:
+            break
+        capped = row.n
+        if not row.w:  # every cell is kept whole
+            scale = float("inf")
+            break
+        scale = max(scale, (budget - (row.t or 0)) / row.w)
+    chance = F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.lit(scale) * F.col("rate"))).otherwise(0.0)
+    return rated.withColumn("probability", chance).select(*DIMENSIONS, "tokens", "weight", "probability")
 
 
 def mix(
@@ -97,7 +167,7 @@ def mix(
     targets: dict[str, dict[str, float] | float] | None = None,
     keep_share: float = 0.7,
     rounds: int = 8,
-    max_sources: int = 1000,
+    max_sources: int | None = None,
     seed: str = "mix",
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -117,11 +187,14 @@ def mix(
     rows = rows.withColumn("topic", topic_of()).withColumn("n_tokens", F.expr(TOKENS)).drop("text")
     cells, named = cells_of(rows.select("source", "lang", "topic", "n_tokens"), max_sources)
     chances = calibrate(rake(cells, targets, rounds), keep_share)
-    chances = written(chances.select(*DIMENSIONS, "probability"), "mix-cells")
-    named = written(named, "mix-sources")
+    chances = written(chances.select(*DIMENSIONS, "probability"), "mix-chances")
     if chances.count() <= BROADCAST_CELLS:
         chances = F.broadcast(chances)
-    out = rows.join(F.broadcast(named), "source", "left").withColumn("cell_source", F.coalesce("named", F.lit(POOLED))).drop("named")
+    if named is None:
+        out = rows.withColumn("cell_source", F.col("source"))
+    else:
+        named = written(named, "mix-sources")
+        out = rows.join(F.broadcast(named), "source", "left").withColumn("cell_source", F.coalesce("named", F.lit(POOLED))).drop("named")
     chances = chances.withColumnRenamed("source", "cell_source")
     out = out.join(chances, ["cell_source", "lang", "topic"], "left").withColumn("probability", F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0))
     kept = uniform("doc_id", seed) < F.col("probability")

@@ -148,6 +148,17 @@ def test_mixing_samples_what_it_promises(spark):
     assert sum(r.lang == "de" for r in kept) / len(kept) == pytest.approx(0.5, abs=0.06)
 
 
+@pytest.mark.parametrize("here", [0, 200_000])
+def test_mixing_rakes_every_source_by_its_name(spark, monkeypatch, here):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", here)
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.format_string("s%04d", "id").alias("source"), F.lit("en").alias("lang"))
+    got = mixing.mix(docs, keep_share=0.6, rounds=2).collect()
+    assert {r.source for r in got} == {f"s{k:04d}" for k in range(1500)}
+    assert [r.probability for r in got] == pytest.approx([0.6] * 1500)  # equal sources have equal chances
+    named = mixing.mix(docs, targets={"source": {"s1400": 0.5, "s0001": 0.5}}, keep_share=0.001, rounds=2).collect()
+    assert {r.source: r.probability for r in named if r.probability > 0} == pytest.approx({"s0001": 0.75, "s1400": 0.75})
+
+
 # ------------------------------------------------------------------ URL filters
 
 
