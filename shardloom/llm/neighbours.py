@@ -16,13 +16,15 @@ where at least one is at home are compared exactly, in double precision.
 Recall against brute force is measured in the tests (over 0.99 at the default settings); found pairs are exact.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, rows with a null label or
-null identifier, and vectors of another length than most link with nothing; repeated rows are further
-vectors of that identifier and link with each other; an empty table gives no rows; other columns are ignored.
+null identifier link with nothing; vectors of different lengths do not link with each other, each length is hashed
+and compared by itself; repeated rows are further vectors of that identifier and link with each other; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ class Hasher:
 
     def __init__(self, dim: int, tables: int, hashes: int, probes: int, seed: int = 7):
         self.dim, self.tables, self.hashes, self.probes = dim, tables, hashes, probes
-        self.width = 1 << max(1, (dim - 1).bit_length())
+        self.width = 1 << max(2, (dim - 1).bit_length())
         rng = np.random.default_rng(seed)
         self.signs = rng.choice(np.array([-1.0, 1.0], np.float32), (tables, hashes, 3, self.width))
 
@@ -116,25 +118,40 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def _hashers(settings: dict):
+    """Hasher by length of vector; ``settings`` maps a length to its further arguments."""
+    return lru_cache(16)(lambda dim: Hasher(dim, **settings[dim]))
+
+
 def _filed(settings: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(**settings)
+        hashers = _hashers(settings)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                rows = batch.slice(at, 4096)
-                vectors = rows.column(1).flatten().to_numpy().reshape(rows.num_rows, hasher.dim)
-                codes = hasher.codes(unit(vectors))
-                n, tables, wide = codes.shape
-                yield pa.record_batch(
-                    [pa.array(np.repeat(rows.column(0).to_numpy(), tables * wide)), pa.array(np.repeat(rows.column(2).to_numpy(), tables * wide)), pa.array(np.tile(np.repeat(np.arange(tables), wide), n), pa.int32()), pa.array(codes.ravel()), pa.array(np.tile(np.arange(wide) == 0, n * tables))],
-                    names=["node", "label", "tab", "code", "home"],
-                )
+            dims = batch.column(3).to_numpy()
+            for dim in np.unique(dims).tolist():
+                same = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                for at in range(0, same.num_rows, 4096):
+                    rows = same.slice(at, 4096)
+                    vectors = rows.column(1).flatten().to_numpy().reshape(rows.num_rows, dim)
+                    codes = hashers(dim).codes(unit(vectors))
+                    n, tables, wide = codes.shape
+                    yield pa.record_batch(
+                        [
+                            pa.array(np.repeat(rows.column(0).to_numpy(), tables * wide)),
+                            pa.array(np.repeat(rows.column(2).to_numpy(), tables * wide)),
+                            pa.array(np.full(n * tables * wide, dim, np.int32)),
+                            pa.array(np.tile(np.repeat(np.arange(tables), wide), n), pa.int32()),
+                            pa.array(codes.ravel()),
+                            pa.array(np.tile(np.arange(wide) == 0, n * tables)),
+                        ],
+                        names=["node", "label", "dim", "tab", "code", "home"],
+                    )
 
     return run
 
 
 def _compare(settings: dict, least: float):
-    """Rows (tab, code, label, i, j, salt, node, copies, vector) sorted by bucket and sub-block -> (node, links, root)."""
+    """Rows (tab, code, label, i, j, salt, node, copies, vector, dim) sorted by dim, bucket and sub-block -> (node, links, root)."""
     at_once = PAIRS // 64  # pairs whose codes are laid side by side
 
     def resolved(hasher, c, v, p, q):
@@ -164,7 +181,7 @@ def _compare(settings: dict, least: float):
                 yield x, y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held = Hasher(**settings), None
+        hashers, held, of = _hashers(settings), None, None
 
         def blocks(c, bounds):
             v, found, n = unit(c[8]), [], 0
@@ -173,59 +190,66 @@ def _compare(settings: dict, least: float):
                     found.append((x, y))
                     n += len(x)
                 if n > PAIRS:
-                    yield resolved(hasher, c, v, *map(np.concatenate, zip(*found, strict=True)))
+                    yield resolved(hashers(of), c, v, *map(np.concatenate, zip(*found, strict=True)))
                     found, n = [], 0
             if n:
-                yield resolved(hasher, c, v, *map(np.concatenate, zip(*found, strict=True)))
+                yield resolved(hashers(of), c, v, *map(np.concatenate, zip(*found, strict=True)))
 
         for batch in batches:
-            c = [batch.column(k).to_numpy() for k in range(8)] + [batch.column(8).flatten().to_numpy().reshape(-1, hasher.dim)]
-            if held is not None:
-                c = [np.concatenate(x) for x in zip(held, c, strict=True)]
-            if not len(c[0]):
-                continue
-            new = np.ones(len(c[0]), bool)
-            new[1:] = np.any([c[k][1:] != c[k][:-1] for k in range(5)], axis=0)
-            starts = np.flatnonzero(new)
-            if len(starts) > 1:
-                yield from blocks([x[: starts[-1]] for x in c], list(zip(starts[:-1], starts[1:], strict=True)))
-            held = [x[starts[-1] :] for x in c]
+            dims = batch.column(9).to_numpy()
+            cuts = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1).tolist(), len(dims)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if held is not None and of != dims[a]:  # the last block of a length
+                    yield from blocks(held, [(0, len(held[0]))])
+                    held = None
+                of, rows = int(dims[a]), batch.slice(a, b - a)
+                c = [rows.column(k).to_numpy() for k in range(8)] + [rows.column(8).flatten().to_numpy().reshape(-1, of)]
+                if held is not None:
+                    c = [np.concatenate(x) for x in zip(held, c, strict=True)]
+                new = np.ones(len(c[0]), bool)
+                new[1:] = np.any([c[k][1:] != c[k][:-1] for k in range(5)], axis=0)
+                starts = np.flatnonzero(new)
+                if len(starts) > 1:
+                    yield from blocks([x[: starts[-1]] for x in c], list(zip(starts[:-1], starts[1:], strict=True)))
+                held = [x[starts[-1] :] for x in c]
         if held is not None:
             yield from blocks(held, [(0, len(held[0]))])
 
     return run
 
 
+def hashes_for(dim: int, count: int) -> int:
+    """One more axis per bucket for every factor of twice the dimension, two at least."""
+    width = 2 << max(2, (dim - 1).bit_length())
+    return max(2, min(5, int(np.ceil(np.log(max(2, count)) / np.log(width)))))
+
+
 def link(
     vectors: DataFrame, least: float = 0.93, tables: int = 8, hashes: int | None = None, probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept.  ``hashes`` is chosen by the number of rows unless given:
-    one more axis per bucket for every factor of twice the dimension, two at least."""
+    """Per row: vec_id, n_links, component_id, kept.  ``hashes`` is chosen by the number of vectors of a length unless given (``hashes_for``)."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0)
     fine &= F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("vector", F.when(F.coalesce(fine, F.lit(False)), F.col("vector")))
-    usual = rows.where("vector is not null").groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
-    if usual is None:
+    counts = {r["n"]: r["c"] for r in rows.where("vector is not null").groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    if not counts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = usual["n"]
-    rows = rows.withColumn("vector", F.when(F.size("vector") == dim, F.col("vector")))
-    if hashes is None:
-        width = 2 << max(1, (dim - 1).bit_length())
-        hashes = max(2, min(5, int(np.ceil(np.log(max(2, usual["c"])) / np.log(width)))))
-    settings = {"dim": dim, "tables": tables, "hashes": hashes, "probes": probes}
+    settings = {dim: {"tables": tables, "hashes": hashes or hashes_for(dim, count), "probes": probes} for dim, count in counts.items()}
     nodes = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     nodes = common.written(nodes.withColumn("node", F.xxhash64("label", "vector")), "vector-nodes")
-    filed = nodes.select("node", "vector", F.xxhash64("label").alias("label")).mapInArrow(_filed(settings), "node long, label long, tab int, code long, home boolean")
+    filed = nodes.select("node", "vector", F.xxhash64("label").alias("label"), F.size("vector").alias("dim")).mapInArrow(_filed(settings), "node long, label long, dim int, tab int, code long, home boolean")
     filed = common.written(filed, "vector-buckets")
-    bucket = ["tab", "code", "label"]
+    bucket = ["dim", "tab", "code", "label"]
     sizes = filed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home")).where("home and n > 1").select(*bucket, F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
     cut = filed.join(sizes, bucket).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     cut = cut.select(*bucket, F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node")
-    block = [*bucket, "i", "j"]
+    block = [*bucket, "i", "j"]  # dim is the first to sort by, and the last column
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = cut.join(nodes.select("node", "copies", "vector"), "node").select(*block, "salt", "node", "copies", "vector").repartition(parts, *block).sortWithinPartitions(*block, "node")
+    met = cut.join(nodes.select("node", "copies", "vector"), "node").select(*block[1:], "salt", "node", "copies", "vector", "dim").repartition(parts, *block).sortWithinPartitions(*block, "node")
     found = common.written(met.mapInArrow(_compare(settings, least), "node long, links long, root long"), "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

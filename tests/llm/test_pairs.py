@@ -261,6 +261,27 @@ def test_embeddings_odd_rows(spark):
     assert len(twice) == 4 and {r.n_links for r in twice} == {3}
 
 
+def test_embeddings_of_every_length_link(spark):
+    rng = np.random.default_rng(13)
+    rows, near = [], 0.05
+    for dim, n in ((64, 40), (48, 20), (2, 6), (1, 3)):
+        base = rng.normal(size=(n, dim))
+        for v in [*base, base[0], base[1] + near * rng.normal(size=dim) * np.linalg.norm(base[1]) / np.sqrt(dim)]:
+            rows.append((len(rows), [float(np.float32(x)) for x in v], 0))
+    found = [e for d in {len(r[1]) for r in rows} for e in ((a[0], b[0]) for a in rows for b in rows if len(a[1]) == len(b[1]) == d and a[0] < b[0]) if _cosine(rows, *e) >= 0.93]
+    degree = Counter(x for e in found for x in e)
+    assert all(any(len(rows[a][1]) == d for a, _ in found) for d in (64, 48, 2, 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: r for r in neighbours.link(df).collect()}
+    assert {i: got[i].n_links for i in got} == {i: degree[i] for i in got}
+    assert {i: got[i].component_id for i in got} == roots(got, found)
+
+
+def _cosine(rows, a, b):
+    a, b = np.array(rows[a][1]), np.array(rows[b][1])
+    return a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+
+
 def test_rotations_keep_lengths_and_codes_repeat():
     h = neighbours.Hasher(50, 3, 2, 4)
     v = np.random.default_rng(12).normal(size=(20, 50))
