@@ -1,7 +1,10 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
 Documents fall into cells (source, language, topic).  The token weight of each cell is raked in turn to the
-target marginal of each dimension until all three hold (``rounds`` passes); a document of a cell is then kept
+target marginal of each dimension until all three hold: in ``rounds`` passes at least, and until no category is off
+its target by more than TOLERANCE of it.  Targets that cannot be met together (a source in one language only, say)
+never get there: raking then ends when the weights have settled, or after ``most`` passes, with a warning that tells the
+largest error, and all goals and shares are kept in the shared folder as ``mix-margins``.  A document of a cell is kept
 with probability min(1, scale * weight / tokens), the scale chosen so that the expected kept tokens are
 ``keep_share`` of all.  Which documents are kept depends on a hash of the identifier alone.
 
@@ -18,6 +21,9 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +39,12 @@ POOLED = "(pooled)"
 TOKENS = "cast(ceil(octet_length(text) / 4.0) as bigint)"
 BROADCAST_CELLS = 200_000
 DRIVER_CELLS = 200_000
+#: Raking ends when no category's share is off its goal by more than this part of it,
+TOLERANCE = 1e-6
+#: or a pass moves no more than this part of the whole weight, which is where targets that cannot be met end,
+SETTLED = 1e-9
+#: or after so many passes.
+MOST_PASSES = 10_000
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -57,7 +69,7 @@ def cells_of(rows: DataFrame, max_sources: int | None = None) -> tuple[DataFrame
     return pooled.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), named
 
 
-def _rake_here(spark: SparkSession, cells: pa.Table, targets: dict[str, dict[str, float] | float], rounds: int) -> DataFrame:
+def _rake_here(spark: SparkSession, cells: pa.Table, targets: dict[str, dict[str, float] | float], rounds: int, most: int = MOST_PASSES) -> DataFrame:
     """``rake`` of a table of few cells."""
     tokens = cells["tokens"].to_numpy()
     weight = tokens / tokens.sum()
@@ -69,12 +81,36 @@ def _rake_here(spark: SparkSession, cells: pa.Table, targets: dict[str, dict[str
         goal = np.array([float(target.get(n, 0.0)) for n in names]) if isinstance(target, dict) else np.bincount(code, weight) ** float(target)
         codes.append(code)
         goals.append(goal / goal.sum() if goal.sum() > 0 else goal)
-    for _ in range(rounds):
+    passes, moved, error = 0, math.inf, math.inf
+    while passes < rounds or (error > TOLERANCE and moved > SETTLED and passes < most):
+        before = weight
         for code, goal in zip(codes, goals, strict=True):
             share = np.bincount(code, weight, len(goal))
             weight = weight * np.divide(goal, share, out=np.zeros(len(goal)), where=share > 0)[code]
+        passes, moved = passes + 1, np.abs(weight - before).sum()
+        total = weight.sum() or 1.0
+        error = max(_off(np.bincount(code, weight, len(goal)) / total, goal) for code, goal in zip(codes, goals, strict=True))
     weight = weight / weight.sum() if weight.sum() > 0 else weight
-    return written(spark.createDataFrame(cells.append_column("weight", pa.array(weight))), "mix-weights")
+    out = written(spark.createDataFrame(cells.append_column("weight", pa.array(weight))), "mix-weights")
+    if error > TOLERANCE:
+        names = [cells[d].combine_chunks().dictionary_encode().dictionary.to_pylist() for d in DIMENSIONS]
+        rows = [(d, n, float(g)) for d, of_d, goal in zip(DIMENSIONS, names, goals, strict=True) for n, g in zip(of_d, goal, strict=True)]
+        _missed(out, spark.createDataFrame(rows, "dimension string, category string, goal double"), passes, error)
+    return out
+
+
+def _off(share: np.ndarray, goal: np.ndarray) -> float:
+    """The largest error of a share, as a part of its goal (which is 0 only where nothing can be off)."""
+    some = goal > 0
+    return float(np.max(np.abs(share[some] / goal[some] - 1), initial=0.0))
+
+
+def _missed(raked: DataFrame, goals: DataFrame, passes: int, error: float) -> None:
+    """Warn that targets are not met, and keep the goal and the share of every category."""
+    shares = [raked.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("category")).agg(F.sum("weight").alias("share")) for d in DIMENSIONS]
+    path = new_path(raked.sparkSession, "mix-margins")
+    _stored(goals.join(shares[0].union(shares[1]).union(shares[2]), ["dimension", "category"]), path)
+    warnings.warn(f"raking: after {passes} passes a share is still off its target by {error:.3g} of it; all are in {path}", RuntimeWarning, stacklevel=4)
 
 
 def _sum(rows: DataFrame, column: str) -> float:
@@ -93,13 +129,14 @@ def _goals(cells: DataFrame, d: str, target: dict[str, float] | float) -> DataFr
     return goals.withColumn("goal", F.col("goal") / F.lit(_sum(goals, "goal") or 1.0))
 
 
-def _rake_spread(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int) -> DataFrame:
+def _rake_spread(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int, most: int = MOST_PASSES) -> DataFrame:
     """``rake`` by groupBy and join on written tables; only sums come to the driver."""
-    out = cells.withColumn("weight", F.col("tokens") / F.lit(float(_sum(cells, "tokens"))))
+    spark, out = cells.sparkSession, cells.withColumn("weight", F.col("tokens") / F.lit(float(_sum(cells, "tokens"))))
     goals, held = {d: _goals(out, d, targets.get(d, 1.0)) for d in DIMENSIONS}, None
-    for _ in range(rounds):
-        path, factors = new_path(cells.sparkSession, "mix-weights"), []
-        moved = out
+    passes, change, error = 0, math.inf, math.inf
+    while passes < rounds or (error > TOLERANCE and change > SETTLED and passes < most):
+        path, factors = new_path(spark, "mix-weights"), []
+        moved = out.withColumn("before", F.col("weight"))
         for d in DIMENSIONS:
             share = moved.groupBy(d).agg(F.sum("weight").alias("share"))
             factor = F.when(F.col("share") > 0, F.col("goal") / F.col("share")).otherwise(0.0)
@@ -107,9 +144,16 @@ def _rake_spread(cells: DataFrame, targets: dict[str, dict[str, float] | float],
             moved = moved.join(factors[-1], d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         out = _stored(moved, path)
         for old in [held, *(f"{path}-{d}" for d in DIMENSIONS)]:
-            _forget(cells.sparkSession, old)
-        held = path
-    return out.withColumn("weight", F.col("weight") / F.lit(_sum(out, "weight") or 1.0)).select(*DIMENSIONS, "tokens", "weight")
+            _forget(spark, old)
+        passes, held = passes + 1, path
+        total, change = out.agg(F.sum("weight"), F.sum(F.abs(F.col("weight") - F.col("before")))).first()
+        off = F.max(F.abs(F.col("share") / F.lit(total or 1.0) / F.col("goal") - 1))
+        error = max(out.groupBy(d).agg(F.sum("weight").alias("share")).join(goals[d], d).where("goal > 0").agg(off).first()[0] or 0.0 for d in DIMENSIONS)
+    out = out.withColumn("weight", F.col("weight") / F.lit(_sum(out, "weight") or 1.0)).select(*DIMENSIONS, "tokens", "weight")
+    if error > TOLERANCE:
+        named = [goals[d].select(F.lit(d).alias("dimension"), F.col(d).alias("category"), "goal") for d in DIMENSIONS]
+        _missed(out, named[0].union(named[1]).union(named[2]), passes, error)
+    return out
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -124,19 +168,20 @@ def _forget(spark: SparkSession, path: str | None) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int, most: int = MOST_PASSES) -> DataFrame:
     """Add ``weight``: the share of the mix that each cell gets.
 
     A target is a mapping category -> share (categories it does not list get nothing), or an exponent that
-    tempers the natural shares (1 keeps them, 0 makes all categories equal).  Up to DRIVER_CELLS cells are raked
+    tempers the natural shares (1 keeps them, 0 makes all categories equal).  ``rounds`` passes are done at least, and
+    more, up to ``most``, until the targets hold or the weights have settled (see TOLERANCE).  Up to DRIVER_CELLS cells are raked
     in one place, more of them by groupBy and join."""
     cells = written(cells.select(*DIMENSIONS, F.col("tokens").cast("long").alias("tokens")), "mix-cells")
     n = cells.count()
     if not n:
         return cells.withColumn("weight", F.lit(0.0))
     if n <= DRIVER_CELLS:
-        return _rake_here(cells.sparkSession, cells.toArrow(), targets, rounds)
-    return _rake_spread(cells, targets, rounds)
+        return _rake_here(cells.sparkSession, cells.toArrow(), targets, rounds, most)
+    return _rake_spread(cells, targets, rounds, most)
 
 
 def calibrate(raked: DataFrame, keep_share: float) -> DataFrame:
@@ -167,6 +212,7 @@ def mix(
     targets: dict[str, dict[str, float] | float] | None = None,
     keep_share: float = 0.7,
     rounds: int = 8,
+    most: int = MOST_PASSES,
     max_sources: int | None = None,
     seed: str = "mix",
     id_col: str = "doc_id",
@@ -186,7 +232,7 @@ def mix(
     )
     rows = rows.withColumn("topic", topic_of()).withColumn("n_tokens", F.expr(TOKENS)).drop("text")
     cells, named = cells_of(rows.select("source", "lang", "topic", "n_tokens"), max_sources)
-    chances = calibrate(rake(cells, targets, rounds), keep_share)
+    chances = calibrate(rake(cells, targets, rounds, most), keep_share)
     chances = written(chances.select(*DIMENSIONS, "probability"), "mix-chances")
     if chances.count() <= BROADCAST_CELLS:
         chances = F.broadcast(chances)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import warnings
 import zlib
 from collections import defaultdict
 
@@ -159,6 +160,53 @@ def test_mixing_rakes_every_source_by_its_name(spark, monkeypatch, here):
     assert {r.source: r.probability for r in named if r.probability > 0} == pytest.approx({"s0001": 0.75, "s1400": 0.75})
 
 
+def sparse_cells(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(f"s{a}", f"l{b}", f"t{c}", 1 + int(1e6 / (a + 1) * x * y)) for a in range(20) for b, x in enumerate(rng.dirichlet([0.1] * 4)) for c, y in enumerate(rng.dirichlet([0.1] * 5))]
+    return spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+
+
+def worst_error(rows, power):
+    total, worst = sum(r.tokens for r in rows), 0.0
+    for d in mixing.DIMENSIONS:
+        natural, share = defaultdict(float), defaultdict(float)
+        for r in rows:
+            natural[r[d]] += r.tokens / total
+            share[r[d]] += r.weight
+        norm = sum(v**power for v in natural.values())
+        worst = max(worst, *(abs(share[k] / (v**power / norm) - 1) for k, v in natural.items()))
+    return worst
+
+
+def test_raking_goes_on_until_the_targets_hold(spark):
+    cells = sparse_cells(spark, 17)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        raked = mixing.rake(cells, {d: 0.7 for d in mixing.DIMENSIONS}, 8)
+    assert worst_error(raked.collect(), 0.7) < 2e-6
+
+
+@pytest.mark.parametrize("here", [0, 200_000])
+def test_raking_tells_targets_that_cannot_be_met(spark, monkeypatch, here):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", here)
+    # two sources in one language: their goals do not add up to its goal
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "x", "t", 20), ("c", "y", "t", 30)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(RuntimeWarning, match="off its target") as told:
+        raked = mixing.rake(cells, {d: 0.0 for d in mixing.DIMENSIONS}, 1)
+    assert {r.source: r.weight for r in raked.collect()} == pytest.approx({"a": 0.25, "b": 0.25, "c": 0.5})
+    [message] = [str(w.message) for w in told if w.category is RuntimeWarning]
+    margins = spark.read.parquet(message.rsplit(" ", 1)[1])
+    assert {(r.category, round(r.goal, 6), round(r.share, 6)) for r in margins.where("dimension = 'source'").collect()} == {("a", 0.333333, 0.25), ("b", 0.333333, 0.25), ("c", 0.333333, 0.5)}
+
+
+def test_raking_is_the_same_in_both_ways(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", "x", "t", 90), ("a", "y", "t", 10), ("b", "x", "t", 20), ("b", "y", "u", 70), ("c", "y", "t", 30), ("c", "x", "u", 5)], "source string, lang string, topic string, tokens long")
+    targets = {"source": 0.5, "lang": {"x": 0.5, "y": 0.5}}
+    here = {(r.source, r.lang): r.weight for r in mixing.rake(cells, targets, 2).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    assert {(r.source, r.lang): r.weight for r in mixing.rake(cells, targets, 2).collect()} == pytest.approx(here, rel=1e-9)
+
+
 # ------------------------------------------------------------------ URL filters
 
 
