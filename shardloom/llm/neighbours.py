@@ -36,6 +36,8 @@ from .components import components
 
 #: Rows of one side of a sub-block.
 CELL = 1024
+#: Tables by number of hashes: a bucket of more axes is met more seldom, so that more tables keep the recall level.
+TABLES = {2: 8, 3: 8, 4: 12, 5: 24}
 #: Pairs looked at together.
 PAIRS = 1 << 21
 
@@ -226,10 +228,14 @@ def hashes_for(dim: int, count: int) -> int:
     return max(2, min(5, int(np.ceil(np.log(max(2, count)) / np.log(width)))))
 
 
+def tables_for(hashes: int) -> int:
+    return TABLES[max(2, min(5, hashes))]
+
+
 def link(
-    vectors: DataFrame, least: float = 0.93, tables: int = 8, hashes: int | None = None, probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
+    vectors: DataFrame, least: float = 0.93, tables: int | None = None, hashes: int | None = None, probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept.  ``hashes`` is chosen by the number of vectors of a length unless given (``hashes_for``)."""
+    """Per row: vec_id, n_links, component_id, kept.  ``hashes`` is chosen by the number of vectors of a length unless given (``hashes_for``), ``tables`` by the hashes."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0)
@@ -238,7 +244,8 @@ def link(
     counts = {r["n"]: r["c"] for r in rows.where("vector is not null").groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     if not counts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    settings = {dim: {"tables": tables, "hashes": hashes or hashes_for(dim, count), "probes": probes} for dim, count in counts.items()}
+    chosen = {dim: hashes or hashes_for(dim, count) for dim, count in counts.items()}
+    settings = {dim: {"tables": tables or tables_for(k), "hashes": k, "probes": probes} for dim, k in chosen.items()}
     nodes = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     nodes = common.written(nodes.withColumn("node", F.xxhash64("label", "vector")), "vector-nodes")
     filed = nodes.select("node", "vector", F.xxhash64("label").alias("label"), F.size("vector").alias("dim")).mapInArrow(_filed(settings), "node long, label long, dim int, tab int, code long, home boolean")

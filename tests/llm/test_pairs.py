@@ -277,6 +277,20 @@ def test_embeddings_of_every_length_link(spark):
     assert {i: got[i].component_id for i in got} == roots(got, found)
 
 
+@pytest.mark.parametrize("hashes", [2, 3, 4, 5])
+def test_recall_at_the_threshold_stays_level(hashes):
+    rng = np.random.default_rng(14)
+    a, w = rng.normal(size=(2, 2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    w -= (w * a).sum(1, keepdims=True) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    h = neighbours.Hasher(64, neighbours.tables_for(hashes), hashes, 8)
+    x, y = h.codes(a), h.codes(b)
+    met = ((y[:, :, :1] == x).any(2) | (x[:, :, :1] == y).any(2)).any(1)
+    assert met.mean() > 0.99
+    print("recall", hashes, h.tables, met.mean())
+
+
 def _cosine(rows, a, b):
     a, b = np.array(rows[a][1]), np.array(rows[b][1])
     return a @ b / np.linalg.norm(a) / np.linalg.norm(b)
