@@ -5,7 +5,8 @@ adding up lengths.  The method adds candidate strings (long runs of one encoding
 entropy over a sliding window of WINDOW characters reaches the threshold of their character class.  The
 window slides by incremental counts: one character enters, one leaves, and the sum of c * log2(c) moves by
 table differences, so a candidate costs time in proportion to its length.  Candidates that the allow-list
-covers are suppressed, and so are those inside a base detection.
+covers are suppressed, and so are those inside a base detection; a placeholder word suppresses the windows it
+lies in, not the rest of a path.
 
 Everything is per row: no shuffle, no Python on the executors, and the costlier steps run only for texts
 that a first look says can hold a match.
@@ -34,12 +35,14 @@ WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "base64": 3.8}
 ALPHABETS = {"hex": "0123456789abcdef", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"}
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{WINDOW},}}"
-#: A candidate that one of these matches is no secret: universally unique identifiers, numbers, placeholders.
+#: No secrets: candidates that are universally unique identifiers or numbers, and windows that meet a placeholder word.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_-]+$",
     r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(?:key|token|secret)|xxxxx|abcdefgh|012345678|lorem",
 )
+#: The stretches of a candidate between its placeholder words; only group 1 is one.
+BETWEEN = rf"{ALLOWED[2]}|((?:(?!{ALLOWED[2]})[A-Za-z0-9+/_-])+)"
 #: A candidate must mix its characters: letters with digits, or capitals inside a word more than once.
 MIXED = (r"[A-Za-z][+/_-]?[0-9]", r"[0-9][+/_-]?[A-Za-z]", r"[a-z][A-Z]+[a-z]+[A-Z]")
 
@@ -114,6 +117,16 @@ def _entropy_span(c: Column) -> Column:
     )
 
 
+def _between(c: Column) -> Column:
+    """A candidate as SPANS: whole if it holds no placeholder word, else its stretches of WINDOW characters or more between them."""
+    worded = c["value"].rlike(ALLOWED[2])
+    cut = F.transform(
+        _places(c["value"], worded, BETWEEN, 3, WINDOW, 1),
+        lambda s: F.struct((c["start"] + s["start"]).alias("start"), s["kind"].alias("kind"), (c["start"] + s["end"]).alias("end"), s["value"].alias("value")),
+    )
+    return F.when(worded, cut).otherwise(F.array(c))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, base and found (all spans), each an array of (start, kind index, end, value) by start, then kind."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -122,9 +135,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     access = _places(text, text.contains("AKIA"), ACCESS, 1, ACCESS_LEAST)
     runs = _places(text, text.rlike(HEX), HEX, 2, 0)
     rows = rows.select("doc_id", F.array_sort(F.concat(assign, access, runs)).alias("base"), _places(text, text.rlike(CANDIDATE), CANDIDATE, 3, WINDOW).alias("candidates"))
-    allowed = lambda v: v.rlike(ALLOWED[0]) | v.rlike(ALLOWED[1]) | v.rlike(ALLOWED[2])
+    allowed = lambda v: v.rlike(ALLOWED[0]) | v.rlike(ALLOWED[1])
     mixed = lambda v: v.rlike(MIXED[0]) | v.rlike(MIXED[1]) | v.rlike(MIXED[2])
     likely = F.filter("candidates", lambda c: mixed(c["value"]) & ~allowed(c["value"]))
+    likely = F.filter(F.flatten(F.transform(likely, _between)), lambda c: mixed(c["value"]) & ~allowed(c["value"]))
     hot = F.filter(F.transform(likely, _entropy_span), lambda s: s["end"] > 0)
     rows = rows.select("doc_id", "base", hot.alias("hot"))
     fresh = F.filter("hot", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))

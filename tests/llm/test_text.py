@@ -225,6 +225,17 @@ def test_secrets_against_brute_force(spark):
     assert secrets.report(secrets.scan(frame(spark, texts).limit(0))).collect() == []
 
 
+def test_a_placeholder_word_hides_its_own_windows_only(spark):
+    secret = "9fQ2xLr7Vb3TzK8mWc5Y"
+    texts = [f"config/example/prod/{secret}", f"{secret}/lorem/dummy/{secret}", f"see {secret}_sample", f"EXAMPLE{secret[:19]}dummy", "exampleKEYexample1234567890abcd"]
+    got = {r.doc_id: [(x.start, x.end) for x in r.found] for r in secrets.scan(frame(spark, texts)).collect()}
+    found = [got[i] for i in sorted(got)]
+    for text, spans in zip(texts[:3], found[:3], strict=True):
+        assert len(spans) == text.count(secret)
+        assert all(secret in text[a:b] and not re.search(secrets.ALLOWED[2], text[a:b]) for a, b in spans)
+    assert found[3:] == [[], []]
+
+
 def test_secret_plan_has_no_python_and_no_shuffle(spark, data):
     plan = queries.op2_secrets(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
