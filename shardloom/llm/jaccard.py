@@ -7,7 +7,7 @@ candidates, and each candidate is verified on the sets themselves.
 
 A tree over all texts would have to visit most of its leaves for every query, so the join is first routed,
 exactly, by the groups' contents.  Texts are put into size classes (a pair belongs to the class of its
-larger text, and a text also joins the next class if a partner may lie there).  A linked pair of class c
+larger text, and a text also joins every class above where a partner may lie).  A linked pair of class c
 differs in at most d_c shingles; with K_c > d_c groups, K_c - d_c of them are equal, and equal groups have
 equal keys.  Groups of at most one shingle are frequent among unrelated texts, so a text that has fewer
 than K_c - d_c of them leaves their keys out: an equal group of two or more must then exist.
@@ -91,10 +91,14 @@ def group_keys(hashes: np.ndarray, first: np.ndarray, classes: Classes) -> tuple
     sizes = np.diff(first)
     own = classes.of(np.maximum(sizes, 1))
     jobs = []
-    for step in (0, 1):  # the own class, and the next if a partner may lie there
-        c = own + step
-        rows = np.flatnonzero((sizes > 0) & (classes.groups[c] > 0) & (sizes * 100 >= classes.percent * classes.low[c] if step else sizes > 0))
+    step, reach = 0, sizes > 0
+    while not step or reach.any():  # the own class, and every one above where a partner may lie
+        c = np.minimum(own + step, len(classes.low) - 1)
+        rows = np.flatnonzero(reach & (classes.groups[c] > 0))
         jobs.append((rows, c[rows]))
+        step += 1
+        c = np.minimum(own + step, len(classes.low) - 1)
+        reach = (sizes > 0) & (own + step < len(classes.low)) & (sizes * 100 >= classes.percent * classes.low[c])
     rows = np.concatenate([j[0] for j in jobs])
     cls = np.concatenate([j[1] for j in jobs])
     order = np.argsort(rows, kind="stable")

@@ -200,6 +200,13 @@ def test_repeated_identifiers(spark):
     assert sorted(r.text.lower() for r in rows) == sorted({t.lower() for t in texts}) and {r.doc_id for r in rows} == {5}
 
 
+def test_partners_two_size_classes_away_are_linked(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:7]), " ".join(words[:13]), " ".join(words[20:40]), " ".join(words[20:58])]
+    got = {r.doc_id: r for r in jaccard.link(frame(spark, texts), width=1, percent=50).collect()}
+    assert [got[i].component_id for i in sorted(got)] == [min(got), min(got), sorted(got)[2], sorted(got)[2]]
+
+
 # ------------------------------------------------------------------ embeddings
 
 
