@@ -1,6 +1,6 @@
 """Shared plumbing of the training-data operators.
 
-* written tables in the shared checkpoint folder (lineage cuts that survive lost executors),
+* written tables in the shared checkpoint folder (lineage cuts that survive lost executors), deleted when read for the last time,
 * Arrow text columns as flat byte arrays, cut into pieces of bounded size,
 * vectorised word splitting and 64-bit word hashing on those bytes.
 
@@ -10,9 +10,10 @@ is one ``uint8`` array plus row offsets, and every step is a numpy expression.
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; one longer text makes a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 U64 = np.uint64
 
 
@@ -43,20 +44,87 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives executor loss, keeps column pruning."""
-    spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+#: With this setting a query's shuffle files are deleted when the query ends, not when the driver's collector finds its plan.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries inside leave no shuffle files behind; each ends in a written table or an aggregate, so none is read again."""
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write to ``path`` and read back: cuts lineage, survives executor loss, keeps column pruning."""
+    spark, schema = df.sparkSession, df.schema
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` in the shared folder, for results that outlive their operator."""
+    return stored(df, new_path(df.sparkSession, name))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Written tables of one run of an operator.  Each is deleted by ``drop``, after its last reader was written, or at the end."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.tables = spark, new_path(spark, name), []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{len(self.tables):04d}-{name}"
+        out = stored(df, path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for table, path in self.tables:
+            if any(table is f for f in frames):
+                delete(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        delete(self.spark, self.root)
+
+
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def giving_back(run: Callable, *caches) -> Callable:
+    """``run`` (a function of batches) so that its worker gives memory back to the system when a task ends, however it
+    ends: workers live on for other tasks, and what their allocators keep adds up over the steps of a long job.
+    ``caches`` are cleared first."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in (*caches, _powers):
+                cache.cache_clear()
+            pa.default_memory_pool().release_unused()
+            trim = _trimmer()
+            if trim is not None:
+                trim(0)
 
-    Its cleaner follows the driver's garbage collector, which may not run for a long time; jobs of many small steps
-    would keep all their shuffle files until then."""
-    gc.collect()
-    spark._jvm.System.gc()
+    return wrapped
 
 
 def in_training(id_col: str = "doc_id"):

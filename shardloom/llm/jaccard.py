@@ -15,20 +15,27 @@ than K_c - d_c of them leaves their keys out: an equal group of two or more must
 Steps, none of which gathers a group or builds all pairs of one:
 
 1. texts with equal sets are one node; a task files a node's keys once, so thousands of copies are a few rows;
-2. nodes that share a key meet in one sorted run; each is paired with the first node of the run only;
-3. those pairs are screened by coarse vectors, verified and joined to components;
-4. runs that still hold nodes of different components are searched for all their pairs by the R-tree (once for
+2. nodes that share a key meet in one sorted run, and each is put into the cell of its run's first node.  A key that a
+   sample of the texts shows to be frequent is dealt out over SALTS runs, whose first nodes meet in a second, small merge;
+3. in each cell an R-tree over the members' coarse count vectors answers for the first node; the pairs it leaves are
+   verified, again cell by cell (the first node's set travels once a cell), and joined to components;
+4. runs that still hold nodes of different components are searched for all their pairs by R-trees (once for
    runs of the same nodes), large runs as pairs of bounded sub-blocks.  A search of coarse vectors leaves the nodes
    that may have a partner in their run at all; one of fine vectors gives the candidates that would join a block's
    components, best bounds first; and a last one, after these are verified, all candidates that are left between
    different components.
 
+So every linked pair of different sets was a candidate of an R-tree before it was verified.
+
 Step 4 leaves out pairs in long runs (HOT_RUN nodes or more, such as those of a passage that many texts hold) where it
 can: a node whose keys in long runs, with its groups that have no key, are fewer than K_c - d_c has an equal group in
 a shorter run with every partner of which the same holds, so two such nodes need not be compared there.
 
-A pair that shares no key differs in more than d_c shingles, so no link is lost.  A node is known by a 64-bit
-hash of its set.
+A pair that shares no key differs in more than d_c shingles, so no link is lost.  Shingles and sets are known by 64-bit
+hashes: among n distinct sets, about n^2 / 2^65 pairs of different ones are expected to be taken for equal (one in
+three thousand million for ten thousand sets, 0.03 for a thousand million).
+
+All tables between the steps are deleted as soon as their last reader is written.
 
 Defined results: null and empty texts, and texts without words, have size 0 and are their own component; a
 text of fewer words than a shingle is one shingle; rows are the nodes, so repeated identifiers and rows are
@@ -60,9 +67,13 @@ CELL = 2048
 HOT_RUN = 64
 #: The low bits of a key are its size class.
 CLASSES = 128
-#: Rows up to which a list of needed documents is broadcast (about 100 bytes each).
-BROADCAST_ROWS = 500_000
+#: Rows up to which a list of needed documents is broadcast (three longs each, so 6 MB of values).
+BROADCAST_ROWS = 250_000
 LEAF = 16
+#: Texts in one of which a key is looked for ahead (by a hash of the text), and keys found there that make a frequent one.
+AHEAD, FREQUENT = 64, 32
+#: Runs over which a frequent key is dealt out.
+SALTS = 64
 
 
 class Classes:
@@ -174,11 +185,19 @@ def _sized(width: int, classes: Classes):
             spares = pa.ListArray.from_arrays(pa.array(np.searchsorted(of_row, np.arange(rows.num_rows + 1)), pa.int32()), pa.array(np.maximum(spare, 0) * CLASSES + cls))
             yield pa.record_batch([rows.column(0), pa.array(np.diff(first)), _signed(set_ids(found, first)), rows.column(2), spares], names=["doc_id", "n_shingles", "node", "text_hash", "spares"])
 
-    return run
+    return common.giving_back(run)
+
+
+def salted(keys: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """A key of the same class for each frequent key and salt."""
+    return common.mix(keys ^ common.mix(salts + np.uint64(1))) & ~np.uint64(CLASSES - 1) | keys & np.uint64(CLASSES - 1)
 
 
-def _keyed(width: int, classes: Classes):
+def _keyed(width: int, classes: Classes, shared=None):
+    """Rows (text) -> (key, node); keys in the sorted array ``shared`` holds are salted by the node."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value if shared is not None else np.zeros(0, np.uint64)
         filed: set[int] = set()  # nodes of this task, which are as many as its texts at most
         for _, data, offsets in common.pieces(batches, 0):
             found, first = distinct_shingles(data, offsets, width)
@@ -192,62 +211,120 @@ def _keyed(width: int, classes: Classes):
             sizes = np.where(fresh, np.diff(first), 0)
             found = found[np.repeat(fresh, np.diff(first))]
             keys, at, _ = group_keys(found, np.concatenate([[0], np.cumsum(sizes)]), classes)
-            yield pa.record_batch([_signed(keys), pa.array(np.repeat(ids, np.diff(at)))], names=["key", "node"])
+            nodes = np.repeat(ids, np.diff(at))
+            if len(frequent):
+                hot = frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys
+                keys[hot] = salted(keys[hot], common.mix(nodes[hot].view(np.uint64)) % np.uint64(SALTS))
+            yield pa.record_batch([_signed(keys), pa.array(nodes)], names=["key", "node"])
+
+    return common.giving_back(run)
 
-    return run
 
+def frequent_keys(rows: DataFrame, width: int, classes: Classes) -> np.ndarray:
+    """Keys that FREQUENT or more of one in AHEAD texts have: what is dealt out, which changes no result.  There are at
+    most (keys of those texts) / FREQUENT of them."""
+    some = rows.where(F.pmod(F.xxhash64(F.lit("ahead"), F.col("text")), F.lit(AHEAD)) == 0)
+    found = some.select("text").mapInArrow(_keyed(width, classes), "key long, node long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    with common.shuffles_dropped(rows.sparkSession):
+        return np.sort(found.select("key").toArrow()["key"].to_numpy().view(np.uint64))
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) sorted by both -> (leader, node, key) for every node of a run but its first; key is null in runs of two.
+
+def _runs(shared=None):
+    """Rows (key, node) sorted by both -> (leader, node, key) for every node of a run but its first; key is null in runs
+    of two.  Of a frequent key's runs, ``shared`` holds the sorted salted keys and the key of each: their rows have that
+    key, and the first node is a row without a leader.
 
     A node that several tasks filed stands in a run more than once; it is taken once."""
-    open_key = open_leader = None  # a run of three or more that goes on
-    held_k, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # a run of one or two that may go on
-    last = None
-
-    def out(leader, node, key, small):
-        return pa.record_batch([pa.array(leader), pa.array(node), pa.array(key, mask=small)], names=["leader", "node", "key"])
-
-    def closed(k, n, final):
-        """Runs of k but the last (all if ``final``)."""
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        starts = np.flatnonzero(new)
-        size = np.diff(np.append(starts, len(k)))
-        run = np.cumsum(new) - 1
-        take = ~new & (final | (run < len(starts) - 1))
-        return out(n[starts][run[take]], n[take], k[take], size[run[take]] < 3), (0 if final or not len(starts) else starts[-1])
-
-    for batch in batches:
-        k, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        again = np.zeros(len(k), bool)
-        again[1:] = (k[1:] == k[:-1]) & (n[1:] == n[:-1])
-        if len(k) and last == (k[0], n[0]):
-            again[0] = True
-        if len(k):
-            last = (k[-1], n[-1])
-        k, n = k[~again], n[~again]
-        if open_key is not None:
-            more = int(np.searchsorted(k != open_key, True)) if len(k) else 0
-            if more:
-                yield out(np.full(more, open_leader), n[:more], k[:more], np.zeros(more, bool))
-            k, n = k[more:], n[more:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, whole = shared.value if shared is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        open_key = open_leader = None  # a run of three or more that goes on
+        held_k, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # a run of one or two that may go on
+        last = None
+
+        def out(leader, node, key, small, lone=None):
+            if len(cut):
+                at = np.minimum(np.searchsorted(cut, key), len(cut) - 1)
+                hot = cut[at] == key
+                key, small = np.where(hot, whole[at], key), small & ~hot
+            return pa.record_batch([pa.array(leader, mask=lone), pa.array(node), pa.array(key, mask=small)], names=["leader", "node", "key"])
+
+        def heads(key, node):
+            """The first nodes of runs, where their key is a salted one."""
+            if not len(cut):
+                return
+            hot = cut[np.minimum(np.searchsorted(cut, key), len(cut) - 1)] == key
+            if hot.any():
+                key, node = key[hot], node[hot]
+                yield out(node, node, key, np.zeros(len(key), bool), np.ones(len(key), bool))
+
+        def closed(k, n, final):
+            """Runs of k but the last (all if ``final``)."""
+            new = np.ones(len(k), bool)
+            new[1:] = k[1:] != k[:-1]
+            starts = np.flatnonzero(new)
+            size = np.diff(np.append(starts, len(k)))
+            of = np.cumsum(new) - 1
+            done = final | (of < len(starts) - 1)
+            yield from heads(k[new & done], n[new & done])
+            take = ~new & done
+            if take.any():
+                yield out(n[starts][of[take]], n[take], k[take], size[of[take]] < 3)
+
+        for batch in batches:
+            k, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            again = np.zeros(len(k), bool)
+            again[1:] = (k[1:] == k[:-1]) & (n[1:] == n[:-1])
+            if len(k) and last == (k[0], n[0]):
+                again[0] = True
+            if len(k):
+                last = (k[-1], n[-1])
+            k, n = k[~again], n[~again]
+            if open_key is not None:
+                more = int(np.searchsorted(k != open_key, True)) if len(k) else 0
+                if more:
+                    yield out(np.full(more, open_leader), n[:more], k[:more], np.zeros(more, bool))
+                k, n = k[more:], n[more:]
+                if not len(k):
+                    continue
+                open_key = None
+            k, n = np.concatenate([held_k, k]), np.concatenate([held_n, n])
             if not len(k):
                 continue
-            open_key = None
-        k, n = np.concatenate([held_k, k]), np.concatenate([held_n, n])
-        if not len(k):
-            continue
-        rows, at = closed(k, n, False)
-        if rows.num_rows:
-            yield rows
-        held_k, held_n = k[at:], n[at:]
-        if len(held_k) > 2:
-            open_key, open_leader = held_k[0], held_n[0]
-            yield out(np.full(len(held_k) - 1, open_leader), held_n[1:], held_k[1:], np.zeros(len(held_k) - 1, bool))
-            held_k, held_n = held_k[:0], held_n[:0]
-    if len(held_k) > 1:
-        yield closed(held_k, held_n, True)[0]
+            yield from closed(k, n, False)
+            at = int(np.searchsorted(k, k[-1]))
+            held_k, held_n = k[at:], n[at:]
+            if len(held_k) > 2:
+                open_key, open_leader = held_k[0], held_n[0]
+                yield from heads(held_k[:1], held_n[:1])
+                yield out(np.full(len(held_k) - 1, open_leader), held_n[1:], held_k[1:], np.zeros(len(held_k) - 1, bool))
+                held_k, held_n = held_k[:0], held_n[:0]
+        if len(held_k):
+            yield from closed(held_k, held_n, True)
+
+    return common.giving_back(run)
+
+
+def runs_of(rows: DataFrame, width: int, classes: Classes, scratch: common.Scratch) -> DataFrame:
+    """(leader, node, key) of all runs, those of frequent keys merged."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frequent = frequent_keys(rows, width, classes)
+    keys = cuts = None
+    if len(frequent):
+        every = salted(np.repeat(frequent, SALTS), np.tile(np.arange(SALTS, dtype=np.uint64), len(frequent))).view(np.int64)
+        order = np.argsort(every)
+        keys, cuts = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast((every[order], np.repeat(frequent, SALTS).view(np.int64)[order]))
+    met = rows.select("text").mapInArrow(_keyed(width, classes, keys), "key long, node long").repartition(parts, "key").sortWithinPartitions("key", "node")
+    runs = scratch.keep(met.mapInArrow(_runs(cuts), "leader long, node long, key long"), "runs")
+    if keys is None:
+        return runs
+    keys.unpersist()
+    cuts.unpersist()
+    heads = runs.where("leader is null")
+    first = heads.groupBy("key").agg(F.min("node").alias("leader"))
+    merged = heads.drop("leader").join(first, "key").where("node <> leader").select("leader", "node", "key")
+    return runs.where("leader is not null").unionByName(scratch.keep(merged, "heads"))
 
 
 # ------------------------------------------------------------------ verification
@@ -268,8 +345,8 @@ def count_vector(hashes: np.ndarray, members: int) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (n - 1), minlength=n)
 
 
-def _wanted_sets(width: int, members: int):
-    """Rows (identifier, text, wanted nodes) -> their sets, or (``members`` > 0) their count vectors."""
+def _sets(width: int, members: int):
+    """Rows (identifier, text, wanted node) -> the node's set, sorted, or (``members`` > 0) its count vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.pieces(batches):
@@ -280,9 +357,10 @@ def _wanted_sets(width: int, members: int):
                 column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in each])]), pa.int32()), values)
             else:
                 column = _lists(found, first)
-            yield pa.record_batch([_signed(set_ids(found, first)), column, rows.column(2)], names=["node", "found", "wanted"])
+            nodes = set_ids(found, first).view(np.int64)
+            yield pa.record_batch([pa.array(nodes), column], names=["node", "found"]).filter(pa.array(nodes == rows.column(2).to_numpy()))
 
-    return run
+    return common.giving_back(run)
 
 
 def _list_rows(column: pa.Array) -> list[np.ndarray]:
@@ -290,61 +368,92 @@ def _list_rows(column: pa.Array) -> list[np.ndarray]:
     return [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
-def _screen(percent: int):
-    """Rows (a, b, vector of a, vector of b) -> the pairs whose summed minima allow the threshold."""
+def _found(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, members: int, scratch: common.Scratch) -> DataFrame:
+    """(node, found): sets (or count vectors, with ``members``) of the nodes in ``wanted``, each from one of its texts.
+
+    The list of those texts is broadcast while it is at most BROADCAST_ROWS rows; beyond that it is an ordinary join."""
+    ids = scratch.keep(wanted.select("node").distinct().join(nodes, "node"), "wanted")
+    n = ids.count()
+    met = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, ["doc_id", "text_hash"]).select("doc_id", "text", "node")
+    out = scratch.keep(met.mapInArrow(_sets(width, members), f"node long, found array<{'short' if members else 'long'}>"), "found")
+    scratch.drop(ids)
+    if out.count() > n:  # repeated rows
+        once = scratch.keep(out.dropDuplicates(["node"]), "found")
+        scratch.drop(out)
+        return once
+    return out
+
+
+def _cells(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) as cells (a, salt) of at most some CELL members: first a's own row, then those of its partners."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+    lead = cells.select("a", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("salt"), F.lit(0).alias("place"), F.col("a").alias("node"))
+    rest = pairs.join(cells, "a").select("a", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int").alias("salt"), F.lit(1).alias("place"), F.col("b").alias("node"))
+    rows = lead.unionByName(rest).join(found, "node").select("a", "salt", "place", "node", "found")
+    return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "place")
+
+
+def _of_leaders(percent: int, exact: bool):
+    """Rows of ``_cells`` -> the pairs (a, b) that an R-tree over a cell's count vectors leaves, or (``exact``) whose sets are similar enough."""
+
+    def within_sets(lead: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        lead = lead.view(np.uint64)
+        ok = np.zeros(len(others), bool)
+        for k, other in enumerate(others):
+            at = np.searchsorted(lead, other.view(np.uint64))
+            both = int((lead[np.minimum(at, len(lead) - 1)] == other.view(np.uint64)).sum())
+            ok[k] = (100 + percent) * both >= percent * (len(lead) + len(other))
+        return ok
+
+    def within_vectors(lead: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        ok, length = np.zeros(len(others), bool), np.minimum([len(v) for v in others], len(lead))
+        for n in np.unique(length).tolist():  # vectors of one length at a time, folded to that of the shorter side
+            mine = np.flatnonzero(length == n)
+            tree = CountTree(np.stack([others[k].reshape(-1, n).sum(0, dtype=np.int32) for k in mine]))
+            ok[mine[tree.query(lead.reshape(-1, n).sum(0, dtype=np.int32), percent)]] = True
+        return ok
+
+    within = within_sets if exact else within_vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = lead = None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(_list_rows(batch.column(2)), _list_rows(batch.column(3)), strict=True)):
-                n = min(len(x), len(y))
-                x, y = x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)
-                keep[k] = (100 + percent) * int(np.minimum(x, y).sum()) >= percent * int(x.sum() + y.sum())
-            kept = batch.filter(pa.array(keep))
-            yield pa.record_batch(kept.columns[:2], names=["a", "b"])
-
-    return run
-
-
-def _needed(docs: DataFrame, wanted: DataFrame, width: int, members: int = 0) -> DataFrame:
-    """Sets (or count vectors, with ``members``) of the wanted nodes: ``wanted`` has (doc_id, node, extra); gives (node, found, extra).
-
-    The wanted side is broadcast while it is at most BROADCAST_ROWS rows; beyond that it is an ordinary join."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "extra")).alias("wanted"))
-    if wanted.count() <= BROADCAST_ROWS:
-        lists = F.broadcast(lists)
-    kind = dict(wanted.dtypes)["extra"]
-    met = docs.join(lists, "doc_id").select("doc_id", "text", "wanted")
-    full = met.mapInArrow(_wanted_sets(width, members), f"node long, found array<{'short' if members else 'long'}>, wanted array<struct<node:bigint,extra:{kind}>>")
-    each = full.select("node", "found", F.explode("wanted").alias("w"))
-    return each.where("node = w.node").select("node", "found", F.col("w.extra").alias("extra"))
-
-
-def _vectors(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, members: int) -> DataFrame:
-    """(node, counts) of the nodes in ``wanted``."""
-    rows = wanted.select("node").distinct().join(nodes, "node").withColumn("extra", F.lit(0))
-    return _needed(docs, rows, width, members).select("node", F.col("found").alias("counts")).dropDuplicates(["node"])
-
-
-def screened(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that coarse vectors do not rule out."""
+            a, salt, place, node = (batch.column(c).to_numpy() for c in range(4))
+            found = _list_rows(batch.column(4))
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])
+            starts = np.flatnonzero(new)
+            left, right = [], []
+            for x, y in zip(starts, np.append(starts[1:], len(a)), strict=True):
+                if (a[x], salt[x]) != cell:
+                    cell, lead, x = (a[x], salt[x]), found[x].copy(), x + 1
+                if x < y:
+                    ok = np.flatnonzero(within(lead, found[x:y])) + x
+                    left.append(a[ok])
+                    right.append(node[ok])
+            if left:
+                yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    return common.giving_back(run)
+
+
+def screened(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: common.Scratch) -> DataFrame:
+    """The pairs that the R-trees of their cells leave, by coarse vectors."""
     both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    vectors = common.written(_vectors(docs, nodes, both, width, COARSE), "jaccard-vectors")
-    of_a, of_b = (vectors.select(F.col("node").alias(c), F.col("counts").alias(f"c{c}")) for c in "ab")
-    met = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ca", "cb")
-    return met.mapInArrow(_screen(percent), "a long, b long")
+    vectors = _found(docs, nodes, both, width, COARSE, scratch)
+    out = scratch.keep(_cells(pairs, vectors).mapInArrow(_of_leaders(percent, False), "a long, b long"), "screened")
+    scratch.drop(vectors)
+    return out
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are similar enough."""
-    pairs = common.written(pairs, "jaccard-pairs")
-    of_b = pairs.select(F.col("b").alias("node"), F.col("a").alias("extra")).join(nodes, "node")
-    of_a = pairs.select(F.col("a").alias("node"), F.lit(0).alias("extra")).distinct().join(nodes, "node")
-    b = _needed(docs, of_b, width).select(F.col("extra").alias("a"), F.col("node").alias("b"), F.col("found").alias("fb"))
-    a = _needed(docs, of_a, width).select(F.col("node").alias("a"), F.col("found").alias("fa"))
-    total = F.size("fa") + F.size("fb")
-    share = F.size(F.array_intersect("fa", "fb"))
-    return a.join(b, "a").where(F.lit(100 + percent) * share.cast("long") >= F.lit(percent) * total.cast("long")).select("a", "b").distinct()
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: common.Scratch) -> DataFrame:
+    """The (a, b) of ``pairs`` (distinct) whose sets are similar enough."""
+    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    sets = _found(docs, nodes, both, width, 0, scratch)
+    out = scratch.keep(_cells(pairs, sets).mapInArrow(_of_leaders(percent, True), "a long, b long"), "links")
+    scratch.drop(sets)
+    return out
 
 
 # ------------------------------------------------------------------ the R-tree
@@ -491,7 +600,7 @@ def _search(percent: int, what: str):
         if waiting:
             yield flush()
 
-    return run
+    return common.giving_back(run)
 
 
 # ------------------------------------------------------------------ the join
@@ -499,26 +608,28 @@ def _search(percent: int, what: str):
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id; then text_hash (xxhash64 of the text) and group (a key of the
-    component: null where n_shingles is 0 or the identifier is null)."""
-    spark = docs.sparkSession
+    component: null where n_shingles is 0 or the identifier is null).  The result is a written table."""
+    with common.Scratch(docs.sparkSession, "jaccard") as scratch:
+        return common.written(_linked(docs, width, percent, id_col, text_col, scratch), "jaccard-groups")
+
+
+def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, scratch: common.Scratch) -> DataFrame:
     classes = Classes(percent)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    sized = common.written(hashed.mapInArrow(_sized(width, classes), "doc_id long, n_shingles long, node long, text_hash long, spares array<long>"), "jaccard-sizes")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sized = scratch.keep(rows.mapInArrow(_sized(width, classes), "doc_id long, n_shingles long, node long, text_hash long, spares array<long>"), "sizes")
     # 1. equal sets are one node
-    nodes = sized.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = common.written(nodes, "jaccard-nodes")
-    # 2. runs of nodes that share a key; each node with the first of its run
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.where("doc_id is not null").select("text").mapInArrow(_keyed(width, classes), "key long, node long")
-    met = keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
-    runs = common.written(met.mapInArrow(_runs, "leader long, node long, key long"), "jaccard-runs")
-    common.tidy(spark)
+    nodes = sized.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    nodes = scratch.keep(nodes.select("node", "least.doc_id", "least.text_hash"), "nodes")
+    # 2. runs of nodes that share a key; each node in the cell of the first of its run
+    runs = runs_of(rows.where("doc_id is not null"), width, classes, scratch)
     # 3. verified pairs with the first nodes, and their components
-    pairs = common.written(runs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
-    stars = common.written(verified(rows, nodes, screened(rows, nodes, pairs, width, percent), width, percent), "jaccard-links")
+    pairs = scratch.keep(runs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    left = screened(rows, nodes, pairs, width, percent, scratch)
+    scratch.drop(pairs)
+    stars = verified(rows, nodes, left, width, percent, scratch)
+    scratch.drop(left)
     # 4. what is left between components of one run
-    roots = _rest(rows, sized, nodes, runs, stars, width, percent)
+    roots = _rest(rows, sized, nodes, runs, stars, width, percent, scratch)
     # components are named by the least identifier of their nodes
     named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -537,7 +648,7 @@ def _match(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_ant
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of which one stays of each component: that with the least identifier (of
     repeated ones, any).  Rows without words or without an identifier stay."""
-    linked = common.written(link(docs, width, percent, id_col, text_col), "jaccard-groups")
+    linked = link(docs, width, percent, id_col, text_col)
     inner = linked.where("group is not null")
     mark, own = "_text_hash_of_keep_one", "_identifier_of_keep_one"
     marked = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string"))).withColumn(own, F.col(id_col).cast("long"))
@@ -552,53 +663,56 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     return out.drop(mark, own)
 
 
-def _rest(rows: DataFrame, sized: DataFrame, nodes: DataFrame, runs: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+def _rest(rows: DataFrame, sized: DataFrame, nodes: DataFrame, runs: DataFrame, links: DataFrame, width: int, percent: int, scratch: common.Scratch) -> DataFrame:
     """Components of ``links`` and of the links between different components inside runs of three or more nodes."""
-    roots = components(links)
-    common.tidy(rows.sparkSession)
+    roots = components(links, scratch)
     large = runs.where("key is not null")
     rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lead = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead_root"))
     mixed = rooted.join(lead, "leader", "left").where(F.col("root") != F.coalesce("lead_root", "leader")).select("key").distinct()
-    mixed = common.written(mixed, "jaccard-mixed")
+    mixed = scratch.keep(mixed, "mixed")
     if mixed.isEmpty():
         return roots
     members = large.join(mixed, "key", "left_semi")
-    members = common.written(members.select("key", "node").unionByName(members.select("key", F.col("leader").alias("node")).distinct()), "jaccard-members")
+    members = scratch.keep(members.select("key", "node").unionByName(members.select("key", F.col("leader").alias("node"))).distinct(), "members")
     # nodes that may leave out long runs
     hot = large.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_RUN - 1).select("key", F.lit(True).alias("hot"))
-    hot = common.written(hot, "jaccard-long")
+    hot = scratch.keep(hot, "long")
     in_hot = large.join(hot, "key")
-    in_hot = in_hot.select("key", "node").unionByName(in_hot.select("key", F.col("leader").alias("node")).distinct())
+    in_hot = in_hot.select("key", "node").unionByName(in_hot.select("key", F.col("leader").alias("node"))).distinct()
     of_class = F.pmod(F.col("key"), F.lit(CLASSES)).alias("cls")
     held = in_hot.groupBy("node", of_class).agg(F.count(F.lit(1)).alias("held"))
     spares = sized.where("n_shingles > 0").select("node", F.explode("spares").alias("s")).distinct().select("node", F.pmod(F.col("s"), F.lit(CLASSES)).alias("cls"), F.floor(F.col("s") / CLASSES).alias("spare"))
     skips = held.join(spares, ["node", "cls"]).where("held < spare").select("node", "cls", F.lit(True).alias("may"))
-    members = members.join(hot, "key", "left").withColumn("cls", of_class).join(skips, ["node", "cls"], "left")
-    members = members.select("key", "node", F.coalesce(F.col("hot") & F.col("may"), F.lit(False)).alias("skip"))
-    members = common.written(members, "jaccard-flagged")
+    flagged = members.join(hot, "key", "left").withColumn("cls", of_class).join(skips, ["node", "cls"], "left")
+    flagged = scratch.keep(flagged.select("key", "node", F.coalesce(F.col("hot") & F.col("may"), F.lit(False)).alias("skip")), "flagged")
+    scratch.drop(members, mixed)
     # runs of the same nodes would give the same pairs: one of them is searched
-    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node", "skip").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", "skip", F.lit(1))).alias("x"))
-    members = common.written(members.join(same.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "jaccard-runs-apart")
-    near = _searched(rows, nodes, members, roots, width, percent, "near")
-    members = common.written(members.join(near.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), ["key", "node"]), "jaccard-near")
+    same = flagged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node", "skip").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", "skip", F.lit(1))).alias("x"))
+    apart = scratch.keep(flagged.join(same.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "runs-apart")
+    scratch.drop(flagged)
+    near = _searched(rows, nodes, apart, roots, width, percent, "near", scratch)
+    members = scratch.keep(apart.join(near.select(F.col("a").alias("key"), F.col("b").alias("node")), ["key", "node"]), "near")
+    scratch.drop(apart, near)
     for what in ("join", "all"):
-        common.tidy(rows.sparkSession)
-        found = common.written(_searched(rows, nodes, members, roots, width, percent, what).distinct(), "jaccard-candidates")
+        found = _searched(rows, nodes, members, roots, width, percent, what, scratch)
         if not found.isEmpty():
-            links = links.unionByName(common.written(verified(rows, nodes, found, width, percent), "jaccard-links"))
-            roots = components(links)
+            links = links.unionByName(verified(rows, nodes, found, width, percent, scratch))
+            roots = components(links, scratch)
+        scratch.drop(found)
     return roots
 
 
-def _searched(rows: DataFrame, nodes: DataFrame, members: DataFrame, roots: DataFrame, width: int, percent: int, what: str) -> DataFrame:
-    """The search (columns a, b) of the runs in ``members`` (key, node, skip) that hold more than one root."""
+def _searched(rows: DataFrame, nodes: DataFrame, members: DataFrame, roots: DataFrame, width: int, percent: int, what: str, scratch: common.Scratch) -> DataFrame:
+    """The search (distinct a, b) of the runs in ``members`` (key, node, skip) that hold more than one root."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "skip")
     cells = now.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.min("root").alias("least"), F.max("root").alias("most"), F.min("skip").alias("all_skip")).where("least < most and not all_skip")
-    live = common.written(now.join(cells.select("key", "cells"), "key"), "jaccard-blocks")
-    vectors = _vectors(rows, nodes, live, width, COARSE if what == "near" else FINE)
+    live = scratch.keep(now.join(cells.select("key", "cells"), "key"), "blocks")
+    vectors = _found(rows, nodes, live, width, COARSE if what == "near" else FINE, scratch).withColumnRenamed("found", "counts")
     cut = live.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     cut = cut.select("key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node", "root", "skip").join(vectors, "node")
     ordered = cut.select("key", "i", "j", "salt", "node", "root", "skip", "counts").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return ordered.mapInArrow(_search(percent, what), "a long, b long")
+    found = scratch.keep(ordered.mapInArrow(_search(percent, what), "a long, b long").distinct(), what)
+    scratch.drop(live)
+    return found

@@ -28,14 +28,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
 #: Rows of one side of a sub-block.
-CELL = 1024
+CELL = 512
 #: Tables by number of hashes: a bucket of more axes is met more seldom, so that more tables keep the recall level.
 TABLES = {2: 8, 3: 8, 4: 12, 5: 24}
 #: Pairs looked at together.
@@ -149,7 +149,7 @@ def _filed(settings: dict):
                         names=["node", "label", "dim", "tab", "code", "home"],
                     )
 
-    return run
+    return common.giving_back(run)
 
 
 def _compare(settings: dict, least: float):
@@ -219,7 +219,7 @@ def _compare(settings: dict, least: float):
         if held is not None:
             yield from blocks(held, [(0, len(held[0]))])
 
-    return run
+    return common.giving_back(run)
 
 
 def hashes_for(dim: int, count: int) -> int:
@@ -235,7 +235,7 @@ def tables_for(hashes: int) -> int:
 def link(
     vectors: DataFrame, least: float = 0.93, tables: int | None = None, hashes: int | None = None, probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept.  ``hashes`` is chosen by the number of vectors of a length unless given (``hashes_for``), ``tables`` by the hashes."""
+    """Per row: vec_id, n_links, component_id, kept.  ``hashes`` is chosen by the number of vectors of a length unless given (``hashes_for``), ``tables`` by the hashes.  The result reads a written table."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0)
@@ -246,23 +246,36 @@ def link(
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     chosen = {dim: hashes or hashes_for(dim, count) for dim, count in counts.items()}
     settings = {dim: {"tables": tables or tables_for(k), "hashes": k, "probes": probes} for dim, k in chosen.items()}
+    with common.Scratch(spark, "vectors") as scratch:
+        named = common.written(_named(rows, settings, least, scratch), "vector-groups")
+    out = rows.withColumns(_names(F.col("vector").isNotNull())).join(named, ["name", "other_name"], "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+def _names(there: Column) -> dict[str, Column]:
+    """128 bits that name a vector of a label, so that no two of them share a row."""
+    return {"name": F.when(there, F.xxhash64("label", "vector")), "other_name": F.when(there, F.xxhash64(F.lit("other"), "vector", "label"))}
+
+
+def _named(rows: DataFrame, settings: dict, least: float, scratch: common.Scratch) -> DataFrame:
+    """(name, other_name, component_id, n_links) of every distinct vector of a label."""
     nodes = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    nodes = common.written(nodes.withColumn("node", F.xxhash64("label", "vector")), "vector-nodes")
+    # the number is fixed by the write
+    nodes = scratch.keep(nodes.withColumns(_names(F.lit(True))).withColumn("node", F.monotonically_increasing_id()), "nodes")
     filed = nodes.select("node", "vector", F.xxhash64("label").alias("label"), F.size("vector").alias("dim")).mapInArrow(_filed(settings), "node long, label long, dim int, tab int, code long, home boolean")
-    filed = common.written(filed, "vector-buckets")
+    filed = scratch.keep(filed, "buckets")
     bucket = ["dim", "tab", "code", "label"]
     sizes = filed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home")).where("home and n > 1").select(*bucket, F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
     cut = filed.join(sizes, bucket).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     cut = cut.select(*bucket, F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node")
     block = [*bucket, "i", "j"]  # dim is the first to sort by, and the last column
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = cut.join(nodes.select("node", "copies", "vector"), "node").select(*block[1:], "salt", "node", "copies", "vector", "dim").repartition(parts, *block).sortWithinPartitions(*block, "node")
-    found = common.written(met.mapInArrow(_compare(settings, least), "node long, links long, root long"), "vector-links")
+    found = scratch.keep(met.mapInArrow(_compare(settings, least), "node long, links long, root long"), "links")
+    scratch.drop(filed)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = nodes.select("node", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
+    named = nodes.select("node", "name", "other_name", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least_id, "root").join(links, "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("vec_id", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector")).alias("node")).join(named, "node", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return named.join(least_id, "root").join(links, "node", "left").select("name", "other_name", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

@@ -39,11 +39,17 @@ def test_components(spark, shape):
         "none": [],
         "loops": [(1, 1), (2, 3), (3, 2), (2, 3)],
     }[shape]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    with common.Scratch(spark, "components") as scratch:
+        got = {r.node: r.root for r in components(spark.createDataFrame([*links, (None, 3), (5, None)], "a long, b long"), scratch).collect()}
     want = roots({x for e in links for x in e}, links)
     assert got == {n: r for n, r in want.items() if n != r}
 
 
+def test_components_never_gives_unfinished_ones(spark):
+    with common.Scratch(spark, "components") as scratch, pytest.raises(RuntimeError, match="not finished"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), scratch, max_rounds=2)
+
+
 # ------------------------------------------------------------------ n-gram Jaccard
 
 
@@ -119,6 +125,28 @@ def test_jaccard_small_cells(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.link(docs, 4, 85).collect()} == want
 
 
+def test_jaccard_frequent_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "AHEAD", 2)
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)  # many keys are frequent ones
+    monkeypatch.setattr(jaccard, "SALTS", 3)
+    texts = corpus(5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = docs.where("doc_id is not null")
+    assert len(jaccard.frequent_keys(rows, 4, jaccard.Classes(85))) > 50
+    want = brute_force(texts, 4, 85)[1]
+    assert {r.doc_id: r.component_id for r in jaccard.link(docs, 4, 85).collect()} == want
+
+
+def test_jaccard_leaves_no_tables_but_its_result(spark):
+    import glob
+
+    at = common.work_dir(spark).removeprefix("file://") + "/llm/jaccard*"
+    before = set(glob.glob(at))
+    assert jaccard.link(spark.createDataFrame(list(enumerate(corpus(6))), "doc_id long, text string"), 4, 85).count()
+    (left,) = set(glob.glob(at)) - before
+    assert "jaccard-groups" in left
+
+
 @pytest.mark.parametrize("percent", [60, 80, 85, 95])
 def test_linked_sets_share_a_key(percent):
     rng = np.random.default_rng(percent)
@@ -159,7 +187,7 @@ def test_runs_over_batch_borders():
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
         batches = [pa.record_batch([pa.array(key[i : i + size]), pa.array(node[i : i + size])], names=["key", "node"]) for i in range(0, 120, size)]
-        got = [t for b in jaccard._runs(iter(batches)) for t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+        got = [t for b in jaccard._runs()(iter(batches)) for t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
         want = []
         for k in np.unique(key):
             run = sorted(set(node[key == k].tolist()))
@@ -284,18 +312,19 @@ def test_embeddings_of_every_length_link(spark):
     assert {i: got[i].component_id for i in got} == roots(got, found)
 
 
+@pytest.mark.parametrize("dim", [64, 128])
 @pytest.mark.parametrize("hashes", [2, 3, 4, 5])
-def test_recall_at_the_threshold_stays_level(hashes):
+def test_recall_at_the_threshold_stays_level(hashes, dim):
     rng = np.random.default_rng(14)
-    a, w = rng.normal(size=(2, 2000, 64))
+    a, w = rng.normal(size=(2, 2000, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     w -= (w * a).sum(1, keepdims=True) * a
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
-    h = neighbours.Hasher(64, neighbours.tables_for(hashes), hashes, 8)
+    h = neighbours.Hasher(dim, neighbours.tables_for(hashes), hashes, 8)
     x, y = h.codes(a), h.codes(b)
     met = ((y[:, :, :1] == x).any(2) | (x[:, :, :1] == y).any(2)).any(1)
     assert met.mean() > 0.99
-    print("recall", hashes, h.tables, met.mean())
+    print("recall", dim, hashes, h.tables, met.mean())
 
 
 def _cosine(rows, a, b):
