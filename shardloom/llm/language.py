@@ -1,16 +1,16 @@
 """Language identification by prediction by partial matching.
 
-Each language has a variable-order context tree over lower-cased bytes (orders 3 down to 0, then a
-uniform order -1).  A symbol seen c times in a context of n symbols, d of them distinct, costs
--log2(c / (n + d)); an unseen one pays the escape -log2(d / (n + d)) and is coded in the next shorter
-context with the symbols already offered excluded, so every context codes a proper distribution.
+Each language has a variable-order context tree over bytes, A-Z lower-cased (orders 3 down to 0, then a
+uniform order -1 over all 256 byte values).  A symbol seen c times in a context of n symbols, d of them
+distinct, costs -log2(c / (n + d)); an unseen one pays the escape -log2(d / (n + d)) and is coded in the next
+shorter context with the symbols already offered excluded, so every context codes a proper distribution.
 Statistics are frozen after training, and a text's code length under a language is the exact sum over
 its bytes.  The shortest code names the language; the score is its posterior under equal priors.
 
-The 63 most frequent bytes are symbols of their own; all others share one symbol, which costs every
-language the same.  Training counts come from a bounded sample of labelled rows (``per_language`` in
-expectation for each of at most ``max_languages`` languages); everything else covers all rows.  The
-trees are at most 64^3 contexts each; the workers hold one float per context and symbol.
+Exclusion makes an escape's cost depend on the context alone, so a tree is kept as the bits of every symbol
+seen in a context and the bits of every context's escape, sorted by context: memory follows what the trees hold,
+not what they could hold.  Training counts come from a bounded sample of labelled rows (``per_language`` in
+expectation for each language); every language that ``lang`` names is learned, and everything else covers all rows.
 
 Defined results: a null text, an empty one or one without a letter is ``und`` with score 0; with nothing
 to learn from, all are; ties go to the first language in string order; repeated rows each get their own
@@ -29,157 +29,127 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 3
-BITS = 6
-SYMBOLS = 1 << BITS
+SYMBOLS = 256
+#: Bits a byte of the uniform code that every tree ends in.
+BITS = 8
 UNDETERMINED = "und"
 _SAMPLE_UNITS = 1 << 20
 
 SCHEMA = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
 
-def _symbols(data: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per byte its context (the ORDER symbols before it; spaces before the first byte) and its symbol."""
+def grams_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per byte a number of ORDER + 1 bytes: those before it (spaces before the first of a row), then its own, which is the lowest."""
     n_rows = len(offsets) - 1
-    space = alphabet[32]
-    padded = np.full(len(data) + ORDER * n_rows, space, np.int32)
-    row = np.repeat(np.arange(1, n_rows + 1) * ORDER, np.diff(offsets))
-    at = np.arange(len(data)) + row
-    padded[at] = alphabet[common.lowered(data)]
-    context = np.zeros(len(padded), np.int32)
+    at = np.arange(len(data)) + np.repeat(np.arange(1, n_rows + 1) * ORDER, np.diff(offsets))
+    padded = np.full(len(data) + ORDER * n_rows, 32, np.uint32)
+    padded[at] = common.lowered(data)
+    out = padded.copy()
     for k in range(1, ORDER + 1):
-        context[k:] |= padded[:-k] << (BITS * (k - 1)) if len(padded) > k else 0
-    return context[at], padded[at], at
+        out[k:] |= padded[:-k] << np.uint32(8 * k)
+    return out[at]
 
 
-def byte_counts(sample: DataFrame) -> np.ndarray:
-    """How often each lower-cased byte occurs in the sampled texts (256 numbers)."""
+def gram_counts(sample: DataFrame) -> DataFrame:
+    """(lang, gram, n): how often the bytes of a gram follow each other in a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for _, data, _ in common.pieces(batches):
-            total += np.bincount(common.lowered(data), minlength=256)
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["byte", "n"])
-
-    rows = sample.mapInArrow(count, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(256, np.int64)
-    for r in rows:
-        out[r["byte"]] = r["n"]
-    return out
-
-
-def alphabet_of(counts: np.ndarray) -> np.ndarray:
-    order = np.lexsort((np.arange(256), -counts))
-    order = np.concatenate([[32], order[order != 32]])  # a space always has a symbol: it pads
-    alphabet = np.full(256, SYMBOLS - 1, np.int32)
-    alphabet[order[: SYMBOLS - 1]] = np.arange(SYMBOLS - 1)
-    return alphabet
-
-
-def gram_counts(sample: DataFrame, alphabet: np.ndarray) -> DataFrame:
-    """(lang, gram, n): how often a symbol follows a context in a language; gram = context * 64 + symbol."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
         for rows, data, offsets in common.pieces(batches):
-            context, symbol, _ = _symbols(data, offsets, alphabet)
-            gram = context.astype(np.int64) << BITS | symbol
-            langs = np.array(rows.column(0).to_pylist())
-            lengths = np.diff(offsets)
-            for lang in np.unique(langs):
-                mine = gram[np.repeat(langs == lang, lengths)]
-                grams, n = np.unique(mine, return_counts=True)
-                if len(grams):
-                    yield pa.record_batch([pa.array([str(lang)] * len(grams)), pa.array(grams, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-        del total
-
-    return sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            gram = grams_of(data, offsets)
+            of_row = rows.column(0).dictionary_encode()
+            code = np.repeat(of_row.indices.to_numpy(), np.diff(offsets)).astype(np.uint64)
+            both, n = np.unique(code << np.uint64(32) | gram, return_counts=True)
+            langs = of_row.dictionary.take(pa.array(both >> np.uint64(32)))
+            yield pa.record_batch([langs, pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+    return sample.mapInArrow(common.giving_back(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+class Tree:
+    """Frozen statistics of one language: per order, longest last, the grams with their bits and the contexts with the bits of their escapes."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        shorter = lambda found: np.full(len(found), 1.0 / SYMBOLS)
+        for k in range(ORDER + 1):
+            seen, at = np.unique(gram & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            count = np.bincount(at, n, len(seen))
+            context, of = np.unique(seen >> np.uint32(8), return_inverse=True)
+            total, distinct = np.bincount(of, count), np.bincount(of).astype(float)
+            left = 1.0 - np.bincount(of, shorter(seen))  # what the next shorter context offers besides
+            every = distinct == SYMBOLS  # nothing to escape to
+            p = count / (total + np.where(every, 0.0, distinct))[of]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(every, 0.0, -np.log2(distinct / (total + distinct) / np.maximum(left, 1e-300)))
+            self.orders.append((seen, -np.log2(p), context, escape))
+            mask = np.uint32((1 << 8 * (k + 1)) - 1)
+            shorter = lambda found, seen=seen, p=p, mask=mask: p[np.searchsorted(seen, found & mask)]  # noqa: E731  (a suffix of a seen gram is seen)
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each gram in the context of the others."""
+        out, open_ = np.zeros(len(gram)), np.arange(len(gram))
+        for k in range(ORDER, -1, -1):
+            seen, bits, context, escape = self.orders[k]
+            mine = gram[open_] & np.uint32((1 << 8 * (k + 1)) - 1)
+            at = np.minimum(np.searchsorted(seen, mine), len(seen) - 1)
+            hit = seen[at] == mine
+            out[open_[hit]] += bits[at[hit]]
+            open_, mine = open_[~hit], mine[~hit] >> np.uint32(8)
+            at = np.minimum(np.searchsorted(context, mine), len(context) - 1)
+            known = context[at] == mine
+            out[open_[known]] += escape[at[known]]
+        out[open_] += BITS
+        return out
 
 
 class Model:
-    """Frozen statistics of all languages; ``tables`` turns them into code lengths once per worker."""
+    """Gram counts of all languages; the trees are built where they are used."""
 
-    def __init__(self, alphabet: np.ndarray, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.alphabet, self.languages = alphabet, sorted(grams)
+    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.languages = sorted(grams)
         self.grams = [grams[lang] for lang in self.languages]
-        self._tables = None
+        self._trees = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_tables": None}
-
-    def tables(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """State of each full context (its longest suffix that any language has seen), and per language the bits of (state, symbol)."""
-        if self._tables is not None:
-            return self._tables
-        full = SYMBOLS**ORDER
-        seen = np.zeros(full, bool)
-        for gram, _ in self.grams:
-            seen[gram >> BITS] = True
-        deep = np.flatnonzero(seen)
-        low = full // SYMBOLS  # contexts of ORDER - 1 symbols are the low bits of a full one
-        state = np.arange(full) % low
-        state[deep] = low + np.arange(len(deep))
-        costs = []
-        for gram, n in self.grams:
-            p = np.full((1, SYMBOLS), 1.0 / SYMBOLS)
-            for k in range(ORDER):
-                span = SYMBOLS ** (k + 1)
-                c = np.bincount(gram % span, n, span).reshape(-1, SYMBOLS)
-                p = _blend(c, np.tile(p, (c.shape[0] // p.shape[0], 1)))
-            c = np.zeros((len(deep), SYMBOLS))
-            where = np.searchsorted(deep, gram >> BITS)
-            np.add.at(c, (where, gram % SYMBOLS), n)
-            costs.append(np.concatenate([-np.log2(p), -np.log2(_blend(c, p[deep % low]))]).astype(np.float32).ravel())
-        self._tables = state.astype(np.int32), costs
-        return self._tables
-
-
-def _blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities in contexts with these symbol counts, over those of the next shorter contexts."""
-    seen = counts > 0
-    distinct = seen.sum(1, keepdims=True)
-    total = counts.sum(1, keepdims=True) + distinct
-    left = np.where(seen, 0.0, shorter)
-    mass = left.sum(1, keepdims=True)
-    every = distinct == SYMBOLS  # nothing to escape to
-    total = np.where(every, total - distinct, total)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.where(seen, counts / total, distinct / total * left / mass)
-    return np.where(distinct == 0, shorter, out)
-
-
-def fit(labelled: DataFrame, per_language: int = 2000, max_languages: int = 200, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model | None:
+        return {**self.__dict__, "_trees": None}
+
+    def trees(self) -> list[Tree]:
+        if self._trees is None:
+            self._trees = [Tree(gram, n) for gram, n in self.grams]
+        return self._trees
+
+    def forget(self) -> None:
+        self._trees = None
+
+
+def fit(labelled: DataFrame, per_language: int = 2000, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model | None:
     """Learn from rows with a language and a text.  ``per_language`` bounds the expected sample of each language
-    (rows are picked by a hash of their identifier); ``max_languages`` keeps the most frequent ones."""
+    (rows are picked by a hash of their identifier), and so the model: what the driver and each worker hold is
+    at most one gram per byte of the sample."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    if not counts:
+    share = rows.groupBy("lang").agg((F.least(F.lit(1.0), F.lit(per_language) / F.count(F.lit(1))) * _SAMPLE_UNITS + 1).alias("share"))
+    picked = F.pmod(F.xxhash64(F.lit("language sample"), F.col("doc_id")), F.lit(_SAMPLE_UNITS)) < F.col("share")
+    with common.shuffles_dropped(labelled.sparkSession):
+        got = gram_counts(rows.join(share, "lang").where(picked).select("lang", "text")).toArrow()
+    if not got.num_rows:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, per_language / n) * _SAMPLE_UNITS) + 1)])
-    picked = F.pmod(F.xxhash64(F.lit("language sample"), F.col("doc_id")), F.lit(_SAMPLE_UNITS)) < F.element_at(share, F.col("lang"))
-    sample = rows.where(F.col("lang").isin(list(counts))).where(picked).select("lang", "text")
-    alphabet = alphabet_of(byte_counts(sample))
-    got = gram_counts(sample, alphabet).toArrow()
-    langs, gram, n = np.array(got.column("lang").to_pylist(), dtype=object), got.column("gram").to_numpy(), got.column("n").to_numpy()
-    grams = {}
-    for lang in sorted(counts):
-        mine = langs == lang
-        if mine.any():
-            order = np.argsort(gram[mine])
-            grams[lang] = gram[mine][order].astype(np.int32), n[mine][order].astype(np.int32)
-    return Model(alphabet, grams) if grams else None
+    langs = got["lang"].combine_chunks().dictionary_encode()
+    code, gram, n = langs.indices.to_numpy(), got["gram"].to_numpy().astype(np.uint32), got["n"].to_numpy()
+    order = np.lexsort((gram, code))
+    cuts = np.searchsorted(code[order], np.arange(len(langs.dictionary) + 1))
+    return Model({lang: (gram[order[a:b]], n[order[a:b]]) for lang, a, b in zip(langs.dictionary.to_pylist(), cuts[:-1], cuts[1:], strict=True)})
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each row under each language (rows x languages)."""
-    state_of, costs = model.tables()
-    out = np.zeros((len(offsets) - 1, len(costs)))
+    trees = model.trees()
+    out = np.zeros((len(offsets) - 1, len(trees)))
     filled = np.flatnonzero(np.diff(offsets))
     if len(filled):
-        context, symbol, _ = _symbols(data, offsets, model.alphabet)
-        cell = (state_of[context] << BITS) + symbol
-        for k, cost in enumerate(costs):
-            out[filled, k] = np.add.reduceat(cost[cell], offsets[filled], dtype=np.float64)
+        met = pa.array(grams_of(data, offsets)).dictionary_encode()  # each distinct gram is coded once
+        gram, of = met.dictionary.to_numpy(), met.indices.to_numpy()
+        for k, tree in enumerate(trees):
+            out[filled, k] = np.add.reduceat(tree.bits(gram)[of], offsets[filled])
     return out
 
 
@@ -207,10 +177,13 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = shared.value
         names = np.array([*frozen.languages, UNDETERMINED], object)
-        for piece, data, offsets in common.pieces(batches):
-            yield pa.record_batch([piece.column(0), *_decide(frozen, names, data, offsets), *piece.columns[2:]], names=["doc_id", "lang_pred", "score", "bits_per_byte", *piece.schema.names[2:]])
+        try:
+            for piece, data, offsets in common.pieces(batches):
+                yield pa.record_batch([piece.column(0), *_decide(frozen, names, data, offsets), *piece.columns[2:]], names=["doc_id", "lang_pred", "score", "bits_per_byte", *piece.schema.names[2:]])
+        finally:
+            frozen.forget()
 
-    return rows.mapInArrow(run, common.with_carried(SCHEMA, rows))
+    return rows.mapInArrow(common.giving_back(run), common.with_carried(SCHEMA, rows))
 
 
 def _decide(model: Model, names: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:

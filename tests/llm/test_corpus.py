@@ -283,7 +283,7 @@ def test_pipeline_stages_against_brute_force(spark, data):
     kept = {r.doc_id for r in known.collect()}
     assert not any(r["doc_id"] in kept for r in before if not any(c.isalpha() for c in r["text"] or ""))
     bits = {r.doc_id: r.bits_per_byte for r in language.predict(docs, language.fit(docs)).collect()}
-    assert kept == {i for i, b in bits.items() if b is not None and b <= 6}
+    assert kept == {i for i, b in bits.items() if b is not None and b <= corpus_pipeline.MOST_BITS}
     # near duplicates: the least identifier of each component
     rows = sorted(known.collect(), key=lambda r: r.doc_id)
     want = brute_force([r.text for r in rows], 5, 80)[1]

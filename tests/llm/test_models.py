@@ -28,55 +28,114 @@ def test_language_held_out_accuracy(spark):
 
 
 def model_of(texts):
-    data, offsets = common.text_bytes(pa.array([t for ts in texts.values() for t in ts]))
-    alphabet = language.alphabet_of(np.bincount(common.lowered(data), minlength=256))
     grams = {}
     for lang, ts in texts.items():
-        d, o = common.text_bytes(pa.array(ts))
-        context, symbol, _ = language._symbols(d, o, alphabet)
-        g, n = np.unique(context.astype(np.int64) << language.BITS | symbol, return_counts=True)
-        grams[lang] = g.astype(np.int32), n
-    return language.Model(alphabet, grams)
+        g, n = np.unique(language.grams_of(*common.text_bytes(pa.array(ts))), return_counts=True)
+        grams[lang] = g, n
+    return language.Model(grams)
 
 
-def plain_bits(texts, alphabet, text):
-    """Escape code lengths with exclusion, straight from the definition."""
+def lower_bytes(text):
+    return [b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()]
+
+
+def plain_counts(texts):
     counts = {}
     for t in texts:
-        s = [int(alphabet[32])] * 3 + [int(alphabet[b]) for b in t.lower().encode()]
+        s = [32] * 3 + lower_bytes(t)
         for i in range(3, len(s)):
             for k in range(4):
                 c = counts.setdefault(tuple(s[i - k : i]), {})
                 c[s[i]] = c.get(s[i], 0) + 1
+    return counts
+
+
+def plain_bits(texts, text, counts=None):
+    """Escape code lengths with exclusion, straight from the definition."""
+    counts = plain_counts(texts) if counts is None else counts
 
     def p(context, x):
-        shorter = {y: 1 / 64 for y in range(64)} if not context and () not in counts else None
+        below = (lambda y: p(context[1:], y)) if context else (lambda y: 1 / 256)
         c = counts.get(context)
-        below = (lambda y: p(context[1:], y)) if context else (lambda y: 1 / 64)
-        if shorter or c is None:
+        if c is None:
             return below(x)
         n, d = sum(c.values()), len(c)
-        if d == 64:
+        if d == 256:
             return c[x] / n
         if x in c:
             return c[x] / (n + d)
-        return d / (n + d) * below(x) / sum(below(y) for y in range(64) if y not in c)
+        return d / (n + d) * below(x) / (1 - sum(below(y) for y in c))
 
-    s = [int(alphabet[32])] * 3 + [int(alphabet[b]) for b in text.lower().encode()]
+    s = [32] * 3 + lower_bytes(text)
     return -sum(np.log2(p(tuple(s[i - 3 : i]), s[i])) for i in range(3, len(s)))
 
 
 def test_language_code_lengths_are_exact():
-    texts = {"a": ["the cat and the hat", "that then"], "b": ["el gato y la casa", "él"]}
+    texts = {"a": ["the cat and the hat", "that then"], "b": ["el gato y la casa", "él"], "c": ["Кошка и дом", "猫と犬"]}
     model = model_of(texts)
-    asked = ["the hat", "la casa él", "zzz", "", "x"]
+    asked = ["the hat", "la casa él", "zzz", "", "x", "дом КОШКА", "犬"]
     bits = language.code_lengths(model, *common.text_bytes(pa.array(asked)))
     for k, lang in enumerate(model.languages):
         for r, t in enumerate(asked):
-            assert bits[r, k] == pytest.approx(plain_bits(texts[lang], model.alphabet, t), rel=1e-5, abs=1e-6)
-    _, costs = model.tables()
-    for c in costs:  # every context is a proper distribution
-        assert np.exp2(-c.astype(float)).reshape(-1, language.SYMBOLS).sum(1) == pytest.approx(1, rel=1e-4)
+            assert bits[r, k] == pytest.approx(plain_bits(texts[lang], t), rel=1e-9, abs=1e-9)
+    every = np.arange(256, dtype=np.uint32)
+    for tree in model.trees():  # every context is a proper distribution
+        for context in (b"the", b"zz ", "ка".encode()[1:4], b"\xff\xff\xff"):
+            whole = np.uint32(int.from_bytes(context, "big") << 8) | every
+            assert np.exp2(-tree.bits(whole)).sum() == pytest.approx(1, rel=1e-9)
+
+
+def test_language_with_every_byte_seen():
+    full = "".join(chr(i) for i in range(128)) * 2
+    data = np.arange(256, dtype=np.uint8)
+    g, n = np.unique(language.grams_of(data, np.array([0, 256])), return_counts=True)
+    tree = language.Tree(g, n)
+    assert np.exp2(-tree.bits(np.arange(256, dtype=np.uint32))).sum() == pytest.approx(1, rel=1e-9)
+    assert plain_bits([full], "ab") > 0
+
+
+def test_language_training_equals_plain_counts(spark):
+    texts = ["The cat", "el gato", "Кот", None, "the CAT sat", "日本語", ""]
+    langs = ["en", "es", "ru", "ru", "en", None, "en"]
+    rows = spark.createDataFrame(list(enumerate(zip(texts, langs))), "doc_id long, x struct<text:string,lang:string>").select("doc_id", "x.*").repartition(3)
+    model = language.fit(rows)
+    assert model.languages == ["en", "es", "ru"]
+    bits = language.code_lengths(model, *common.text_bytes(pa.array(["the cat", "gato кот"])))
+    for k, lang in enumerate(model.languages):
+        mine = [t for t, x in zip(texts, langs, strict=True) if x == lang]
+        assert bits[:, k] == pytest.approx([plain_bits(mine, "the cat"), plain_bits(mine, "gato кот")], rel=1e-9)
+
+
+SCRIPTS = {
+    "ru": ("кошка дом река ночь утро книга слово человек время дорога город вода", "{} и {} на {} был {} что {} не {}"),
+    "uk": ("кішка дім річка ніч ранок книга слово людина час дорога місто вода", "{} і {} на {} був {} що {} не {}"),
+    "ja": ("猫 家 川 夜 朝 本 言葉 人 時間 道 町 水", "{}は{}の{}です。{}を{}に{}ます。"),
+    "zh": ("猫 房子 河 夜晚 早晨 书 话 人 时间 路 城市 水", "{}的{}是{}，{}在{}和{}了。"),
+    "el": ("γάτα σπίτι ποτάμι νύχτα πρωί βιβλίο λέξη άνθρωπος χρόνος δρόμος πόλη νερό", "{} και {} στο {} ήταν {} που {} δεν {}"),
+}
+
+
+def test_language_tells_scripts_and_their_languages_apart(spark):
+    import random
+
+    rng = random.Random(19)
+    rows = [(f"plain english words number {i} and some more of the same {rng.random()}", "en") for i in range(200)]
+    for lang, (words, frame_) in SCRIPTS.items():
+        rows += [(" ".join(frame_.format(*rng.choices(words.split(), k=6)) for _ in range(4)), lang) for _ in range(40)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.fit(docs.where("doc_id % 2 = 0"))
+    got = language.predict(docs, model).collect()
+    wrong = [r for r in got if r.lang_pred != rows[r.doc_id][1]]
+    assert len([r for r in got if r.doc_id % 2]) == 200 and wrong == []
+
+
+def test_language_learns_every_language(spark):
+    """No cap on languages: 300 of them, each with words of its own."""
+    docs = spark.range(900).selectExpr("id as doc_id", "concat('l', id % 300) as lang", "concat(repeat(concat('w', conv(id % 300, 10, 36), 'q '), 6), id) as text")
+    model = language.fit(docs)
+    assert len(model.languages) == 300
+    assert all(r.lang_pred == f"l{r.doc_id % 300}" for r in language.predict(docs, model).where("doc_id < 60").collect())
 
 
 def test_language_odd_texts(spark):
