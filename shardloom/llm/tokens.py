@@ -17,14 +17,16 @@ A key is the identifier as 8 big-endian bytes with the sign bit flipped, so byte
 numeric order; a null identifier is the empty key and sorts first.  A value is one width byte
 (2 or 4) and the ids in that width.
 
-Defined results: a null or empty text gives just the end id; repeated identifiers are kept,
-ordered by text; an empty table gives no shard and no rows; other columns are ignored.
+Defined results: a null or empty text gives just the end id; repeated identifiers are kept, ordered by a
+hash of their text (so that the rows of one identifier can lie in several shards); an empty table gives no shard and
+no rows; other columns are ignored.
 Files are written under an attempt name and renamed, so a retried task replaces its own file.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import struct
 import uuid
@@ -47,10 +49,13 @@ MAGIC = b"SLSST001"
 FOOTER = struct.Struct("<QQQQQQQQQ8s")  # index at/bytes, bloom at/bytes/k, blocks, rows, tokens, format, magic
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY, BLOOM_PROBES = 10, 7
-#: Text bytes aimed at in one shard.
-SHARD_BYTES = 16 << 20
-#: Distinct pieces that a worker remembers.
-MOST_PIECES = 6_000_000
+#: Bytes of the table (as stored) aimed at in one shard; a smaller table is cut into as many shards as there are task
+#: slots, but into none of less than LEAST_SHARD.
+SHARD_BYTES, LEAST_SHARD = 256 << 20, 2 << 20
+#: Distinct pieces that a worker remembers in a task (some 40 bytes each), and of those the ones kept apart as new.
+MOST_PIECES, MOST_NEW = 1_500_000, 60_000
+#: Manifest rows whose starts are summed together.
+BAND = 1000
 
 MANIFEST = "shard long, path string, n_docs long, n_tokens long, bytes long"
 ROWS = "doc_id long, shard long, at long, n_tokens long, ids_crc32 long"
@@ -107,25 +112,77 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def can_cut(vocabulary: str) -> bool:
+    """Whether ``piece_starts`` suits a vocabulary file: nothing rewrites the text, byte-level splitting by its regex with
+    no space put before, BPE of whole pieces, and no added token that takes white space along or lies across a cut."""
+    with open(vocabulary, encoding="utf-8") as f:
+        made = json.load(f)
+    split, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    plain = made.get("normalizer") is None and made.get("truncation") is None and made.get("padding") is None
+    plain &= split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    plain &= model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    for token in made.get("added_tokens") or ():
+        text = np.frombuffer(token["content"].encode(), np.uint8)
+        around = np.concatenate([[120], text, [120]]).astype(np.uint8)
+        plain &= not any(token.get(k) for k in ("lstrip", "rstrip", "single_word")) and len(piece_starts(around, np.array([0, len(around)]))) == 1
+        # white space and stops at its ends could be cut off by what stands beside it
+        plain &= len(text) > 0 and not _like_space(text)[[0, -1]].any() and not _STOP[text[[0, -1]]].any()
+    return bool(plain)
+
+
+class Pieces:
+    """Pieces by hash: a second hash that is compared, and where their ids lie.  Sorted arrays; new ones are merged in by and by."""
+
+    def __init__(self):
+        self.main = self.new = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def __len__(self) -> int:
+        return len(self.main[0]) + len(self.new[0])
+
+    @staticmethod
+    def _merged(one: tuple, two: tuple) -> tuple:
+        at = np.searchsorted(one[0], two[0])
+        return tuple(np.insert(a, at, b) for a, b in zip(one, two, strict=True))
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.new = self._merged(self.new, columns)
+        if len(self.new[0]) > MOST_NEW:
+            self.main, self.new = self._merged(self.main, self.new), tuple(c[:0] for c in self.new)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Known or not, second hash, start and length of each."""
+        known = np.zeros(len(hashes), bool)
+        out = [np.zeros(len(hashes), c.dtype) for c in self.main[1:]]
+        for part in (self.main, self.new):
+            if len(part[0]):
+                at = np.minimum(np.searchsorted(part[0], hashes), len(part[0]) - 1)
+                here = part[0][at] == hashes
+                known |= here
+                for column, values in zip(out, part[1:], strict=True):
+                    column[here] = values[at[here]]
+        return known, *out
+
+
 class Encoder:
     """Ids of whole texts by the ``tokenizers`` library, which encodes each distinct piece once.
 
     Texts are cut where no token can lie across (``piece_starts``); a piece is known by a 64-bit hash and a second
-    one that is compared.  Known pieces are kept in sorted arrays (some 30 bytes each), forgotten all at once when they
-    are more than MOST_PIECES."""
+    one that is compared, and texts in which two pieces share the first are encoded whole.  Known pieces are
+    forgotten all at once when they are more than MOST_PIECES.  Where the vocabulary's rules do not suit the cuts
+    (``can_cut``), every text is encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = can_cut(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        self.hash, self.check, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.tokens, self.used = np.zeros(1 << 16, self.kind), 0
+    def forget(self) -> None:
+        self.pieces, self.tokens, self.used = Pieces(), np.zeros(1 << 16, self.kind), 0
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = common.span_hashes(data, starts, ends)
@@ -143,34 +200,35 @@ class Encoder:
         self.tokens[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), self.kind, total)
         starts = self.used + np.cumsum(lengths) - lengths
         self.used += total
-        at = np.searchsorted(self.hash, hashes)
-        self.hash, self.check = np.insert(self.hash, at, hashes), np.insert(self.check, at, checks)
-        self.start, self.length = np.insert(self.start, at, starts), np.insert(self.length, at, lengths)
+        self.pieces.add(hashes, checks, starts, lengths)
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray, end: bytes) -> list[bytes]:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return [np.array(e.ids, self.kind).tobytes() + end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def bytes_of(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> list[bytes]:
         """Per text its ids as packed integers of ``width`` bytes, the end id last."""
-        if len(self.hash) > MOST_PIECES:
-            self._forget()
         end = np.array([end_id], self.kind).tobytes()
+        if not self.cuts:
+            return self._whole(data, offsets, end)
+        if len(self.pieces) > MOST_PIECES:
+            self.forget()
         starts = piece_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         hashes, checks = self._hashes(data, starts, ends)
         distinct, where, of = np.unique(hashes, return_index=True, return_inverse=True)
-        if (checks[where][of] != checks).any():
-            raise ArithmeticError("two pieces share a 64-bit hash")
-        at = np.searchsorted(self.hash, distinct)
-        inside = np.minimum(at, max(0, len(self.hash) - 1))
-        known = self.hash[inside] == distinct if len(self.hash) else np.zeros(len(distinct), bool)
-        if known.any() and (self.check[inside[known]] != checks[where[known]]).any():
-            raise ArithmeticError("two pieces share a 64-bit hash")
+        known, check, _, _ = self.pieces.find(distinct)
+        if (checks[where][of] != checks).any() or (check[known] != checks[where[known]]).any():
+            return self._whole(data, offsets, end)
         new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
             self._learn(distinct[new], checks[where[new]], [raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.hash, distinct)
-        lengths = self.length[at][of] if len(of) else np.zeros(0, np.int64)
+        _, _, start, length = self.pieces.find(distinct)
+        lengths = length[of]
         out = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        ids = self.tokens[np.repeat(self.start[at][of] - out[:-1], lengths) + np.arange(out[-1])] if len(of) else self.tokens[:0]
+        ids = self.tokens[np.repeat(start[of] - out[:-1], lengths) + np.arange(out[-1])] if len(of) else self.tokens[:0]
         bounds = out[np.searchsorted(starts, offsets)].tolist()
         return [ids[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
@@ -187,7 +245,7 @@ def _check_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
-    """One per worker process, kept over its tasks with what it remembers."""
+    """One per worker process, kept over its tasks; what it remembers is forgotten when a task ends."""
     return Encoder(path)
 
 
@@ -347,33 +405,50 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         shard = context.partitionId() if context else 0
         out = sink = None
         encode = encoder(vocabulary)
-        for rows, data, offsets in common.pieces(batches):
-            if sink is None:
-                system, root = pafs.FileSystem.from_uri(folder)
-                name = f"{root}/shard-{shard:06d}.sst"
-                attempt = f"{root}/_attempt-{shard:06d}-{uuid.uuid4().hex}"
-                out = system.open_output_stream(attempt)
-                sink = ShardWriter(out, encode.width)
-            for doc_id, ids in zip(rows.column(0).to_pylist(), encode.bytes_of(data, offsets, end_id), strict=True):
-                sink.add(key_of(doc_id), ids)
+        try:
+            for rows, data, offsets in common.pieces(batches):
+                if sink is None:
+                    system, root = pafs.FileSystem.from_uri(folder)
+                    name = f"{root}/shard-{shard:06d}.sst"
+                    attempt = f"{root}/_attempt-{shard:06d}-{uuid.uuid4().hex}"
+                    out = system.open_output_stream(attempt)
+                    sink = ShardWriter(out, encode.width)
+                for doc_id, ids in zip(rows.column(0).to_pylist(), encode.bytes_of(data, offsets, end_id), strict=True):
+                    sink.add(key_of(doc_id), ids)
+        finally:
+            encode.forget()
         if sink is not None:
             sink.close()
             out.close()
             system.move(attempt, name)
             yield pa.record_batch([pa.array([v]) for v in (shard, f"{folder}/shard-{shard:06d}.sst", sink.rows, sink.tokens, sink.size)], names=["shard", "path", "n_docs", "n_tokens", "bytes"])
 
-    return write
+    return common.giving_back(write, _check_powers)
+
+
+def stored_bytes(rows: DataFrame) -> int:
+    """Bytes of the tables that a plan reads, as its leaves tell without a job; where a leaf does not know, those of the texts."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    if max(sizes, default=0) < 1 << 60:
+        return sum(sizes)
+    return rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def shard_count(size: int, slots: int) -> int:
+    return max(1, min(-(-size // LEAST_SHARD), max(slots, -(-size // SHARD_BYTES))))
 
 
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and write shards in ascending identifier order.
 
     Returns the manifest (written): shard, path, n_docs, n_tokens, bytes, start, where start is
-    the number of ids in all earlier shards.  One pass, one range shuffle of the texts; shards
-    number the text bytes over SHARD_BYTES, so the manifest has one row per 16 MB."""
+    the number of ids in all earlier shards.  One range shuffle of the texts (its bounds come from a sample of the
+    identifiers); the number of shards comes from the size of the tables read, at 256 MB a shard, so 100 TB are some
+    400,000 files.  Starts are summed in bands of BAND shards, then over the bands."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = shard_count(stored_bytes(rows), spark.sparkContext.defaultParallelism)
     folder = folder or common.new_path(spark, "token-shards")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -381,11 +456,12 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
     folder = system.makeQualified(path).toString()
     if folder.startswith("file:/") and not folder.startswith("file://"):
         folder = "file://" + folder[5:]
-    n = max(1, -(-int(total) // SHARD_BYTES))
-    parts = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    parts = rows.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(n, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text").drop("text_hash")
     manifest = common.written(parts.mapInArrow(_writer(folder, vocabulary, end_id), MANIFEST), "token-manifest")
-    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
+    manifest = manifest.withColumn("band", F.floor(F.col("shard") / BAND))
+    earlier = lambda window: F.coalesce(F.sum("n_tokens").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bands = manifest.groupBy("band").agg(F.sum("n_tokens").alias("n_tokens")).select("band", earlier(Window.orderBy("band")).alias("before"))
+    return manifest.withColumn("start", earlier(Window.partitionBy("band").orderBy("shard"))).join(bands, "band").select(*(f.split()[0] for f in MANIFEST.split(", ")), (F.col("start") + F.col("before")).alias("start"))
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,4 +481,4 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Every document of the shard files: doc_id, shard, at (ids before it), n_tokens, ids_crc32."""
     spread = manifest.select("shard", "path", "start").repartition("shard")
-    return spread.mapInArrow(_reader, ROWS)
+    return spread.mapInArrow(common.giving_back(_reader), ROWS)

@@ -39,17 +39,53 @@ def test_encoder_equals_the_library(tokenizer):
 
 
 def test_encoder_forgets(monkeypatch, tokenizer):
-    monkeypatch.setattr(tokens, "MOST_PIECES", 10)
-    encoder = tokens.Encoder(VOCABULARY)
-    for k in range(5):
+    monkeypatch.setattr(tokens, "MOST_PIECES", 50)
+    monkeypatch.setattr(tokens, "MOST_NEW", 8)
+    encoder, most = tokens.Encoder(VOCABULARY), 0
+    for k in [0, 1, 1, 2, 0, 3, 4]:
         text = " ".join(f"w{k}{i}" for i in range(20))
         assert np.frombuffer(encoder.batch([text], 2)[0], encoder.kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        most = max(most, len(encoder.pieces))
+    assert most <= 50 + 20 and len(encoder.pieces.main[0])
+
+
+def test_pieces_that_share_a_hash_are_no_error(monkeypatch, tokenizer):
+    real = tokens.Encoder._hashes
+    monkeypatch.setattr(tokens.Encoder, "_hashes", lambda self, *a: (real(self, *a)[0] % np.uint64(7), real(self, *a)[1]))
+    encoder = tokens.Encoder(VOCABULARY)
+    for text in ("one", "some words of a text that clash", "one two"):
+        assert np.frombuffer(encoder.batch([text], 2)[0], encoder.kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_vocabularies_that_rewrite_texts_take_them_whole(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    assert tokens.can_cut(VOCABULARY)
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert not tokens.can_cut(other)
+    library, encoder = Tokenizer.from_file(other), tokens.Encoder(other)
+    for text in ("Some  TEXT, with\nlines. And é", "", "a . b"):
+        assert np.frombuffer(encoder.batch([text], 2)[0], encoder.kind).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    made = json.load(open(VOCABULARY))
+    for content in ("a b", " a", "x.\ny", "end.", ""):
+        changed = {**made, "added_tokens": [{"id": 1, "content": content, "lstrip": False, "rstrip": False, "single_word": False}]}
+        (tmp_path / "v.json").write_text(json.dumps(changed))
+        assert not tokens.can_cut(str(tmp_path / "v.json")), content
+
+
+def test_number_of_shards():
+    mb, gb = 1 << 20, 1 << 30
+    assert [tokens.shard_count(n, 6) for n in (0, mb, 5 * mb, 500 * mb, 100 * gb)] == [1, 1, 3, 6, 400]
 
 
-@pytest.mark.parametrize("shard_bytes", [300, 16 << 20])
-def test_shards_round_trip(spark, monkeypatch, tokenizer, shard_bytes):
-    monkeypatch.setattr(tokens, "SHARD_BYTES", shard_bytes)
+@pytest.mark.parametrize("least", [300, 16 << 20])
+def test_shards_round_trip(spark, monkeypatch, tokenizer, least):
+    monkeypatch.setattr(tokens, "SHARD_BYTES", least)
+    monkeypatch.setattr(tokens, "LEAST_SHARD", least)
     monkeypatch.setattr(tokens, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(tokens, "BAND", 3)
     rng = random.Random(14)
     ids = rng.sample(range(-(10**12), 10**12), 60) + [0, -1, 2**63 - 1, -(2**63), 7, 7]
     texts = [" ".join(rng.choice(["one", "two", "the", "\n", "é"]) for _ in range(rng.randrange(40))) for _ in ids]
@@ -57,15 +93,15 @@ def test_shards_round_trip(spark, monkeypatch, tokenizer, shard_bytes):
     rows = [*zip(ids, texts, strict=True), (None, "no name")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash")).repartition(3)
     manifest = tokens.write_shards(docs, VOCABULARY, 2).collect()
-    got = {(r.doc_id, r["at"]): r for r in tokens.read_shards(spark.createDataFrame(manifest, tokens.MANIFEST + ", start long")).collect()}
-    start = 0
+    assert (len(manifest) > 5) == (least == 300)
+    got = sorted(tokens.read_shards(spark.createDataFrame(manifest, tokens.MANIFEST + ", start long")).collect(), key=lambda r: r["at"])
     encode = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        want = encode(t)
-        r = got[i, start]
-        assert (r.n_tokens, r.ids_crc32) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
-        start += len(want)
-    assert len(got) == len(rows) and sum(m.n_tokens for m in manifest) == start
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    show = lambda rows: sorted(map(str, rows))
+    assert show((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == show((i, len(encode(t)), crc(encode(t))) for i, t in rows)
+    assert [r["at"] for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    assert sum(m.n_tokens for m in manifest) == sum(r.n_tokens for r in got)
     # look-ups
     shards = [tokens.Shard(m.path) for m in sorted(manifest, key=lambda m: m.shard)]
     find = lambda i: [x.tolist() for s in shards for x in s.get(i)]
