@@ -4,10 +4,14 @@ Patterns are the windows of the benchmark items (``width`` consecutive words; an
 words, but not none, is one window).  For each pattern length there is a block shift table: a
 block is the last two words of the text window under the search head, and its shift says how far
 the head may skip because no pattern holds that block nearer its end.  A zero shift selects the
-bucket of patterns with that suffix block, and the words themselves are compared.
-
-The benchmark is read in blocks of at most BLOCK_WORDS words; each block is broadcast (its size is
-that bound) and searched by its own pass over the documents, which adds to the hits found so far.
+bucket of patterns with that suffix block (ordered inside by a hash of the window), and the words
+themselves are compared.
+
+The benchmark is cut into blocks of at most BLOCK_WORDS words, counted as the search counts them; an item
+longer than what is left of a block goes on in the next, by ``width`` - 1 words earlier, so that every window
+stands whole in one.  Blocks are broadcast as plain text (their size is that bound) and turned into tables, some 30
+bytes a word, by the workers.  One Python stage searches all blocks: it holds HOLD_BYTES of texts and runs them
+against block after block, so its memory is one block's tables and those texts, however large the benchmark is.
 No shuffle at any size.
 
 Defined results: null or empty texts have no words and no hits; repeated rows each get their own
@@ -17,8 +21,7 @@ listed; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,109 +31,159 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words of benchmark text in one broadcast block.
-BLOCK_WORDS = 200_000
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # bytes of the word pattern after lower-casing A-Z
-_TO_LOWER = bytes(common._LOWER)
-
-HITS, ITEMS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
-STATE_DDL = "doc_id long, text string, n_words long, hits array<struct<start:long,end:long>>, items array<string>"
+BLOCK_WORDS = 500_000
+#: Text bytes that are searched for one block before the next is taken, where there are several.
+HOLD_BYTES = 16 << 20
 
+#: A stretch of an item: its identifier and the words (lower-case, one space between).
+Stretch = tuple[str | None, bytes]
 
-class Patterns:
-    """Shift table and suffix buckets for the windows of one length."""
-
-    def __init__(self, length: int):
-        self.length = length
-        self.block = min(2, length)
-        self.furthest = length - self.block + 1
-        self.shift: dict[int, int] = {}
-        self.buckets: dict[int, list[tuple[tuple[bytes, ...], list[str]]]] = {}
-        self.known: dict[tuple[bytes, ...], list[str]] = {}
-
-    def add(self, words: tuple[bytes, ...], blocks: list[int], item: str | None) -> None:
-        """``blocks[j]`` is the hash of the block that ends at word j + block - 1."""
-        if words not in self.known:
-            self.known[words] = items = []
-            for j, h in enumerate(blocks):
-                away = len(blocks) - 1 - j
-                if away < self.shift.get(h, self.furthest):
-                    self.shift[h] = away
-            self.buckets.setdefault(blocks[-1], []).append((words, items))
-        if item is not None and item not in self.known[words]:
-            self.known[words].append(item)
+HITS, ITEMS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
+RESULT = "doc_id long, n_words long, hits array<struct<start:long,end:long>>, items array<string>"
 
 
 def _block_hashes(words: np.ndarray, block: int) -> np.ndarray:
     return words if block == 1 else common.mix(words[:-1] * common._BASE + words[1:]) if len(words) > 1 else words[:0]
 
 
-def build(items: list[tuple[str | None, str | None]], width: int) -> list[Patterns]:
-    tables: dict[int, Patterns] = {}
-    for item, text in items:
-        data = np.frombuffer((text or "").encode().translate(_TO_LOWER), np.uint8)
-        starts, ends, _ = common.word_spans(data, np.array([0, len(data)]), "alnum")
-        if not len(starts):
-            continue
-        hashes, raw = common.span_hashes(data, starts, ends), data.tobytes()
-        words = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-        length = min(width, len(words))
-        patterns = tables.setdefault(length, Patterns(length))
-        blocks = _block_hashes(hashes, patterns.block).tolist()
-        for at in range(len(words) - length + 1):
-            patterns.add(tuple(words[at : at + length]), blocks[at : at + length - patterns.block + 1], item)
-    return list(tables.values())
-
-
-def scan(patterns: Patterns, blocks: list[int], raw: bytes, starts: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, list[str]]]:
-    """Places (word index) in words lo..hi where a pattern occurs, with its items."""
-    shift, furthest, buckets, length, back = patterns.shift.get, patterns.furthest, patterns.buckets, patterns.length, patterns.block - 1
-    head = lo + length - 1 - back  # index of the block that ends the window
-    last = hi - back
-    while head < last:
-        step = shift(blocks[head], furthest)
+class Patterns:
+    """Shift table and suffix buckets for the windows of one length, as sorted arrays."""
+
+    def __init__(self, length: int, text: Text, first: np.ndarray, item: np.ndarray):
+        """``first``: word index in ``text`` of every window's first word; ``item``: its item."""
+        self.length, self.text = length, text
+        self.block = min(2, length)
+        self.furthest = length - self.block + 1
+        blocks = text.blocks(self.block)
+        # the least distance of each block from the end of a window
+        held = np.concatenate([blocks[first + j] for j in range(self.furthest)])
+        away = np.repeat(np.arange(self.furthest)[::-1], len(first))
+        order = np.lexsort((away, held))
+        held, away = held[order], away[order]
+        new = np.ones(len(held), bool)
+        new[1:] = held[1:] != held[:-1]
+        self.held, self.away = held[new], away[new].astype(np.uint8 if self.furthest < 256 else np.int64)
+        key = self.bucket_keys(text, first)
+        order = np.argsort(key, kind="stable")
+        self.key, self.first, self.item = key[order], first[order], item[order]
+
+    def bucket_keys(self, text: Text, first: np.ndarray) -> np.ndarray:
+        """Of windows of ``text``: their suffix block's hash, refined by that of all their words."""
+        h = text.hashes[first]
+        for k in range(1, self.length):
+            h = common.mix(h * common._BASE + text.hashes[first + k])
+        return common.mix(text.blocks(self.block)[first + self.length - self.block]) ^ h
+
+    def shifts(self, blocks: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.held, blocks), len(self.held) - 1)
+        return np.where(self.held[at] == blocks, self.away[at], self.furthest)
+
+
+class Text:
+    """Lower-cased rows as words: their places, hashes and bytes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        data = common.lowered(data)
+        self.starts, self.ends, self.word_at = common.word_spans(data, offsets, "alnum")
+        self.hashes, self.raw = common.span_hashes(data, self.starts, self.ends), data.tobytes()
+        self._blocks: dict[int, np.ndarray] = {}
+
+    def blocks(self, size: int) -> np.ndarray:
+        if size not in self._blocks:
+            self._blocks[size] = _block_hashes(self.hashes, size)
+        return self._blocks[size]
+
+    def window(self, first: int, length: int) -> list[bytes]:
+        return [self.raw[a:b] for a, b in zip(self.starts[first : first + length].tolist(), self.ends[first : first + length].tolist(), strict=True)]
+
+
+class Block:
+    """The tables of one block of the benchmark."""
+
+    def __init__(self, stretches: list[Stretch], width: int):
+        self.names = [item for item, _ in stretches]
+        texts = [words for _, words in stretches]
+        self.text = Text(np.frombuffer(b"\n".join(texts), np.uint8), np.cumsum([0, *(len(t) + 1 for t in texts[:-1]), len(texts[-1])]) if texts else np.zeros(1, np.int64))
+        counts = np.diff(self.text.word_at)
+        lengths = np.minimum(counts, width)
+        self.tables = []
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            mine = np.flatnonzero(lengths == length)
+            n = counts[mine] - length + 1
+            first = np.repeat(self.text.word_at[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            self.tables.append(Patterns(length, self.text, first, np.repeat(mine, n)))
+
+
+def heads(shift: list[int], lo: int, hi: int) -> Iterator[int]:
+    """Where the search head meets a zero shift between lo and hi, skipping as the others tell."""
+    head = lo
+    while head < hi:
+        step = shift[head]
         if step:
             head += step
-            continue
-        at = head + back - length + 1
-        words = None
-        for candidate, items in buckets.get(blocks[head], ()):
-            if words is None:
-                words = tuple(raw[starts[i] : ends[i]] for i in range(at, at + length))
-            if candidate == words:
-                yield at, items
-        head += 1
-
-
-def _searcher(shared, first: bool):
+        else:
+            yield head
+            head += 1
+
+
+def scan(patterns: Patterns, text: Text) -> Iterator[tuple[int, int, int]]:
+    """(row, word index, item) of every occurrence of a pattern in the rows of ``text``."""
+    blocks, back = text.blocks(patterns.block), patterns.length - patterns.block
+    if not len(blocks):
+        return
+    shift = patterns.shifts(blocks).tolist()
+    bounds = text.word_at.tolist()
+    met, rows = [], []
+    for r, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if hi - lo >= patterns.length:
+            found = list(heads(shift, lo + back, hi - patterns.block + 1))
+            met += found
+            rows += [r] * len(found)
+    first = np.array(met, np.int64) - back
+    key = patterns.bucket_keys(text, first) if len(first) else np.zeros(0, np.uint64)
+    a, b = np.searchsorted(patterns.key, key), np.searchsorted(patterns.key, key, side="right")
+    for k in np.flatnonzero(a < b).tolist():
+        words = text.window(met[k] - back, patterns.length)
+        for p in range(a[k], b[k]):
+            if patterns.text.window(int(patterns.first[p]), patterns.length) == words:
+                yield rows[k], met[k] - back, int(patterns.item[p])
+
+
+def _searcher(shared: list, width: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: list[Patterns] = shared.value
+        held: list[tuple[pa.RecordBatch, Text, list, list]] = []
+        size, order, block = 0, list(range(len(shared))), None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            nonlocal size, order, block
+            for k in order:
+                if block is None or block[0] != k:
+                    block = None  # one at a time
+                    block = (k, Block(shared[k].value, width))
+                for _, text, places, names in held:
+                    for table in block[1].tables:
+                        for r, at, item in scan(table, text):
+                            at -= int(text.word_at[r])
+                            places[r].append((at, at + table.length))
+                            if block[1].names[item] is not None:
+                                names[r].add(block[1].names[item])
+            order = order[::-1]  # the last block is at hand for the next texts
+            for rows, text, places, names in held:
+                yield pa.record_batch(
+                    [rows.column(0), pa.array(np.diff(text.word_at), pa.int64()), pa.array([merged(p) for p in places], HITS), pa.array([sorted(n) for n in names], ITEMS), *rows.columns[2:]],
+                    names=["doc_id", "n_words", "hits", "items", *["carried"] * (rows.num_columns - 2)],
+                )
+            held.clear()
+            size = 0
+
         for rows, data, offsets in common.pieces(batches):
-            data = common.lowered(data)
-            starts, ends, word_at = common.word_spans(data, offsets, "alnum")
-            hashes, raw = common.span_hashes(data, starts, ends), data.tobytes()
-            blocks = {b: _block_hashes(hashes, b).tolist() for b in {t.block for t in tables}}
-            bounds = word_at.tolist()
-            old_hits = None if first else rows.column(3).to_pylist()
-            old_items = None if first else rows.column(4).to_pylist()
-            hits, items = [], []
-            for r in range(rows.num_rows):
-                found, names = [], set()
-                for t in tables:
-                    for at, of in scan(t, blocks[t.block], raw, starts, ends, bounds[r], bounds[r + 1]):
-                        found.append((at - bounds[r], at - bounds[r] + t.length))
-                        names.update(of)
-                if not first:
-                    found += [(h["start"], h["end"]) for h in old_hits[r] or ()]
-                    names.update(old_items[r] or ())
-                hits.append(merged(found))
-                items.append(sorted(names))
-            rest = rows.columns[2:] if first else rows.columns[5:]
-            yield pa.record_batch(
-                [rows.column(0), rows.column(1), pa.array(np.diff(word_at), pa.int64()), pa.array(hits, HITS), pa.array(items, ITEMS), *rest],
-                names=["doc_id", "text", "n_words", "hits", "items", *["carried"] * len(rest)],
-            )
-
-    return search
+            held.append((rows, Text(data, offsets), [[] for _ in range(rows.num_rows)], [set() for _ in range(rows.num_rows)]))
+            size += len(data)
+            if size >= HOLD_BYTES or len(shared) < 2:
+                yield from finish()
+        yield from finish()
+
+    return common.giving_back(search)
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[dict]:
@@ -143,28 +196,34 @@ def merged(intervals: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, str | None]]]:
-    block, words = [], 0
-    for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
-        block.append((item, text))
-        words += 1 + (text or "").count(" ")
-        if words >= BLOCK_WORDS:
-            yield block
-            block, words = [], 0
-    yield block
+def item_blocks(items: Iterable[tuple[str | None, str | None]], width: int) -> Iterator[list[Stretch]]:
+    """The items as blocks of at most BLOCK_WORDS words (or ``width``, if that is more)."""
+    most = max(BLOCK_WORDS, width)
+    block, room = [], most
+    for item, text in items:
+        data = (text or "").encode()
+        found = Text(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        n, at = len(found.starts), 0
+        while n and (at == 0 or at + width - 1 < n):
+            least = min(width, n - at)  # less would hold no window
+            if room < least:
+                yield block
+                block, room = [], most
+            to = min(n, at + room)
+            block.append((item, b" ".join(found.window(at, to - at))))
+            room -= to - at
+            at = to - width + 1 if to < n else n
+    if block:
+        yield block
 
 
 def search(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document row: doc_id, n_words, hits (merged word intervals inside occurrences), items (sorted as strings);
     then the ``carry`` columns as a struct ``carried``."""
-    state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *common.carried(docs, carry))
-    first = True
-    for block in item_blocks(benchmark, item_col, item_text_col):
-        if block or first:
-            shared = docs.sparkSession.sparkContext.broadcast(build(block, width))
-            state = state.mapInArrow(_searcher(shared, first), common.with_carried(STATE_DDL, state))
-            first = False
-    return state.drop("text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *common.carried(docs, carry))
+    items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string")).toLocalIterator()
+    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(items, width)]
+    return rows.mapInArrow(_searcher(shared, width), common.with_carried(RESULT, rows))
 
 
 def report(found: DataFrame) -> DataFrame:

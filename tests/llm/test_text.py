@@ -96,9 +96,10 @@ def leaks(texts, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("block", [3, 200_000])
+@pytest.mark.parametrize("block", [3, 17, 200_000])
 def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)  # small: several passes
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)  # small: several blocks, and items cut into stretches
+    monkeypatch.setattr(decontaminate, "HOLD_BYTES", 700)
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice(["a", "b", "The", "é", "x9"]) for _ in range(n))
     items = [(i, text(rng.choice([1, 3, 9, 10, 11, 25]))) for i in range(8)] + [(8, None), (9, ""), (None, "null id"), (3, "again")]
@@ -114,11 +115,21 @@ def test_decontamination_of_and_by_nothing(spark):
     assert decontaminate.report(decontaminate.search(frame(spark, ODD).limit(0), bench)).collect() == []
 
 
+def test_benchmark_blocks_are_bounded_by_words(monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    words = [f"w{i}" for i in range(333)]
+    items = [("long", "\n".join(words)), ("short", "one two"), (None, "a-b.c"), ("none", " !"), ("two", "\t".join(words[:41]))]
+    blocks = list(decontaminate.item_blocks(items, 10))
+    assert all(sum(len(t.split()) for _, t in b) <= 40 for b in blocks)
+    windows = lambda ts: {(item, tuple(w[i : i + 10])) for item, w in ts for i in range(max(1, len(w) - 9)) if w}
+    assert windows((item, words_of(t, ALNUM)) for item, t in items) == windows((item, t.decode().split()) for b in blocks for item, t in b)
+
+
 def test_shift_table_skips():
-    (table,) = decontaminate.build([("i", "one two three four five six seven eight nine ten")], 10)
+    block = decontaminate.Block([("i", b"one two three four five six seven eight nine ten")], 10)
+    (table,) = block.tables
     data = np.frombuffer(b" ".join([b"zz"] * 900), np.uint8)
-    starts, ends, _ = common.word_spans(data, np.array([0, len(data)]), "alnum")
-    blocks = decontaminate._block_hashes(common.span_hashes(data, starts, ends), 2).tolist()
+    text = decontaminate.Text(data, np.array([0, len(data)]))
 
     class Counted(list):
         reads = 0
@@ -127,8 +138,9 @@ def test_shift_table_skips():
             Counted.reads += 1
             return super().__getitem__(i)
 
-    assert list(decontaminate.scan(table, Counted(blocks), data.tobytes(), starts, ends, 0, 900)) == []
-    assert Counted.reads <= 900 / 9 + 1
+    assert list(decontaminate.heads(Counted(table.shifts(text.blocks(2)).tolist()), 8, 899)) == []
+    assert Counted.reads <= 900 / 9 + 1 and list(decontaminate.scan(table, text)) == []
+    assert list(decontaminate.scan(table, block.text)) == [(0, 0, 0)]
 
 
 # ------------------------------------------------------------------ licenses
