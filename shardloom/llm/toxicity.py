@@ -1,7 +1,7 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of hashed n-grams (4, 6 and 8 bytes of the lower-cased text, one space before and
-after it).  Per bucket the log-count ratio r = log(P(bucket | toxic) / P(bucket | clean)) is counted over
+Features are the presence of hashed n-grams (4, 6 and 8 characters of the lower-cased text, code points of any
+script, one space before and after it).  Per bucket the log-count ratio r = log(P(bucket | toxic) / P(bucket | clean)) is counted over
 **all** labelled training rows; the ``features`` buckets whose ratio stands out most from chance are kept.
 A logistic regression with an L2 penalty is then fitted on r * presence over a bounded sample of labelled
 rows (``per_class`` in expectation for each label), its intercept shifted back to the corpus's class odds.
@@ -34,10 +34,14 @@ BROADCAST_ROWS = 2_000_000
 SCHEMA = "doc_id long, score double"
 
 
-def buckets(data: np.ndarray) -> np.ndarray:
-    """Bucket of every n-gram of one lower-cased, padded text."""
-    x = data.astype(np.uint32)
-    h = x[:-1] | x[1:] << np.uint32(8) if len(x) > 1 else x[:0]
+def characters(text: bytes) -> np.ndarray:
+    """Code points of a text, lower-cased, with a space before and after."""
+    return np.frombuffer(f" {text.decode('utf-8', 'replace').lower()} ".encode("utf-32-le", "replace"), np.uint32)
+
+
+def buckets(x: np.ndarray) -> np.ndarray:
+    """Bucket of every n-gram of the characters of one text."""
+    h = x[:-1] ^ x[1:] * np.uint32(0x85EBCA6B) if len(x) > 1 else x[:0]
     out = []
     for n in range(3, GRAMS[-1] + 1):
         if len(x) < n:
@@ -48,10 +52,11 @@ def buckets(data: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def padded(data: np.ndarray, a: int, b: int) -> np.ndarray:
-    out = np.full(b - a + 2, 32, np.uint8)
-    out[1:-1] = data[a:b]
-    return out
+def rows_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The characters of each row."""
+    raw = data.tobytes()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield characters(raw[a:b])
 
 
 class Distinct:
@@ -70,9 +75,8 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (label, text) -> per bucket the clean and toxic documents that have it; bucket -1 counts all documents."""
     counts, distinct, n = np.zeros((2, BUCKETS), np.int64), Distinct(), [0, 0]
     for rows, data, offsets in common.pieces(batches):
-        data = common.lowered(data)
-        for r, label in enumerate(rows.column(0).to_pylist()):
-            counts[label, distinct(buckets(padded(data, offsets[r], offsets[r + 1])))] += 1
+        for label, x in zip(rows.column(0).to_pylist(), rows_of(data, offsets), strict=True):
+            counts[label, distinct(buckets(x))] += 1
             n[label] += 1
     used = np.flatnonzero(counts.any(0))
     yield pa.record_batch(
@@ -82,18 +86,16 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sparse(shared):
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, distinct = shared.value, Distinct()
         for rows, data, offsets in common.pieces(batches):
-            data = common.lowered(data)
             found = []
-            for r in range(rows.num_rows):
-                f = distinct(buckets(padded(data, offsets[r], offsets[r + 1])))
-                f = keep[f]
+            for x in rows_of(data, offsets):
+                f = keep[distinct(buckets(x))]
                 found.append(f[f >= 0].astype(np.int32))
             yield pa.record_batch([rows.column(0), pa.array(found, pa.list_(pa.int32()))], names=["label", "found"])
 
-    return rows_of
+    return common.giving_back(sparse)
 
 
 def logistic(found: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: float, steps: int = 80) -> tuple[np.ndarray, float]:
@@ -151,7 +153,7 @@ def fit(
     """Learn from rows (identifier, text, label).  Ratios count every row; the regression sees a sample of
     ``per_class`` rows of each label in expectation, picked by a hash of the identifier."""
     rows = labelled.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id")).where("label in (0, 1)")
-    counted = rows.select("label", "text").mapInArrow(_presence, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    counted = rows.select("label", "text").mapInArrow(common.giving_back(_presence), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     bucket, clean, toxic = (counted.column(i).to_numpy() for i in range(3))
     n0, n1 = (int(x[bucket == -1].sum()) for x in (clean, toxic))
     weights = np.zeros(BUCKETS, np.float32)
@@ -194,13 +196,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen, distinct = shared.value, Distinct()
         for rows, data, offsets in common.pieces(batches):
-            data = common.lowered(data)
             z = np.full(rows.num_rows, frozen.intercept)
-            for r in range(rows.num_rows):
-                found = buckets(padded(data, offsets[r], offsets[r + 1]))
+            for r, x in enumerate(rows_of(data, offsets)):
+                found = buckets(x)
                 w = frozen.weights[found]
                 some = w != 0
                 z[r] += frozen.weights[distinct(found[some])].sum(dtype=np.float64)
             yield pa.record_batch([rows.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(common.giving_back(run), SCHEMA)

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shardloom.llm import common, language, toxicity
 from shardloom.llm import entry as queries
@@ -165,22 +166,39 @@ def test_toxicity_distinct_buckets():
     for _ in range(20):
         x = rng.integers(0, 50, 200).astype(np.uint32)
         assert sorted(distinct(x)) == sorted(set(x.tolist()))
-    for text in (b"", b"a", b"abcdefghijkl"):
-        p = toxicity.padded(np.frombuffer(text, np.uint8), 0, len(text))
-        assert len(toxicity.buckets(p)) == sum(max(0, len(p) - n + 1) for n in toxicity.GRAMS)
+    for text in ("", "a", "abcdefghijkl", "Злой ИДИОТ", "大馬鹿者め😀"):
+        x = toxicity.characters(text.encode())
+        assert x.tolist() == [ord(c) for c in f" {text.lower()} "]
+        assert len(toxicity.buckets(x)) == sum(max(0, len(x) - n + 1) for n in toxicity.GRAMS)
+
+
+def plain_presence(texts):
+    return [set(toxicity.buckets(toxicity.characters((t or "").encode())).tolist()) for t in texts]
 
 
 def test_toxicity_scores_and_ratios_agree_with_plain_counts(spark):
-    texts = ["you moron idiot " * 3, "a fine day", "idiot again", "what a fine thing", None, ""] * 10
-    labels = [1, 0, 1, 0, 0, 0] * 10
-    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text string, toxic int")
+    texts = ["you moron idiot " * 3, "a fine day", "idiot again", "what a fine thing", None, "", "Ты ИДИОТ", "хороший день"] * 10
+    labels = [1, 0, 1, 0, 0, 0, 1, 0] * 10
+    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text string, toxic int").repartition(3)
+    sets = plain_presence(texts)
+    # counts over all labelled rows
+    counted = {r.bucket: (r.clean, r.toxic) for r in rows.select(F.col("toxic").alias("label"), "text").mapInArrow(toxicity._presence, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()}
+    every = set().union(*sets)
+    count = {x: tuple(sum(x in s for s, y in zip(sets, labels, strict=True) if y == label) for label in (0, 1)) for x in every}
+    assert counted == {**count, -1: (50, 30)}
+    # the ratios scale the weights: the model's weight of a bucket has the sign of its ratio where it is not zero
     model = toxicity.fit(rows)
+    ratio = {x: np.log((t + 1) / 32) - np.log((c + 1) / 52) for x, (c, t) in count.items()}
+    assert set(np.flatnonzero(model.weights).tolist()) <= every
+    assert all(model.weights[x] * ratio[x] >= 0 for x in every if abs(ratio[x]) > 1)
+    # and the weights are those of a logistic regression on the scaled presence of the buckets of the largest ratios
+    best = sorted(every, key=lambda x: (-abs(ratio[x]) / np.sqrt(1 / (count[x][1] + 1) + 1 / (count[x][0] + 1)), x))[:3000]
+    place = {x: i for i, x in enumerate(best)}
+    w, b = toxicity.logistic([np.array(sorted(place[x] for x in s if x in place), int) for s in sets], np.array(labels, float), np.array([ratio[x] for x in best]), 3e-4)
     got = {r.doc_id: r.score for r in toxicity.score(rows.drop("toxic"), model).collect()}
-    assert all((got[i] > 0.5) == (y == 1) for i, y in enumerate(labels))
-    # linear: score = logit of the weights of the distinct buckets
-    b = toxicity.padded(np.frombuffer(b"idiot again", np.uint8), 0, 11)
-    z = model.intercept + sum(model.weights[x] for x in set(toxicity.buckets(b).tolist()))
-    assert got[2] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4)
+    for i, s in enumerate(sets):
+        z = b + sum(w[place[x]] * ratio[x] for x in s if x in place)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), rel=2e-2, abs=2e-3) and (got[i] > 0.5) == (labels[i] == 1)
 
 
 def test_toxicity_odd_cases(spark):
