@@ -137,6 +137,30 @@ def carried(df: DataFrame, carry: tuple[str, ...]) -> list:
     return [F.struct(*[df[c] for c in carry]).alias("carried")] if carry else []
 
 
+def texts(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, int | tuple[int, str]]:
+    """Rows (doc_id, text, carried) and where ``pieces`` finds the text: a text that is carried along is not sent twice,
+    the rows are then (doc_id, carried)."""
+    doc_id = F.col(id_col).cast("long").alias("doc_id")
+    if text_col in carry and dict(df.dtypes)[text_col] == "string":
+        return df.select(doc_id, *carried(df, carry)), (1, text_col)
+    return df.select(doc_id, F.col(text_col).cast("string").alias("text"), *carried(df, carry)), 1
+
+
+#: Bytes of the Arrow batches that travel to Python workers: what bounds the buffers on both sides, whatever the texts' lengths.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, run: Callable, schema, *caches) -> DataFrame:
+    """``df.mapInArrow`` with ``giving_back`` and batches of BATCH_BYTES.
+
+    A plan reads that bound when it runs, so it is a setting of the session; one that differs from Spark's own (64 MB) is kept."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "64MB").lower() in ("64mb", "64m", "67108864b", "67108864"):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(giving_back(run, *caches), schema)
+
+
 def with_carried(ddl: str, rows: DataFrame):
     """``ddl`` as a schema, with the struct ``carried`` of ``rows`` last if it has one."""
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -170,10 +194,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text_col: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, their bytes, their offsets), each of about PIECE_BYTES of text and whole rows."""
+def pieces(batches: Iterator[pa.RecordBatch], text_col: int | tuple[int, str] = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, their bytes, their offsets), each of about PIECE_BYTES of text and whole rows.  ``text_col``: a column, or a struct column and its field."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column(text_col))
+        data, offsets = text_bytes(batch.column(text_col) if isinstance(text_col, int) else batch.column(text_col[0]).field(text_col[1]))
         at, n = 0, batch.num_rows
         while at < n:
             to = int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, side="right")) - 1

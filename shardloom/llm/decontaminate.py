@@ -149,7 +149,7 @@ def scan(patterns: Patterns, text: Text) -> Iterator[tuple[int, int, int]]:
                 yield rows[k], met[k] - back, int(patterns.item[p])
 
 
-def _searcher(shared: list, width: int):
+def _searcher(shared: list, width: int, text_at):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[pa.RecordBatch, Text, list, list]] = []
         size, order, block = 0, list(range(len(shared))), None
@@ -169,21 +169,22 @@ def _searcher(shared: list, width: int):
                                 names[r].add(block[1].names[item])
             order = order[::-1]  # the last block is at hand for the next texts
             for rows, text, places, names in held:
+                rest = [c for c in rows.schema.names if c == "carried"]
                 yield pa.record_batch(
-                    [rows.column(0), pa.array(np.diff(text.word_at), pa.int64()), pa.array([merged(p) for p in places], HITS), pa.array([sorted(n) for n in names], ITEMS), *rows.columns[2:]],
-                    names=["doc_id", "n_words", "hits", "items", *["carried"] * (rows.num_columns - 2)],
+                    [rows.column(0), pa.array(np.diff(text.word_at), pa.int64()), pa.array([merged(p) for p in places], HITS), pa.array([sorted(n) for n in names], ITEMS), *(rows.column(c) for c in rest)],
+                    names=["doc_id", "n_words", "hits", "items", *rest],
                 )
             held.clear()
             size = 0
 
-        for rows, data, offsets in common.pieces(batches):
+        for rows, data, offsets in common.pieces(batches, text_at):
             held.append((rows, Text(data, offsets), [[] for _ in range(rows.num_rows)], [set() for _ in range(rows.num_rows)]))
             size += len(data)
             if size >= HOLD_BYTES or len(shared) < 2:
                 yield from finish()
         yield from finish()
 
-    return common.giving_back(search)
+    return search
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[dict]:
@@ -220,10 +221,10 @@ def item_blocks(items: Iterable[tuple[str | None, str | None]], width: int) -> I
 def search(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document row: doc_id, n_words, hits (merged word intervals inside occurrences), items (sorted as strings);
     then the ``carry`` columns as a struct ``carried``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *common.carried(docs, carry))
+    rows, text_at = common.texts(docs, id_col, text_col, carry)
     items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string")).toLocalIterator()
     shared = [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(items, width)]
-    return rows.mapInArrow(_searcher(shared, width), common.with_carried(RESULT, rows))
+    return common.in_arrow(rows, _searcher(shared, width, text_at), common.with_carried(RESULT, rows))
 
 
 def report(found: DataFrame) -> DataFrame:

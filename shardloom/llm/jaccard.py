@@ -185,7 +185,7 @@ def _sized(width: int, classes: Classes):
             spares = pa.ListArray.from_arrays(pa.array(np.searchsorted(of_row, np.arange(rows.num_rows + 1)), pa.int32()), pa.array(np.maximum(spare, 0) * CLASSES + cls))
             yield pa.record_batch([rows.column(0), pa.array(np.diff(first)), _signed(set_ids(found, first)), rows.column(2), spares], names=["doc_id", "n_shingles", "node", "text_hash", "spares"])
 
-    return common.giving_back(run)
+    return run
 
 
 def salted(keys: np.ndarray, salts: np.ndarray) -> np.ndarray:
@@ -217,14 +217,14 @@ def _keyed(width: int, classes: Classes, shared=None):
                 keys[hot] = salted(keys[hot], common.mix(nodes[hot].view(np.uint64)) % np.uint64(SALTS))
             yield pa.record_batch([_signed(keys), pa.array(nodes)], names=["key", "node"])
 
-    return common.giving_back(run)
+    return run
 
 
 def frequent_keys(rows: DataFrame, width: int, classes: Classes) -> np.ndarray:
     """Keys that FREQUENT or more of one in AHEAD texts have: what is dealt out, which changes no result.  There are at
     most (keys of those texts) / FREQUENT of them."""
     some = rows.where(F.pmod(F.xxhash64(F.lit("ahead"), F.col("text")), F.lit(AHEAD)) == 0)
-    found = some.select("text").mapInArrow(_keyed(width, classes), "key long, node long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    found = common.in_arrow(some.select("text"), _keyed(width, classes), "key long, node long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
     with common.shuffles_dropped(rows.sparkSession):
         return np.sort(found.select("key").toArrow()["key"].to_numpy().view(np.uint64))
 
@@ -302,7 +302,7 @@ def _runs(shared=None):
         if len(held_k):
             yield from closed(held_k, held_n, True)
 
-    return common.giving_back(run)
+    return run
 
 
 def runs_of(rows: DataFrame, width: int, classes: Classes, scratch: common.Scratch) -> DataFrame:
@@ -315,8 +315,8 @@ def runs_of(rows: DataFrame, width: int, classes: Classes, scratch: common.Scrat
         every = salted(np.repeat(frequent, SALTS), np.tile(np.arange(SALTS, dtype=np.uint64), len(frequent))).view(np.int64)
         order = np.argsort(every)
         keys, cuts = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast((every[order], np.repeat(frequent, SALTS).view(np.int64)[order]))
-    met = rows.select("text").mapInArrow(_keyed(width, classes, keys), "key long, node long").repartition(parts, "key").sortWithinPartitions("key", "node")
-    runs = scratch.keep(met.mapInArrow(_runs(cuts), "leader long, node long, key long"), "runs")
+    met = common.in_arrow(rows.select("text"), _keyed(width, classes, keys), "key long, node long").repartition(parts, "key").sortWithinPartitions("key", "node")
+    runs = scratch.keep(common.in_arrow(met, _runs(cuts), "leader long, node long, key long"), "runs")
     if keys is None:
         return runs
     keys.unpersist()
@@ -360,7 +360,7 @@ def _sets(width: int, members: int):
             nodes = set_ids(found, first).view(np.int64)
             yield pa.record_batch([pa.array(nodes), column], names=["node", "found"]).filter(pa.array(nodes == rows.column(2).to_numpy()))
 
-    return common.giving_back(run)
+    return run
 
 
 def _list_rows(column: pa.Array) -> list[np.ndarray]:
@@ -375,7 +375,7 @@ def _found(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, mem
     ids = scratch.keep(wanted.select("node").distinct().join(nodes, "node"), "wanted")
     n = ids.count()
     met = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, ["doc_id", "text_hash"]).select("doc_id", "text", "node")
-    out = scratch.keep(met.mapInArrow(_sets(width, members), f"node long, found array<{'short' if members else 'long'}>"), "found")
+    out = scratch.keep(common.in_arrow(met, _sets(width, members), f"node long, found array<{'short' if members else 'long'}>"), "found")
     scratch.drop(ids)
     if out.count() > n:  # repeated rows
         once = scratch.keep(out.dropDuplicates(["node"]), "found")
@@ -435,14 +435,14 @@ def _of_leaders(percent: int, exact: bool):
             if left:
                 yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-    return common.giving_back(run)
+    return run
 
 
 def screened(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: common.Scratch) -> DataFrame:
     """The pairs that the R-trees of their cells leave, by coarse vectors."""
     both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     vectors = _found(docs, nodes, both, width, COARSE, scratch)
-    out = scratch.keep(_cells(pairs, vectors).mapInArrow(_of_leaders(percent, False), "a long, b long"), "screened")
+    out = scratch.keep(common.in_arrow(_cells(pairs, vectors), _of_leaders(percent, False), "a long, b long"), "screened")
     scratch.drop(vectors)
     return out
 
@@ -451,7 +451,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, pe
     """The (a, b) of ``pairs`` (distinct) whose sets are similar enough."""
     both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     sets = _found(docs, nodes, both, width, 0, scratch)
-    out = scratch.keep(_cells(pairs, sets).mapInArrow(_of_leaders(percent, True), "a long, b long"), "links")
+    out = scratch.keep(common.in_arrow(_cells(pairs, sets), _of_leaders(percent, True), "a long, b long"), "links")
     scratch.drop(sets)
     return out
 
@@ -600,7 +600,7 @@ def _search(percent: int, what: str):
         if waiting:
             yield flush()
 
-    return common.giving_back(run)
+    return run
 
 
 # ------------------------------------------------------------------ the join
@@ -616,7 +616,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
 def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, scratch: common.Scratch) -> DataFrame:
     classes = Classes(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sized = scratch.keep(rows.mapInArrow(_sized(width, classes), "doc_id long, n_shingles long, node long, text_hash long, spares array<long>"), "sizes")
+    sized = scratch.keep(common.in_arrow(rows, _sized(width, classes), "doc_id long, n_shingles long, node long, text_hash long, spares array<long>"), "sizes")
     # 1. equal sets are one node
     nodes = sized.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
     nodes = scratch.keep(nodes.select("node", "least.doc_id", "least.text_hash"), "nodes")
@@ -713,6 +713,6 @@ def _searched(rows: DataFrame, nodes: DataFrame, members: DataFrame, roots: Data
     cut = live.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     cut = cut.select("key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node", "root", "skip").join(vectors, "node")
     ordered = cut.select("key", "i", "j", "salt", "node", "root", "skip", "counts").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = scratch.keep(ordered.mapInArrow(_search(percent, what), "a long, b long").distinct(), what)
+    found = scratch.keep(common.in_arrow(ordered, _search(percent, what), "a long, b long").distinct(), what)
     scratch.drop(live)
     return found

@@ -34,6 +34,8 @@ SYMBOLS = 256
 BITS = 8
 UNDETERMINED = "und"
 _SAMPLE_UNITS = 1 << 20
+#: Languages up to which their shares of the sample are broadcast, so that texts are not shuffled to be sampled.
+BROADCAST_LANGUAGES = 100_000
 
 SCHEMA = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
@@ -62,7 +64,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
             langs = of_row.dictionary.take(pa.array(both >> np.uint64(32)))
             yield pa.record_batch([langs, pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    return sample.mapInArrow(common.giving_back(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return common.in_arrow(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Tree:
@@ -128,6 +130,9 @@ def fit(labelled: DataFrame, per_language: int = 2000, lang_col: str = "lang", t
     at most one gram per byte of the sample."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id")).where("lang is not null and text is not null")
     share = rows.groupBy("lang").agg((F.least(F.lit(1.0), F.lit(per_language) / F.count(F.lit(1))) * _SAMPLE_UNITS + 1).alias("share"))
+    share = common.written(share, "language-shares")
+    if share.count() <= BROADCAST_LANGUAGES:
+        share = F.broadcast(share)
     picked = F.pmod(F.xxhash64(F.lit("language sample"), F.col("doc_id")), F.lit(_SAMPLE_UNITS)) < F.col("share")
     with common.shuffles_dropped(labelled.sparkSession):
         got = gram_counts(rows.join(share, "lang").where(picked).select("lang", "text")).toArrow()
@@ -168,7 +173,7 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document row: doc_id, lang_pred, score, bits_per_byte (of the shortest code; null for ``und``); then the
     ``carry`` columns as a struct ``carried``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *common.carried(docs, carry))
+    rows, text_at = common.texts(docs, id_col, text_col, carry)
     if model is None:
         nothing = (F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
         return rows.select("doc_id", *nothing, *(["carried"] if carry else []))
@@ -178,12 +183,13 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         frozen = shared.value
         names = np.array([*frozen.languages, UNDETERMINED], object)
         try:
-            for piece, data, offsets in common.pieces(batches):
-                yield pa.record_batch([piece.column(0), *_decide(frozen, names, data, offsets), *piece.columns[2:]], names=["doc_id", "lang_pred", "score", "bits_per_byte", *piece.schema.names[2:]])
+            for piece, data, offsets in common.pieces(batches, text_at):
+                rest = [piece.column("carried")] if carry else []
+                yield pa.record_batch([piece.column(0), *_decide(frozen, names, data, offsets), *rest], names=["doc_id", "lang_pred", "score", "bits_per_byte", "carried"][: 4 + len(rest)])
         finally:
             frozen.forget()
 
-    return rows.mapInArrow(common.giving_back(run), common.with_carried(SCHEMA, rows))
+    return common.in_arrow(rows, run, common.with_carried(SCHEMA, rows))
 
 
 def _decide(model: Model, names: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:

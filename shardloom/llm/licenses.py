@@ -202,7 +202,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, n_words, detections in order of place."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan, SCHEMA)
+    return common.in_arrow(rows, _scan, SCHEMA)
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def _filed(settings: dict):
                         names=["node", "label", "dim", "tab", "code", "home"],
                     )
 
-    return common.giving_back(run)
+    return run
 
 
 def _compare(settings: dict, least: float):
@@ -219,7 +219,7 @@ def _compare(settings: dict, least: float):
         if held is not None:
             yield from blocks(held, [(0, len(held[0]))])
 
-    return common.giving_back(run)
+    return run
 
 
 def hashes_for(dim: int, count: int) -> int:
@@ -263,7 +263,7 @@ def _named(rows: DataFrame, settings: dict, least: float, scratch: common.Scratc
     nodes = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     # the number is fixed by the write
     nodes = scratch.keep(nodes.withColumns(_names(F.lit(True))).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    filed = nodes.select("node", "vector", F.xxhash64("label").alias("label"), F.size("vector").alias("dim")).mapInArrow(_filed(settings), "node long, label long, dim int, tab int, code long, home boolean")
+    filed = common.in_arrow(nodes.select("node", "vector", F.xxhash64("label").alias("label"), F.size("vector").alias("dim")), _filed(settings), "node long, label long, dim int, tab int, code long, home boolean")
     filed = scratch.keep(filed, "buckets")
     bucket = ["dim", "tab", "code", "label"]
     sizes = filed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home")).where("home and n > 1").select(*bucket, F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
@@ -272,7 +272,7 @@ def _named(rows: DataFrame, settings: dict, least: float, scratch: common.Scratc
     block = [*bucket, "i", "j"]  # dim is the first to sort by, and the last column
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = cut.join(nodes.select("node", "copies", "vector"), "node").select(*block[1:], "salt", "node", "copies", "vector", "dim").repartition(parts, *block).sortWithinPartitions(*block, "node")
-    found = scratch.keep(met.mapInArrow(_compare(settings, least), "node long, links long, root long"), "links")
+    found = scratch.keep(common.in_arrow(met, _compare(settings, least), "node long, links long, root long"), "links")
     scratch.drop(filed)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)

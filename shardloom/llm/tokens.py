@@ -423,7 +423,7 @@ def _writer(folder: str, vocabulary: str, end_id: int):
             system.move(attempt, name)
             yield pa.record_batch([pa.array([v]) for v in (shard, f"{folder}/shard-{shard:06d}.sst", sink.rows, sink.tokens, sink.size)], names=["shard", "path", "n_docs", "n_tokens", "bytes"])
 
-    return common.giving_back(write, _check_powers)
+    return write
 
 
 def stored_bytes(rows: DataFrame) -> int:
@@ -457,7 +457,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
     if folder.startswith("file:/") and not folder.startswith("file://"):
         folder = "file://" + folder[5:]
     parts = rows.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(n, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text").drop("text_hash")
-    manifest = common.written(parts.mapInArrow(_writer(folder, vocabulary, end_id), MANIFEST), "token-manifest")
+    manifest = common.written(common.in_arrow(parts, _writer(folder, vocabulary, end_id), MANIFEST, _check_powers), "token-manifest")
     manifest = manifest.withColumn("band", F.floor(F.col("shard") / BAND))
     earlier = lambda window: F.coalesce(F.sum("n_tokens").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bands = manifest.groupBy("band").agg(F.sum("n_tokens").alias("n_tokens")).select("band", earlier(Window.orderBy("band")).alias("before"))
@@ -481,4 +481,4 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Every document of the shard files: doc_id, shard, at (ids before it), n_tokens, ids_crc32."""
     spread = manifest.select("shard", "path", "start").repartition("shard")
-    return spread.mapInArrow(common.giving_back(_reader), ROWS)
+    return common.in_arrow(spread, _reader, ROWS)

@@ -95,7 +95,7 @@ def _sparse(shared):
                 found.append(f[f >= 0].astype(np.int32))
             yield pa.record_batch([rows.column(0), pa.array(found, pa.list_(pa.int32()))], names=["label", "found"])
 
-    return common.giving_back(sparse)
+    return sparse
 
 
 def logistic(found: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: float, steps: int = 80) -> tuple[np.ndarray, float]:
@@ -153,7 +153,7 @@ def fit(
     """Learn from rows (identifier, text, label).  Ratios count every row; the regression sees a sample of
     ``per_class`` rows of each label in expectation, picked by a hash of the identifier."""
     rows = labelled.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id")).where("label in (0, 1)")
-    counted = rows.select("label", "text").mapInArrow(common.giving_back(_presence), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    counted = common.in_arrow(rows.select("label", "text"), _presence, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     bucket, clean, toxic = (counted.column(i).to_numpy() for i in range(3))
     n0, n1 = (int(x[bucket == -1].sum()) for x in (clean, toxic))
     weights = np.zeros(BUCKETS, np.float32)
@@ -168,7 +168,7 @@ def fit(
     keep[bucket[best]] = np.arange(len(best))
     unit = F.pmod(F.xxhash64(F.lit("toxicity sample"), F.col("doc_id")), F.lit(_SAMPLE_UNITS))
     share = F.when(F.col("label") == 1, int(min(1.0, per_class / n1) * _SAMPLE_UNITS) + 1).otherwise(int(min(1.0, per_class / n0) * _SAMPLE_UNITS) + 1)
-    sample = rows.where(unit < share).select("label", "text").mapInArrow(_sparse(labelled.sparkSession.sparkContext.broadcast(keep)), "label int, found array<int>").toArrow()
+    sample = common.in_arrow(rows.where(unit < share).select("label", "text"), _sparse(labelled.sparkSession.sparkContext.broadcast(keep)), "label int, found array<int>").toArrow()
     y = sample.column(0).to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Model(weights, float(np.log(n1 / n0)))
@@ -204,4 +204,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 z[r] += frozen.weights[distinct(found[some])].sum(dtype=np.float64)
             yield pa.record_batch([rows.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(common.giving_back(run), SCHEMA)
+    return common.in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA)
