@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -58,10 +59,13 @@ class Dataset:
         return Dataset(df, **({"prefix": self.prefix, "num_shards": self.num_shards, "pragma": self.pragma, "name": self.name} | changes))
 
     def narrow(self, step: Callable[[DataFrame], DataFrame], name: str, prefix: int | None = None, pragma: Pragma | None = None) -> Dataset:
-        """Apply a step that works shard by shard."""
+        """Apply a step that works shard by shard.  With the materialize hint its rows are kept, once computed, for every reader."""
         shards_of = self.shards_of
+        df = step(self.df)
+        if pragma is not None and pragma.materialize:
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
         return Dataset(
-            step(self.df),
+            df,
             self.prefix if prefix is None else prefix,
             self.num_shards,
             self.pragma | pragma if pragma else self.pragma,
@@ -85,7 +89,9 @@ class Dataset:
     def by_shard(self) -> Dataset:
         """The same rows with one partition per shard: as they are where shards are known, else hashed by key."""
         if self.shards_of is not None:
-            return Dataset(self.shards_of(None), self.prefix, self.num_shards, self.pragma, self.name, self.shards_of)
+            rows = self.shards_of(None)
+            n = self.num_shards or max(1, rows._jdf.queryExecution().toRdd().getNumPartitions())  # splits of a source
+            return Dataset(rows, self.prefix, n, self.pragma, self.name, self.shards_of)
         from .operators.shuffle import placed
 
         return placed(self, self.shard_expr(), self.shards, self.name)
@@ -127,10 +133,10 @@ class Dataset:
 
         return aggregate.fold(self, *args, **kwargs)
 
-    def fold_expr(self, zero, merge, finish=None, name: str = "acc") -> Dataset:
+    def fold_expr(self, zero, merge, finish=None, name: str = "acc", combine=None) -> Dataset:
         from .operators import aggregate
 
-        return aggregate.fold_expr(self, zero, merge, finish, name)
+        return aggregate.fold_expr(self, zero, merge, finish, name, combine)
 
     def distinct(self) -> Dataset:
         from .operators import aggregate
@@ -162,6 +168,16 @@ class Dataset:
 
         return shuffle.repartition(self, fn)
 
+    def top(self, n: int, *order) -> Dataset:
+        from .operators import shuffle
+
+        return shuffle.top(self, n, *order)
+
+    def sort(self, *order) -> Dataset:
+        from .operators import shuffle
+
+        return shuffle.sort(self, *order)
+
     def writer_func(self, fn) -> Dataset:
         from .operators import sinks
 

@@ -28,11 +28,29 @@ class Counter:
 
 
 class Scope:
-    """Named accumulators for Python functions; scopes can be merged and reset."""
+    """Named accumulators for Python functions; scopes can be merged and reset.
+
+    A session's run opens one (``current``), which its Result keeps."""
+
+    _open: list[Scope] = []
 
     def __init__(self, spark):
         self.spark, self.counters = spark, {}
 
+    @classmethod
+    def current(cls) -> Scope:
+        """The scope of the run that is being made."""
+        if not cls._open:
+            raise LookupError("no run is being made")
+        return cls._open[-1]
+
+    def __enter__(self) -> Scope:
+        self._open.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self._open.remove(self)
+
     def counter(self, name: str):
         if name not in self.counters:
             self.counters[name] = self.spark.sparkContext.accumulator(0)

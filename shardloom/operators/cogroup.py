@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import functions as F
 
 from .. import types
@@ -41,7 +44,7 @@ def cogroup(*inputs: Dataset) -> Dataset:
     grouped = tagged.groupBy(*keys).agg(*[F.collect_list(f"_in{i}").alias(f"_in{i}") for i in range(len(inputs))])
     out = grouped.select(*keys, *[_field(c, v).alias(name) for c, name, v in columns])
     shards = [ds.num_shards for ds in inputs if ds.num_shards]
-    return Dataset(out, prefix, max(shards) if shards else None, inputs[0].pragma, "cogroup")
+    return Dataset(out, prefix, max(shards) if shards else None, functools.reduce(operator.or_, (ds.pragma for ds in inputs)), "cogroup")
 
 
 def join(left: Dataset, right: Dataset, how: str = "inner") -> Dataset:
@@ -58,7 +61,7 @@ def join(left: Dataset, right: Dataset, how: str = "inner") -> Dataset:
         names.append(v)
         taken.add(v)
     other = right.df.toDF(*left.keys, *names)
-    return Dataset(left.df.join(other, left.keys, how), left.prefix, left.num_shards, left.pragma, f"join_{how}")
+    return Dataset(left.df.join(other, left.keys, how), left.prefix, left.num_shards, left.pragma | right.pragma, f"join_{how}")
 
 
 def union(*inputs: Dataset) -> Dataset:

@@ -65,3 +65,13 @@ def repartition(ds: Dataset, fn) -> Dataset:
             yield pa.record_batch([*batch.columns, pa.array(ids, pa.int32())], names=[*batch.schema.names, _SHARD])
 
     return from_shard_column(ds.df.mapInArrow(number, shape), n, ds, "repartition")
+
+
+def sort(ds: Dataset, *order) -> Dataset:
+    """All rows in order (by the key unless told otherwise): a range shuffle, sorts that spill, skewed ranges cut by a sample."""
+    return ds.with_df(ds.df.orderBy(*(order or ds.keys)), name="sort", num_shards=None)
+
+
+def top(ds: Dataset, n: int, *order) -> Dataset:
+    """The first n rows in order: every task keeps its own n, so no sort of everything."""
+    return ds.with_df(ds.df.orderBy(*(order or ds.keys)).limit(n), name="top", num_shards=None)

@@ -109,11 +109,15 @@ class Store:
             system.create(self.hadoop.Path(target, "_whole"), True).close()
         self._file(temporary)[0].delete(self.hadoop.Path(temporary), True)
 
-    def read(self, like: Dataset | StructType, shards: list[int] | None = None):
-        schema = like if isinstance(like, StructType) else like.schema
+    def filled(self, shards: list[int] | None = None) -> list[str]:
+        """Folders of the shards that have rows."""
         wanted = [self.path(k) for k in (range(self.n) if shards is None else shards)]
         system = self._file(self.prefix)[0]
-        filled = [p for p in wanted if system.listStatus(self.hadoop.Path(p)) and len(system.listStatus(self.hadoop.Path(p))) > 1]
+        return [p for p in wanted if len(system.listStatus(self.hadoop.Path(p)) or ()) > 1]
+
+    def read(self, like: Dataset | StructType, shards: list[int] | None = None):
+        schema = like if isinstance(like, StructType) else like.schema
+        filled = self.filled(shards)
         if not filled:
             return self.spark.createDataFrame([], schema)
         # shard numbers come from the folder names
@@ -122,14 +126,12 @@ class Store:
 
 def _stored(ds: Dataset, store: Store, name: str) -> Dataset:
     def shards_of(shards):
-        rows = store.read(ds, None if shards is None else list(shards))
-        number = F.regexp_extract(F.col("_metadata.file_path"), r"shard=(\d+)-of-", 1).cast("int")
-        if not rows.columns or "_metadata" in rows.columns:
-            return rows
-        try:
-            return rows.withColumn("_shard_of_row", number).repartitionById(store.n, F.col("_shard_of_row")).drop("_shard_of_row")
-        except Exception:  # an empty local relation has no files
+        wanted = None if shards is None else list(shards)
+        rows = store.read(ds, wanted)
+        if not store.filled(wanted):  # no files, so nothing to place
             return rows
+        number = F.regexp_extract(rows.metadataColumn("_metadata")["file_path"], r"shard=(\d+)-of-", 1).cast("int")
+        return rows.withColumn("_shard_of_row", number).repartitionById(store.n, F.col("_shard_of_row")).drop("_shard_of_row")
 
     return Dataset(store.read(ds), ds.prefix, store.n, ds.pragma, name, shards_of)
 

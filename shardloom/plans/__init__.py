@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 
 
 def text(df: DataFrame) -> str:
-    """The physical plan before adaptive execution changes it."""
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan before adaptive execution changes it; of a plan that has run, the part that says so."""
+    shown = df._jdf.queryExecution().executedPlan().toString()
+    return shown.rsplit("== Initial Plan ==", 1)[-1]
 
 
 def count(df: DataFrame, node: str) -> int:

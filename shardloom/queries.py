@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import operator
+import tarfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
@@ -76,6 +78,25 @@ def reduce_python_two_phase(spark, sf_dir):
     return table(spark, sf_dir, "lineitem", "l_returnflag", F.col("l_quantity").cast("long").alias("q")).reduce(lambda a, b: a + b).df
 
 
+@query("select l_returnflag, l_linestatus, cast(product(cast(u as double)) as bigint) u from (select distinct l_returnflag, l_linestatus, l_linenumber * 10 + 1 u from lineitem) group by 1, 2")
+def reduce_product(spark, sf_dir):
+    """Integers multiply exactly (here below 2^53, so that SQL's doubles do too)."""
+    units = table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", (F.col("l_linenumber") * 10 + 1).cast("long").alias("u")).prefixed(2)
+    return units.distinct().reduce(operator.mul).df
+
+
+_NULLS = "select o_orderpriority, cast(sum({0}) as bigint) q from (select o_orderpriority, case when o_orderkey % 3 = 0 and o_orderpriority not like '1%' then cast(o_orderkey as bigint) end v from orders) group by 1"
+
+
+@query("select 'built in' way, * from ({0}) union all select 'expr', * from ({0}) union all select 'python', * from ({0})".format(_NULLS.format("v")))
+def reduce_nulls(spark, sf_dir):
+    """Nulls are left out in every way of reduce; a key of nulls alone has null."""
+    value = F.when((F.col("o_orderkey") % 3 == 0) & ~F.col("o_orderpriority").startswith("1"), F.col("o_orderkey").cast("long")).alias("q")
+    ds = table(spark, sf_dir, "orders", "o_orderpriority", value)
+    ways = {"built in": ds.reduce(operator.add), "expr": ds.reduce_expr(lambda a, b: a + b), "python": ds.reduce(lambda a, b: a + b)}
+    return cogroup.union(*[out.map(F.lit(way).alias("way"), "o_orderpriority", "q") for way, out in ways.items()]).df
+
+
 @query("select count(*) n from lineitem")
 def reduce_global_unit_key(spark, sf_dir):
     return aggregate.total(table(spark, sf_dir, "lineitem", "l_orderkey"), n=F.count(F.lit(1))).df
@@ -91,7 +112,8 @@ def fold_multi_acc(spark, sf_dir):
 def fold_hof_struct(spark, sf_dir):
     ds = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey")
     zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(-1).cast("long").alias("largest"))
-    out = ds.fold_expr(zero, lambda a, x: F.struct((a["total"] + x["o_orderkey"]).alias("total"), F.greatest(a["largest"], x["o_orderkey"]).alias("largest")))
+    step = lambda a, total, largest: F.struct((a["total"] + total).alias("total"), F.greatest(a["largest"], largest).alias("largest"))
+    out = ds.fold_expr(zero, lambda a, x: step(a, x["o_orderkey"], x["o_orderkey"]), combine=lambda a, b: step(a, b["total"], b["largest"]))
     return out.df.select("o_custkey", "acc.total", "acc.largest")
 
 
@@ -238,10 +260,31 @@ def head_per_shard(spark, sf_dir):
     return placed.narrow(lambda df: df.sortWithinPartitions("event_id"), "sorted").head(3).df
 
 
-@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10")
+@query("select cast(count(*) > 0 as integer) any_row, cast(1 as integer) as_many from part")
+def head_of_splits(spark, sf_dir):
+    """Shards of a file source are its splits: the first rows of each, without a shuffle."""
+    ds = table(spark, sf_dir, "part", "p_partkey")
+    sizes = lambda df, n: df.groupBy(F.spark_partition_id().alias("shard")).agg(F.count(F.lit(1)).alias(n))
+    both = sizes(ds.df, "all").join(sizes(ds.head(7).df, "got"), "shard", "left")
+    return both.agg((F.sum("got") > 0).cast("int").alias("any_row"), F.min((F.coalesce("got", F.lit(0)) == F.least("all", F.lit(7))).cast("int")).alias("as_many"))
+
+
+@query("select n_nationkey, n_name from nation order by n_name desc limit 6")
 def head_single_shard(spark, sf_dir):
-    ds = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
-    return ds.df.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+    one = Dataset(table(spark, sf_dir, "nation", "n_nationkey", "n_name").df, 1, 1).repartition(F.lit(0))
+    return one.narrow(lambda df: df.sortWithinPartitions(F.desc("n_name")), "sorted").head(6).df
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10")
+def top_k(spark, sf_dir):
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").top(10, F.desc("o_totalprice"), "o_orderkey").df
+
+
+@query("select s_suppkey, cast(row_number() over (order by s_acctbal, s_suppkey) as bigint) place from supplier")
+def sort_rows(spark, sf_dir):
+    ds = table(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal").sort("s_acctbal", "s_suppkey")
+    placed = ds.df.select("s_suppkey", F.monotonically_increasing_id().alias("at"))  # rises with the order of partitions and rows
+    return placed.select("s_suppkey", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
 
 
 @query("select * from (values (0, 'zero'), (1, 'one'), (2, 'two'), (3, 'three')) t(c0, c1)")
@@ -271,21 +314,25 @@ def reshuffle_colocated(spark, sf_dir):
     return per_key.agg(F.count(F.lit(1)).alias("n_keys"), F.sum((F.col("n") > 1).cast("long")).alias("spread"))
 
 
-@query("select o_custkey, o_orderkey from orders")
+@query("select count(*) n, count(distinct o_custkey) n_keys, cast(5 as bigint) shards, cast(0 as bigint) spread from orders")
 def reshard_multiset(spark, sf_dir):
-    return Dataset(table(spark, sf_dir, "orders", "o_custkey", "o_orderkey").df, 1, 3).reshard(5).df
+    ds = Dataset(table(spark, sf_dir, "orders", "o_custkey", "o_orderkey").df, 1, 3).reshard(5)
+    placed = ds.df.select("o_custkey", F.spark_partition_id().alias("shard"))
+    per_key = placed.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("shard").alias("a"), F.max("shard").alias("b"))
+    shards = F.lit(ds.df.rdd.getNumPartitions()).cast("long")
+    return per_key.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_keys"), shards.alias("shards"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("spread"))
 
 
 # ------------------------------------------------------------------ sources
 
 
-@query("select cast(i % 6 as bigint) shard, count(*) n, cast(sum(i) as bigint) total from range(1, 27) t(i) group by 1")
+@query("select cast(i % 6 as integer) shard, count(*) n, cast(sum(i) as bigint) total from range(1, 27) t(i) group by 1")
 def reader_func_range(spark, sf_dir):
     def letters(shard: int):
         yield from ((i,) for i in range(1, 27) if i % 6 == shard)
 
     ds = sources.reader_func(spark, 6, letters, "i long")
-    return ds.df.groupBy((F.col("i") % 6).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("total"))
+    return ds.df.groupBy(F.spark_partition_id().alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("total"))
 
 
 @query("select unnest(string_split(text, chr(10))) line from documents")
@@ -295,6 +342,31 @@ def scan_reader_lines(spark, sf_dir):
     return sources.scan_lines(spark, path).df.select(F.col("c0").alias("line"))
 
 
+@query("select n_name line, cast((row_number() over (order by n_nationkey) - 1) % 3 as integer) shard from nation")
+def scan_reader_striped(spark, sf_dir):
+    """One input that cannot be read in splits, its lines dealt out in turn."""
+    rows = table(spark, sf_dir, "nation", "n_nationkey", "n_name").df.orderBy("n_nationkey").collect()
+    data = "".join(f"{r.n_name}\n" for r in rows).encode()
+    ds = sources.scan_reader(spark, 3, lambda: io.BytesIO(data))
+    return ds.df.select(F.col("c0").alias("line"), F.spark_partition_id().alias("shard"))
+
+
+@query("select 'entry-' || n_nationkey name, cast(length(n_name) as bigint) size, n_name body from nation")
+def tar_entries(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation", "n_nationkey", "n_name").df.collect()
+    packed = io.BytesIO()
+    with tarfile.open(fileobj=packed, mode="w") as archive:
+        for r in rows:
+            info = tarfile.TarInfo(f"entry-{r.n_nationkey}")
+            info.size = len(r.n_name)
+            archive.addfile(info, io.BytesIO(r.n_name.encode()))
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "tar") + "/nations.tar")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    return sources.tar_reader(spark, path.toString()).df.select("header.name", "header.size", F.col("body").cast("string").alias("body"))
+
+
 @query("select n_name, n_regionkey from nation")
 def tsv_roundtrip(spark, sf_dir):
     path = scratch(spark, "tsv")
@@ -315,21 +387,34 @@ def keyed_generator_counts(spark, sf_dir):
 # ------------------------------------------------------------------ side effects, caches, sessions
 
 
-@query("select p_partkey, p_size * 2 size from part")
+def _doubled(spark, ds: Dataset):
+    """The dataset with its last column doubled by a Python function, and a counter of the function's calls."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def double(k: int, v: int) -> tuple[int, int]:
+        calls.add(1)
+        return k, v * 2
+
+    return ds.by_shard().map(double), calls
+
+
+@query("select c0, c1, cast(1 as bigint) computed from (select cast(p_partkey as bigint) c0, cast(p_size as bigint) * 2 c1 from part)")
 def cache_roundtrip(spark, sf_dir):
-    ds = Dataset(table(spark, sf_dir, "part", "p_partkey", (F.col("p_size") * 2).alias("size")).df, 1, 6)
+    """``computed``: how often each row was computed, for three uses of the cache."""
+    ds, calls = _doubled(spark, Dataset(table(spark, sf_dir, "part", F.col("p_partkey").cast("long"), F.col("p_size").cast("long")).df, 1, 6))
     path = scratch(spark, "cache")
-    ds.cache(path)
-    return ds.cache(path).df
+    out = [ds.cache(path) for _ in range(3)][-1].df
+    return out.withColumn("computed", F.lit(calls.value / out.count()).cast("long"))
 
 
-@query("select o_orderkey, o_custkey from orders")
+@query("select c0, c1, cast(1 as bigint) computed from (select cast(o_orderkey as bigint) c0, cast(o_custkey as bigint) * 2 c1 from orders)")
 def cache_partial(spark, sf_dir):
-    ds = Dataset(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").df, 1, 6)
+    """As cache_roundtrip, three of six shards being there before."""
+    ds, calls = _doubled(spark, Dataset(table(spark, sf_dir, "orders", F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")).df, 1, 6))
     path = scratch(spark, "partial")
-    store = sinks.Store(spark, path, 6, "cache_partial")
-    store.write(ds.by_shard(), [0, 2, 4])
-    return ds.cache_partial(path).df
+    sinks.Store(spark, path, 6, "cache_partial").write(ds, [0, 2, 4])
+    out = ds.cache_partial(path).df
+    return out.withColumn("computed", F.lit(calls.value / out.count()).cast("long"))
 
 
 @query("select s_suppkey, s_name from supplier")
@@ -340,12 +425,21 @@ def read_cache(spark, sf_dir):
     return sinks.read_cache(spark, "s_suppkey long, s_name string", 3, path).df
 
 
-@query("select event_id, event_type from events")
+@query("select event_id, cast(event_id % 4 as integer) shard, n seen, cast(4 as bigint) ends from (select event_id, count(*) over () n from events)")
 def writer_func_passthrough(spark, sf_dir):
-    def write(shard, state, err, ids, kinds):
+    """The rows with their shard, the rows that the writers saw, and the ends that they were told."""
+    seen, ends = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def write(shard, state, err, ids):
         state["rows"] = state.get("rows", 0) + len(ids)
+        if err is not None:
+            seen.add(state["rows"])
+            ends.add(1)
 
-    return table(spark, sf_dir, "events", "event_id", "event_type").writer_func(write).df
+    placed = Dataset(table(spark, sf_dir, "events", "event_id").df, 1, 4).repartition((F.col("event_id") % 4).cast("int"))
+    out = placed.writer_func(write)
+    sinks.drain(out)
+    return out.df.select("event_id", F.spark_partition_id().alias("shard"), F.lit(seen.value).cast("long").alias("seen"), F.lit(ends.value).cast("long").alias("ends"))
 
 
 @query("select count(*) n, count(distinct shard) shards from (select event_id % 5 shard from events)")
@@ -383,3 +477,18 @@ def iterate_add(spark, sf_dir):
 def union_rows(spark, sf_dir):
     a = table(spark, sf_dir, "nation", F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
     return cogroup.union(a, table(spark, sf_dir, "region", F.col("r_name").alias("name"), F.col("r_regionkey").alias("region"))).df
+
+
+@query("select o_custkey % 10 k, cast(sum(o_orderkey) as bigint) total from orders group by 1")
+def result_reduced(spark, sf_dir):
+    """A kept result as the input of a shuffle."""
+    session = Session(spark)
+    kept = session.run(lambda s: table(s, sf_dir, "orders", (F.col("o_custkey") % 10).alias("k"), F.col("o_orderkey").cast("long").alias("total")))
+    return session.run(lambda s, ds: ds.reduce("sum"), kept).dataset.df
+
+
+@query("select r_regionkey, r_name from region")
+def result_scanner(spark, sf_dir):
+    result = Session(spark).run(lambda s: table(s, sf_dir, "region", F.col("r_regionkey").cast("long"), "r_name"))
+    with result.scanner(int, str) as rows:
+        return spark.createDataFrame([tuple(r) for r in rows], "r_regionkey long, r_name string")

@@ -49,7 +49,11 @@ def const(spark: SparkSession, num_shards: int, *columns: Sequence, schema=None)
         rows = local if shards is None else local.where(F.col(_SHARD).isin(list(shards)))
         return rows.repartitionById(num_shards, F.col(_SHARD)).drop(_SHARD)
 
-    return Dataset(local.drop(_SHARD), 1, num_shards, None, "const", shards_of)
+    rows = local.drop(_SHARD)
+    if num_shards == 1:  # in one partition
+        values = [tuple(r.values()) for r in pa.table(arrays, names=shape.names).to_pylist()]
+        rows = spark.createDataFrame(spark.sparkContext.parallelize(values, 1), shape)
+    return Dataset(rows, 1, num_shards, None, "const", shards_of)
 
 
 class _Shard(InputPartition):
@@ -133,5 +137,8 @@ def keyed_generator(spark: SparkSession, num_shards: int, keys_per_shard: int, s
     """Every key 0..keys_per_shard-1 once per shard, in an order of the shard's own: (key, value)."""
     rows = spark.range(0, num_shards * keys_per_shard, 1, num_shards)
     shard = (F.col("id") / keys_per_shard).cast("long")
-    key = F.pmod(F.col("id") * 2654435761 + F.xxhash64(shard, F.lit(seed)) % 1_000_003, F.lit(keys_per_shard)) if keys_per_shard % 2654435761 else F.col("id")
+    place = F.pmod(F.col("id"), F.lit(keys_per_shard))
+    if keys_per_shard < 1 << 31:  # a prime multiplier permutes the places; products stay below 2^62
+        place = place * (2654435761 % keys_per_shard or 1)
+    key = F.pmod(place + F.xxhash64(shard, F.lit(seed)) % 1_000_003, F.lit(keys_per_shard))
     return Dataset(rows.select(key.alias("key"), F.xxhash64("id", F.lit(seed)).alias("value")), 1, num_shards, None, "keyed_generator")

@@ -269,3 +269,146 @@ def test_streams(spark, tmp_path):
     sources.const(spark, 2, ["a", "b", "a"], [1, 2, 3], schema="k string, v long").df.write.parquet(str(tmp_path / "in"))
     stream = streaming.read_stream(spark, str(tmp_path / "in"), "k string, v long")
     assert sorted(map(tuple, streaming.drain(streaming.reduce_stream(stream, ["k"], "v", "sum"), "sums").collect())) == [("a", 4), ("b", 2)]
+
+
+# ------------------------------------------------------------------ splits, hints, scanners, sessions
+
+
+def test_shards_of_a_file_source_are_its_splits(spark, tmp_path):
+    from shardloom import plans
+
+    path = str(tmp_path / "t")
+    spark.range(0, 100, 1, 5).selectExpr("id", "id % 3 k").write.parquet(path)
+    ds = sources.read_table(spark, path)
+    splits = by_shard(ds)
+    assert len(splits) == ds.by_shard().num_shards > 1 and sum(map(len, splits)) == 100
+    head = ds.head(2)
+    assert plans.exchanges(head.df) == 0 and [tuple(r) for r in head.df.collect()] == [r for part in splits for r in part[:2]]
+    seen = spark.sparkContext.accumulator(0)
+
+    def visit(shard, found):
+        seen.add(sum(1 for _ in found))
+
+    scanned = ds.scan(visit)
+    assert plans.exchanges(scanned.df) == 0
+    drain(scanned)
+    assert seen.value == 100
+    written = ds.writer_func(lambda shard, state, err, *columns: None)
+    assert plans.exchanges(written.df) == 0
+    calls = spark.sparkContext.accumulator(0)
+
+    def once(i: int, k: int) -> int:
+        calls.add(1)
+        return i
+
+    cache = str(tmp_path / "c")
+    assert_rows_equal(ds.map(once).cache_partial(cache), [(i,) for i in range(100)])
+    n = len(splits)
+    shutil.rmtree(f"{cache}/shard=0000-of-{n:04d}")
+    assert_rows_equal(ds.map(once).cache_partial(cache), [(i,) for i in range(100)])
+    assert calls.value == 100 + len(splits[0])
+
+
+def test_materialize_keeps_rows_for_every_reader(spark):
+    from shardloom import MATERIALIZE
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def count_call(i):
+        calls.add(1)
+        return i
+
+    kept = sources.const(spark, 3, list(range(30))).map(count_call, schema="i long", pragma=MATERIALIZE)
+    assert len(rows(kept.map(F.col("i") + 1))) == len(rows(kept.filter("i >= 0"))) == 30
+    assert calls.value == 30
+    kept.df.unpersist()
+
+
+def test_large_archives_are_streamed(spark, archive, monkeypatch):
+    from shardloom.sources import files
+
+    monkeypatch.setattr(files, "WHOLE_BYTES", 1)
+    assert len(sources.tar_reader(spark, archive).df.collect()) == 60
+
+
+def test_scanner(spark):
+    from shardloom import Scanner
+
+    ds = sources.const(spark, 3, [1, 2, 3], ["a", "b", "c"])
+    with Scanner(ds, int, str) as scanner:
+        assert tuple(scanner.scan()) == (1, "a") and len(scanner.scanv(5)) == 2 and scanner.scan() is None and scanner.err is None
+    for bad in ((int,), (int, int), (str, str), (int, str, str)):
+        with pytest.raises(TypeCheckError):
+            Scanner(ds, *bad)
+    closed = Scanner(ds, "bigint", "string")
+    closed.close()
+    assert list(closed) == []
+
+    def broken(i):
+        raise ValueError("broken row")
+
+    failing = Scanner(sources.const(spark, 1, [1]).map(broken, schema="i long"))
+    assert failing.scan() is None and "broken row" in str(failing.err) and failing.scan() is None
+
+
+def test_invocations_scopes_and_events(spark):
+    from shardloom.metrics import Scope as Counters
+
+    told = []
+    session = Session(spark, eventer=lambda name, **fields: told.append((name, fields["func"], fields.get("state"))))
+    call = numbers.invocation(7)
+    assert numbers.num_in == 1 and call.args == (7,) and len(rows(call.invoke(spark))) == 7 == len(rows(numbers.apply(spark, 7)))
+    with pytest.raises(TypeCheckError):
+        numbers.invocation("x")
+
+    @func(exclusive=True)
+    def counting(spark, n: int):
+        odd = Counters.current().counter("odd")
+
+        def one(i):
+            odd.add(i % 2)
+            return i
+
+        return sources.const(spark, 2, list(range(n))).map(one, schema="i long")
+
+    result = session.run(counting, 10)
+    assert result.scope.value("odd") == 5 and session.run(numbers, 3).scope.counters == {}
+    assert told == [("run:start", "counting", None), ("run:end", "counting", "ok"), ("run:start", "numbers", None), ("run:end", "numbers", "ok")]
+    with pytest.raises(LookupError):
+        Counters.current()
+    pages: dict = {}
+    session.handle_debug(pages)
+    assert "max_load 0.95" in pages["/debug/session"]() and pages["/debug/stages"]() == ""
+    assert session.status()["running_programs"] == 0
+
+
+def test_exclusive_programs_run_alone(spark):
+    import threading
+
+    session, order = Session(spark), []
+    session._enter(False)
+    other = threading.Thread(target=lambda: (session._enter(True), order.append("alone"), session._leave(True)))
+    other.start()
+    other.join(0.2)
+    order.append("first done")
+    session._leave(False)
+    other.join(5)
+    assert order == ["first done", "alone"]
+
+
+def test_config_files(spark, tmp_path, monkeypatch):
+    given = {}
+    monkeypatch.setattr(Session, "start", classmethod(lambda cls, **kw: given.update(kw)))
+    (tmp_path / "c").write_text("[shardloom]\nlocal = true\nparallelism = 7\nmax-load = 0.5\nmachine-combiners = yes\nother = 1\n")
+    Session.from_config(str(tmp_path / "c"))
+    assert given == {"local": os.cpu_count(), "parallelism": 7, "max_load": 0.5, "machine_combiners": True}
+    given.clear()
+    (tmp_path / "c").write_text("[shardloom]\nlocal = 3\n")
+    Session.from_config(str(tmp_path / "c"), ["-parallelism", "9"])
+    assert given == {"local": 3, "parallelism": 9}
+
+
+def test_keyed_generator_beyond_32_bits(spark):
+    got = sources.keyed_generator(spark, 2, 1 << 33)
+    few = got.df.limit(3).collect()
+    assert all(0 <= r.key < 1 << 33 for r in few)

@@ -167,3 +167,53 @@ def test_repartition_out_of_range_fails(spark):
 def test_shards_survive_adaptive_coalescing(spark):
     ds = sources.const(spark, 5, ["a", "b"], [1, 2]).reduce("sum")
     assert len(by_shard(ds)) == 5
+
+
+# ------------------------------------------------------------------ reduce in every way
+
+
+@pytest.mark.parametrize("bits", [1, 13])
+def test_reduce_products_are_exact(spark, monkeypatch, bits):
+    monkeypatch.setattr("shardloom.operators.aggregate.CHUNK_BITS", bits)
+    a, b = 3037000493, 3037000499
+    ds = sources.const(spark, 2, ["x", "x", "y", "z"], [a, b, -7, None], schema="k string, v long")
+    want = [("x", a * b), ("y", -7), ("z", None)]
+    for way in (ds.reduce(operator.mul), ds.reduce("product"), ds.reduce(lambda p, q: p * q), ds.reduce_expr(lambda p, q: p * q)):
+        assert_rows_equal(way, want)
+    floats = sources.const(spark, 1, ["x", "x"], [0.5, 4.0])
+    assert_rows_equal(floats.reduce("product"), [("x", 2.0)])
+    with pytest.raises(Exception, match="(?i)overflow|too large|convert"):
+        sources.const(spark, 2, ["x"] * 3, [1 << 40] * 3).reduce(operator.mul).df.collect()
+
+
+@pytest.mark.parametrize("way", ["sum", lambda a, b: a + b, None])
+def test_reduce_leaves_nulls_out(spark, way):
+    ds = sources.const(spark, 3, ["a", "a", "a", "b", "c", None], [1, None, 2, None, 5, 7], schema="k string, v long")
+    got = ds.reduce_expr(lambda a, b: a + b) if way is None else ds.reduce(way)
+    assert_rows_equal(got, [("a", 3), ("b", None), ("c", 5), (None, 7)])
+
+
+def test_reduce_expr_merges_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr("shardloom.operators.aggregate.CHUNK_BITS", 3)
+    ds = sources.const(spark, 6, [i % 2 for i in range(1000)], list(range(1000)))
+    assert_rows_equal(ds.reduce_expr(lambda a, b: a + b), [(0, 249500), (1, 250000)])
+    zero = F.struct(F.lit(0).cast("long").alias("n"))
+    counted = ds.fold_expr(zero, lambda a, x: F.struct((a["n"] + 1).alias("n")), finish=lambda a: a["n"], combine=lambda a, b: F.struct((a["n"] + b["n"]).alias("n")))
+    assert_rows_equal(counted, [(0, 500), (1, 500)])
+
+
+def test_sort_and_top(spark):
+    ds = sources.const(spark, 3, [3, 1, 2, 1], list("abcd"))
+    assert [r[0] for r in ds.sort().df.collect()] == [1, 1, 2, 3]
+    assert [tuple(r) for r in ds.top(2, F.desc("c1")).df.collect()] == [(1, "d"), (2, "c")]
+    assert plans.exchanges(ds.top(2).df) == 0  # each task keeps its own first rows
+    assert rows(ds.top(3).reduce("min"))[0] == (1, "b")
+
+
+def test_cogroup_and_join_compose_hints(spark):
+    from shardloom import EXCLUSIVE, procs
+
+    a = sources.const(spark, 2, ["k"], [1]).map("c0", "c1", pragma=procs(3))
+    b = sources.const(spark, 2, ["k"], [2]).map("c0", "c1", pragma=EXCLUSIVE)
+    for got in (a.cogroup(b), a.join(b)):
+        assert got.pragma.procs == 3 and got.pragma.exclusive
