@@ -171,10 +171,70 @@ def test_license_base_phrases(spark):
 
 def test_license_rules_are_gated_bounded_and_ordered():
     rules = licenses.rules()
-    assert len(rules) > 200 and [r.order for r in rules] == list(range(len(rules)))
+    assert len(rules) > 250 and [r.order for r in rules] == list(range(len(rules)))
+    assert len({r.pattern.pattern for r in rules}) == len(rules)
     for r in rules:
         assert re.search(rf"(?<!\w){re.escape(r.keyword)}(?!\w)", r.pattern.pattern), r
-        assert r.pattern.pattern.count(" ") < licenses.REACH
+        most = r.pattern.pattern.count(" ") + sum(int(n) for n in re.findall(r"\{\d+,(\d+)\}", r.pattern.pattern))
+        assert most < licenses.REACH, r
+
+
+LICENSE_TEXTS = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd",
+    "Neither the name of the University of Somewhere nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+    "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License": "gpl-3",
+    "GNU General Public License as published by the Free Software Foundation; either version 2 of the License": "gpl-2",
+    "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1": "lgpl-2.1",
+    "you may not use this file except in compliance with the License. You may obtain a copy of the License at": "apache-2",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/": "mpl-2",
+    "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International": "cc-by-nc-sa",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+    "https://creativecommons.org/licenses/by-sa/3.0/": "cc-by-sa",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice": "isc",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.": "0bsd",
+    "SPDX-License-Identifier: OFL-1.1 AND BSL-1.0": "boost-1,ofl-1.1",
+    "SPDX-License-Identifier: GPL-3.0-only": "gpl-3",
+    "SPDX-License-Identifier: MIT-0": "mit-0",
+    "// SPDX-License-Identifier: (Apache-2.0 OR MIT)": "apache-2,mit",
+    "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.": "zlib",
+    "Distributed under the Boost Software License, Version 1.0.": "boost-1",
+    "released under GPLv2": "gpl-2",
+    "All rights reserved.": "proprietary",
+    "we have a permission to use the source and the license of our patience": "",
+}
+
+
+def test_license_texts_notices_and_identifiers_are_known(spark):
+    got = licenses.report(licenses.scan(spark.createDataFrame(list(enumerate(LICENSE_TEXTS)), "doc_id long, text string"))).collect()
+    assert {r.doc_id: r.labels for r in got} == dict(enumerate(LICENSE_TEXTS.values()))
+
+
+def plain_detections(text):
+    """Every rule over the whole text; then whatever stands inside a stronger kept one goes."""
+    joined = " ".join(words_of(text, ALNUM))
+    found = []
+    for r in licenses.rules():
+        for m in r.pattern.finditer(joined):
+            a = joined[: m.start(r.span)].count(" ")
+            found.append((a, a + m.group(r.span).count(" ") + 1, r))
+    found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[2].order, d[0]))
+    kept = []
+    for a, b, r in found:
+        if r.base or not any(x <= a and b <= y for x, y, _ in kept):
+            kept.append((a, b, r))
+    return sorted((a, b, r.order) for a, b, r in kept)
+
+
+def test_license_labels_and_suppression_against_brute_force(spark):
+    rng = random.Random(21)
+    parts = [*LICENSE_TEXTS, "under the MIT License", "cc by nc 4.0", "Apache License, Version 2.0", "gpl 3", "public domain", "the license", "x y z", "GNU", "spdx license identifier", "BSD"]
+    texts = ["", None, *LICENSE_TEXTS] + [" ".join(rng.choice([rng.choice(parts), "word " * rng.randrange(40)]) for _ in range(rng.randrange(1, 14))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("labels", F.lit("clash"))
+    got = {r.doc_id: sorted((d.start, d.end, d.rule) for d in r.detections) for r in licenses.scan(docs).collect()}
+    assert got == {i: plain_detections(t) for i, t in enumerate(texts)}
 
 
 def test_license_suppression():
