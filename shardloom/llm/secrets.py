@@ -9,7 +9,9 @@ covers are suppressed, and so are those inside a base detection; a placeholder w
 lies in, not the rest of a path.
 
 Everything is per row: no shuffle, no Python on the executors, and the costlier steps run only for texts
-that a first look says can hold a match.
+that a first look says can hold a match.  A candidate is taken apart into single characters STRETCH at a time (each
+stretch with the WINDOW - 1 characters that follow it, so that no window is missed), and the matches of a text are laid
+out BLOCK at a time, so neither a very long candidate nor a text of very many matches costs more than its length in memory.
 
 Defined results: a null text is empty; empty texts have no spans; repeated rows each get their own result;
 offsets count code points, ends exclusive; other columns are ignored.
@@ -46,6 +48,9 @@ BETWEEN = rf"{ALLOWED[2]}|((?:(?!{ALLOWED[2]})[A-Za-z0-9+/_-])+)"
 #: A candidate must mix its characters: letters with digits, or capitals inside a word more than once.
 MIXED = (r"[A-Za-z][+/_-]?[0-9]", r"[0-9][+/_-]?[A-Za-z]", r"[a-z][A-Z]+[a-z]+[A-Z]")
 
+#: Characters of a candidate that are taken apart at a time, and matches of a text whose places are added up at a time.
+STRETCH, BLOCK = 4096, 256
+
 SPANS = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 def _none() -> Column:
     return F.array().cast(SPANS)
@@ -66,11 +71,41 @@ def _places(text: Column, guard: Column, pattern: str, kind: int, least: int, gr
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(x["held"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct((x["start"] + by).alias("start"), x["kind"].alias("kind"), (x["end"] + by).alias("end"), x["value"].alias("value")))
+
     zero = F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out"))
-    return F.when(guard, F.aggregate(cut, zero, add, lambda acc: acc["out"])).otherwise(_none())
+    none = F.array().cast(f"array<{SPANS}>")
+
+    def laid_out(all_: Column) -> Column:
+        """Places within each block of matches, then those of the blocks: appending costs BLOCK per match, not their number."""
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(all_, b * BLOCK + 1, BLOCK), zero, add))
+        whole = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        return F.aggregate(blocks, whole, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved(x["out"], acc["at"]))).alias("out")), lambda acc: F.flatten(acc["out"]))
+
+    return F.when(guard, F.element_at(F.transform(F.array(cut), laid_out), 1)).otherwise(_none())
 
 
 def _hot(value: Column, kind: str) -> Column:
+    """``_hot_in`` of a candidate, by stretches."""
+    # each stretch, with what follows it up to the end of its last window
+    cut = F.regexp_extract_all(value, F.lit(f"(?=(.{{1,{STRETCH + WINDOW - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
+    each = F.transform(cut, lambda part: _hot_in(part, kind))
+    at = lambda k: k * STRETCH
+    places = F.transform(each, lambda h, k: F.struct(F.when(h["first"] >= 0, h["first"] + at(k)).alias("first"), F.when(h["first"] >= 0, h["last"] + at(k)).alias("last")))
+    return F.element_at(
+        F.transform(
+            F.array(places),
+            lambda ps: F.struct(
+                F.coalesce(F.array_min(F.transform(ps, lambda p: p["first"])), F.lit(-1)).alias("first"),
+                F.coalesce(F.array_max(F.transform(ps, lambda p: p["last"])), F.lit(-1)).alias("last"),
+            ),
+        ),
+        1,
+    )
+
+
+def _hot_in(value: Column, kind: str) -> Column:
     """Struct (first, last): start of the first and end of the last window of ``value`` whose entropy reaches the threshold."""
     size, table = len(ALPHABETS[kind]), F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
     # H = log2(WINDOW) - sum(c * log2(c)) / WINDOW

@@ -297,6 +297,31 @@ def test_secrets_against_brute_force(spark):
     assert secrets.report(secrets.scan(frame(spark, texts).limit(0))).collect() == []
 
 
+def test_secrets_by_small_stretches_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "STRETCH", 33)
+    monkeypatch.setattr(secrets, "BLOCK", 3)
+    rng = random.Random(5)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    b64 = secrets.ALPHABETS["base64"]
+    texts = ["a1" * 30 + pick(b64, 30) + "a1" * 30, "x9" * 100, "token=abcdef " * 20, *ODD]
+    texts += ["a1B" * rng.randrange(40) + pick(b64, rng.randrange(15, 90)) + "c2D" * rng.randrange(40) + " token=" + pick(b64, 9) for _ in range(60)]
+    got = secrets.report(secrets.scan(frame(spark, texts)))
+    assert Counter(map(tuple, got.drop("doc_id").collect())) == Counter(map(all_spans, texts))
+
+
+def test_secrets_of_a_very_long_candidate_and_of_very_many_matches(spark):
+    rng = random.Random(6)
+    secret = "".join(rng.choice(secrets.ALPHABETS["base64"]) for _ in range(40))
+    long = "aB1" * 60_000 + secret + "aB1" * 60_000
+    many = "token=abcdef " * 20_000
+    rows = spark.createDataFrame([(0, long), (1, many)], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in secrets.report(secrets.scan(rows)).collect()}
+    (span,) = got[0].spans.split(",")
+    kind, a, b = span.split(":")
+    assert kind == "entropy" and 180_000 - 20 <= int(a) <= 180_020 and 180_020 <= int(b) <= 180_060
+    assert got[1].n_assign == 20_000 and got[1].spans.startswith("assign:0:12,assign:13:25") and got[1].spans.endswith(f"assign:{13 * 19_999}:{13 * 19_999 + 12}")
+
+
 def test_a_placeholder_word_hides_its_own_windows_only(spark):
     secret = "9fQ2xLr7Vb3TzK8mWc5Y"
     texts = [f"config/example/prod/{secret}", f"{secret}/lorem/dummy/{secret}", f"see {secret}_sample", f"EXAMPLE{secret[:19]}dummy", "exampleKEYexample1234567890abcd"]
