@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from shardloom.llm import common, decontaminate, jaccard, language, mixing, tokens, urls
+from shardloom.llm import common, decontaminate, jaccard, mixing, tokens, urls
 from shardloom.llm import entry as queries
 
 from ..test_queries import TABLES
+from .test_models import plain_bits, plain_counts
 from .test_pairs import brute_force, corpus
 from .test_text import ODD, frame, leaks
 
@@ -306,7 +307,7 @@ def test_every_operator_has_its_query():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
 
 
-def test_pipeline_stages_against_brute_force(spark, data):
+def test_pipeline_stages_against_brute_force(spark, data, tokenizer):
     bench = [tuple(r) for r in common.table(spark, data, "benchmark").select("item_id", "text").collect()]
     texts = [*corpus(17), *ODD, "leak: " + bench[0][1], "12345 67", "!!"]
     docs = frame(spark, texts).withColumn("doc_id", F.monotonically_increasing_id())
@@ -318,8 +319,13 @@ def test_pipeline_stages_against_brute_force(spark, data):
     assert known.columns == docs.columns
     kept = {r.doc_id for r in known.collect()}
     assert not any(r["doc_id"] in kept for r in before if not any(c.isalpha() for c in r["text"] or ""))
-    bits = {r.doc_id: r.bits_per_byte for r in language.predict(docs, language.fit(docs)).collect()}
-    assert kept == {i for i, b in bits.items() if b is not None and b <= corpus_pipeline.MOST_BITS}
+    # (code lengths straight from the definition, for the shorter texts)
+    trees = [plain_counts([r["text"] for r in before if r["lang"] == lang and r["text"] is not None]) for lang in sorted({r["lang"] for r in before} - {None})]
+    for r in before:
+        text = r["text"] or ""
+        if any(c.isalpha() for c in text) and len(text) < 300:
+            least = min(plain_bits(None, text, counts) for counts in trees) / len(text.encode())
+            assert abs(least - corpus_pipeline.MOST_BITS) < 1e-9 or (r["doc_id"] in kept) == (least <= corpus_pipeline.MOST_BITS)
     # near duplicates: the least identifier of each component
     rows = sorted(known.collect(), key=lambda r: r.doc_id)
     want = brute_force([r.text for r in rows], 5, 80)[1]
@@ -331,15 +337,48 @@ def test_pipeline_stages_against_brute_force(spark, data):
     clean = stages["decontamination"](spark, once, data)
     assert clean.columns == docs.columns
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r, leak in zip(rows, leaks([r.text for r in rows], bench), strict=True) if not leak[-1]}
-    # mixing: the documents that the operator keeps
+    # mixing: cells raked and calibrated by plain loops, documents picked by a hash of their identifier
+    rows = clean.collect()
     mixed = stages["mixing"](spark, clean, data)
     assert mixed.columns == docs.columns
-    assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in mixing.mix(clean).collect() if r.kept}
+    assert {r.doc_id for r in mixed.collect()} == plain_mix([(r.doc_id, r.text, r.source, r.lang) for r in rows])
     # tokens
     rows = sorted(mixed.collect(), key=lambda r: r.doc_id)
     out = sorted(stages["tokens"](spark, mixed, data).collect(), key=lambda r: r.doc_id)
     assert [r.doc_id for r in out] == [r.doc_id for r in rows]
     assert [r.start for r in out] == [sum(x.n_tokens for x in out[:k]) for k in range(len(out))]
+    ids = [[*e.ids, queries.END_ID] for e in tokenizer.encode_batch([r.text for r in rows], add_special_tokens=False)]
+    assert [(r.n_tokens, r.ids_crc32) for r in out] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids]
+
+
+def plain_mix(rows, share=0.7, power=0.7):
+    """Identifiers kept of (id, text, source, lang)."""
+    import hashlib
+
+    def topic(t):
+        return "table" if " | " in t else "legal" if "license" in t.lower() else "loud" if "!!" in t else "note" if len(t.encode()) < 600 else "prose"
+
+    cells, of = defaultdict(int), {}
+    for i, t, source, lang in rows:
+        of[i] = cell = (source or "", lang or "", topic(t))
+        cells[cell] += math.ceil(len(t.encode()) / 4)
+    total = sum(cells.values())
+    goals = []
+    for d in range(3):
+        natural = defaultdict(float)
+        for k, v in cells.items():
+            natural[k[d]] += v / total
+        norm = sum(v**power for v in natural.values())
+        goals.append({k: v**power / norm for k, v in natural.items()})
+    weight = rake(cells, goals, 3000)
+    low, high = 0.0, 1e12
+    for _ in range(200):  # the scale at which the expected tokens are the share asked for
+        scale = (low + high) / 2
+        got = sum(cells[k] * min(1.0, scale * w / cells[k]) for k, w in weight.items())
+        low, high = (scale, high) if got < share * total else (low, scale)
+    chance = {k: min(1.0, high * w / cells[k]) for k, w in weight.items()}
+    draw = lambda i: int(hashlib.md5(f"{i}/mix".encode()).hexdigest()[:8], 16) / 2**32
+    return {i for i, cell in of.items() if draw(i) < chance[cell]}
 
 
 def test_pipeline_runs_and_takes_empty_tables(spark, data):
