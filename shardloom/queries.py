@@ -196,11 +196,20 @@ def join_right(spark, sf_dir):
     return s.join(n, "right").map("n_name", "s_name").df
 
 
-@query("select p_partkey k, p_brand, qty from part full join (select l_partkey, cast(sum(cast(l_quantity as bigint)) as bigint) qty from lineitem where l_partkey % 3 = 0 group by 1) on p_partkey = l_partkey")
+@query(
+    """select coalesce(c.nation, s.nation) nation, coalesce(c.band, s.band) band, customers, suppliers
+    from (select c_nationkey nation, cast(floor(c_acctbal / 50) as bigint) band, count(*) customers from customer group by 1, 2) c
+    full join (select s_nationkey nation, cast(floor(s_acctbal / 50) as bigint) band, count(*) suppliers from supplier group by 1, 2) s
+    on c.nation = s.nation and c.band = s.band"""
+)
 def join_full(spark, sf_dir):
-    p = table(spark, sf_dir, "part", F.col("p_partkey").alias("k"), "p_brand")
-    q = table(spark, sf_dir, "lineitem").filter("l_partkey % 3 = 0").map(F.col("l_partkey").alias("k"), F.col("l_quantity").cast("long").alias("qty")).reduce("sum")
-    return p.join(q, "full").map("k", "p_brand", "qty").df
+    """Bands of balances in a nation; some hold customers only, some suppliers only."""
+
+    def bands(name: str, prefix: str, n: str) -> Dataset:
+        band = F.floor(F.col(f"{prefix}_acctbal") / 50).cast("long").alias("band")
+        return table(spark, sf_dir, name, F.col(f"{prefix}_nationkey").alias("nation"), band, F.lit(1).cast("long").alias(n)).prefixed(2).reduce("sum")
+
+    return bands("customer", "c", "customers").join(bands("supplier", "s", "suppliers"), "full").map("nation", "band", "customers", "suppliers").df
 
 
 @query("select p_partkey k, p_name from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity >= 50 and l_discount >= 0.1)")
